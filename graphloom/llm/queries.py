@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.llm import q_docs, q_scores
+from graphloom.llm import q_docs, q_scores, q_vectors
 
-_MODULES = (q_docs, q_scores)
+_MODULES = (q_docs, q_scores, q_vectors)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
