@@ -68,81 +68,73 @@ def _slide(h: np.ndarray, w: int, op) -> np.ndarray:
     return h
 
 
-def marks(data: np.ndarray) -> np.ndarray:
+def marks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Positions where a unit begins, from nearby bytes alone.
 
-    A sentence ends at a line break or at ``.``, ``!`` or ``?`` before a blank.
-    Inside longer sentences, further than ``CLEAR`` from their ends, the bytes
-    that are least by hash in some window of ``WINNOW`` are marks as well.
+    ``data`` holds texts one after the other, beginning at ``starts``.  A sentence
+    ends at a line break or at ``.``, ``!`` or ``?`` before a blank.  Further than
+    ``CLEAR`` from any such end, the bytes that are least by hash in some window
+    of ``WINNOW`` are marks as well, which cuts long sentences, texts without
+    punctuation and scripts with other marks.  The beginning of a text is none.
     """
-    n = len(data)
-    if n < 2:
+    if len(data) < 2:
         return np.zeros(0, np.int64)
     blank = (data == 32) | (data == 10) | (data == 13) | (data == 9)
     stop = (data == 46) | (data == 33) | (data == 63)
     ends = np.flatnonzero((data[:-1] == 10) & (data[1:] != 10) | stop[:-1] & blank[1:]) + 1
-    # texts of other scripts end their sentences with other characters; winnowing covers them
-    border = np.r_[-CLEAR, ends, n + CLEAR]
-    gaps = np.flatnonzero(np.diff(border) > 2 * CLEAR + WINNOW)
-    extra = []
-    for g in gaps:
-        lo, hi = max(border[g] + CLEAR, 0), min(border[g + 1] - CLEAR, n)
-        ctx = data[max(lo - WINNOW, 0) : min(hi + WINNOW + 8, n)].astype(np.uint64)
-        if len(ctx) < 2 * WINNOW + 8:
-            continue
+    if len(data) > 2 * WINNOW + 8:
         with np.errstate(over="ignore"):
-            h, b = ctx, np.uint64(_B)
+            h, b = data.astype(np.uint64), np.uint64(_B)
             for k in (1, 2, 4):
                 h = h[:-k] * b + h[k:]
                 b = b * b
-            h = _mix(h)
-        low = _slide(h, WINNOW, np.minimum)
-        high = _slide(low, WINNOW, np.maximum)
-        # position i is chosen if it is the least of one of the windows over it
-        core = h[WINNOW - 1 : WINNOW - 1 + len(high)]
-        at = np.flatnonzero(core == high) + WINNOW - 1 + max(lo - WINNOW, 0)
-        extra.append(at[(at >= lo) & (at < hi)])
-    return np.unique(np.concatenate([ends, *extra])) if extra else ends
-
-
-def _runs(data: np.ndarray, run_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of the shortest run of whole units from each mark on that
-    reaches ``run_bytes``."""
-    m = marks(data)
-    if not len(m):
-        return m, m
-    to = np.searchsorted(m, m + run_bytes, "left")
-    ok = to < len(m)
-    return m[ok], m[to[ok]]
-
-
-def _texts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Row number and UTF-8 bytes of each text, without copying them."""
+            h = ((h ^ (h >> np.uint64(29))) * np.uint64(_A) >> np.uint64(32)).astype(np.uint32)
+        high = _slide(_slide(h, WINNOW, np.minimum), WINNOW, np.maximum)
+        # a position is chosen if it is the least of one of the windows over it
+        at = np.flatnonzero(h[WINNOW - 1 : WINNOW - 1 + len(high)] == high) + WINNOW - 1
+        border = np.r_[-CLEAR, ends, len(data) + CLEAR]
+        after = np.searchsorted(border, at, "right")
+        at = at[(at - border[after - 1] >= CLEAR) & (border[after] - at >= CLEAR)]
+        ends = np.union1d(ends, at)
+    return np.setdiff1d(ends, starts, assume_unique=False)
+
+
+def _chunks(batch: pa.RecordBatch, at: int, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The UTF-8 bytes of a text column in runs of rows of about ``most`` bytes:
+    the first row's number, the bytes, and where each row begins (and the last
+    ends).  Nothing is copied; nulls are empty."""
     col = batch.column(at)
     if pa.types.is_large_string(col.type):
         col = col.cast(pa.string())
-    offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
-    data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
-    valid = np.asarray(col.is_valid())
-    for i in range(len(col)):
-        if valid[i] and offsets[i + 1] > offsets[i]:
-            yield i, data[offsets[i] : offsets[i + 1]]
+    if not len(col) or col.buffers()[2] is None:
+        return
+    offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    data = np.frombuffer(col.buffers()[2], np.uint8)
+    lo = 0
+    while lo < len(col):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        yield lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        lo = hi
 
 
 def _emit_runs(run_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, starts, ends, owner = batch.column(0), [], [], [], []
-            for i, data in _texts(batch, 1):
-                s, e = _runs(data, run_bytes)
-                if len(s):
-                    hashes.append(Hashes(data).of(s, e))
-                    starts.append(s)
-                    ends.append(e)
-                    owner.append(np.full(len(s), i))
-            if hashes:
-                cols = [np.concatenate(x) for x in (owner, hashes, starts, ends)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0])), pa.array(cols[1].view(np.int64)), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=["doc_id", "h", "s", "e"])
+            ids = batch.column(0)
+            for row, data, begin in _chunks(batch, 1):
+                m = marks(data, begin)
+                if not len(m):
+                    continue
+                # the shortest run of whole units from each mark on that is long enough
+                to = np.searchsorted(m, m + run_bytes, "left")
+                m, to = m[to < len(m)], m[np.minimum(to, len(m) - 1)][to < len(m)]
+                owner = np.searchsorted(begin, m, "right") - 1
+                ok = to < begin[owner + 1]
+                m, to, owner = m[ok], to[ok], owner[ok]
+                if len(m):
+                    h = Hashes(data).of(m, to).view(np.int64)
+                    s, e = m - begin[owner], to - begin[owner]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner + row)), pa.array(h), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc_id", "h", "s", "e"])
 
     return run
 
@@ -161,11 +153,6 @@ def repeated(spans: DataFrame) -> DataFrame:
     return spans.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_last")).filter("first_doc < _last").select("h", "first_doc")
 
 
-def _chars(data: np.ndarray) -> np.ndarray | None:
-    """Byte position of every character, or None if all are single bytes."""
-    return np.flatnonzero((data & 0xC0) != 0x80) if (data >= 128).any() else None
-
-
 def _emit_windows(least: int, reach: int, dense: bool):
     """Windows around the repeated runs of a text, as hashes.
 
@@ -174,31 +161,38 @@ def _emit_windows(least: int, reach: int, dense: bool):
     ``least - STEP + 1``.  Dense, for the starts still open: windows of ``least``
     at each of the STEP characters before.
     """
+    back = np.arange(0, STEP if dense else reach + STEP, 1 if dense else STEP)
+    lens = (least,) if dense else (least, least - STEP + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            places = batch.column(2).to_pylist()
-            out: list[tuple] = []
-            for i, data in _texts(batch, 1):
-                chars = _chars(data)
-                bytes_at = np.arange(len(data) + 1) if chars is None else np.r_[chars, len(data)]
-                n = len(bytes_at) - 1
-                at = np.searchsorted(bytes_at, np.unique(np.asarray(places[i], np.int64)))
-                back = np.arange(0, STEP if dense else reach + STEP, 1 if dense else STEP)
-                begin = np.unique((at[:, None] - back[None, :]).ravel())
-                begin = begin[begin >= 0]
+            asked = batch.column(2)
+            counts = np.diff(np.asarray(asked.offsets))
+            every = asked.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.r_[0, np.cumsum(counts)]
+            for row, data, begin in _chunks(batch, 1):
+                rows = np.arange(row, row + len(begin) - 1)
+                owner = np.repeat(rows - row, counts[rows])
+                places = every[first[row] : first[row + len(begin) - 1]] + begin[owner]
+                # characters: where each begins, and the end
+                char = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
+                at = np.searchsorted(char, places)
+                low, high = np.searchsorted(char, begin[:-1]), np.searchsorted(char, begin[1:])
+                start = (at[:, None] - back[None, :]).ravel()
+                own = np.repeat(owner, len(back))
+                keep = start >= low[own]
+                start, at_first = np.unique(start[keep], return_index=True)
+                own = own[keep][at_first]
                 a, b = Hashes(data), Hashes(data, _B)
-                lens = (least,) if dense else (least, least - STEP + 1)
                 for kind, size in enumerate(lens):
-                    ok = begin[begin + size <= n]
-                    if not len(ok):
-                        continue
-                    s, e = bytes_at[ok], bytes_at[ok + size]
-                    out.append((np.full(len(ok), i), a.of(s, e), b.of(s, e), s, np.full(len(ok), kind)))
-            if out:
-                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0])), pa.array(cols[1].view(np.int64)), pa.array(cols[2].view(np.int64)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4].astype(np.int32))], names=["doc_id", "h1", "h2", "s", "kind"])
+                    ok = start + size <= high[own]
+                    if ok.any():
+                        s, e, o = char[start[ok]], char[start[ok] + size], own[ok]
+                        yield pa.RecordBatch.from_arrays(
+                            [ids.take(pa.array(o + row)), pa.array(a.of(s, e).view(np.int64)), pa.array(b.of(s, e).view(np.int64)), pa.array((s - begin[o]).astype(np.int32)), pa.array(np.full(len(s), kind, np.int32))],
+                            names=["doc_id", "h1", "h2", "s", "kind"],
+                        )
 
     return run
 
@@ -227,7 +221,7 @@ def long_shared(documents: DataFrame, doc_id: str, text: str, least: int = 400,
     the repeated runs ``doc_id, h, s, e, first_doc``.
 
     Marks lie at most ``2 * CLEAR + WINNOW`` bytes apart and depend on less than
-    ``CLEAR + WINNOW`` bytes around them, so any shared stretch of ``least``
+    ``WINNOW + 8`` bytes around them, so any shared stretch of ``least``
     characters holds a run wholly inside and begins at most ``reach`` before it;
     nothing is missed for ``least`` of 400 and up.  Lengths are counted in characters.
     Null and empty texts share nothing; a stretch repeated within one record
@@ -236,7 +230,7 @@ def long_shared(documents: DataFrame, doc_id: str, text: str, least: int = 400,
     """
     gap = 2 * CLEAR + WINNOW
     # a run can end up to one gap later than run_chars, after up to one gap and the context at either end
-    reach = gap + CLEAR + WINNOW
+    reach = gap + WINNOW + 8
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     long_enough = docs.filter(F.length("text") >= least)
     spans = runs(long_enough, run_chars)
