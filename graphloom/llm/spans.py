@@ -16,10 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import BROADCAST_ROWS, checkpoint
+from graphloom.session import BROADCAST_ROWS, checkpoint, maybe_broadcast
 
 #: Distance kept between a sentence's ends and the marks that cut long sentences.
 CLEAR = 32
@@ -153,16 +153,10 @@ def repeated(spans: DataFrame) -> DataFrame:
     return spans.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_last")).filter("first_doc < _last").select("h", "first_doc")
 
 
-def _emit_windows(least: int, reach: int, dense: bool):
-    """Windows around the repeated runs of a text, as hashes.
-
-    Windows begin at the characters 0, STEP, 2 * STEP... before a run's start,
-    within ``reach``.  Coarse: a window of ``least`` characters (exact) and one of
-    ``least - STEP + 1``.  Dense, for the starts still open: windows of ``least``
-    at each of the STEP characters before.
-    """
-    back = np.arange(0, STEP if dense else reach + STEP, 1 if dense else STEP)
-    lens = (least,) if dense else (least, least - STEP + 1)
+def _emit_windows(sizes: tuple[int, ...], back: tuple[int, ...]):
+    """Hashes of the windows of each of ``sizes`` characters that begin each of
+    ``back`` characters before the places asked for."""
+    back = np.array(back)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +179,7 @@ def _emit_windows(least: int, reach: int, dense: bool):
                 start, at_first = np.unique(start[keep], return_index=True)
                 own = own[keep][at_first]
                 a, b = Hashes(data), Hashes(data, _B)
-                for kind, size in enumerate(lens):
+                for kind, size in enumerate(sizes):
                     ok = start + size <= high[own]
                     if ok.any():
                         s, e, o = char[start[ok]], char[start[ok] + size], own[ok]
@@ -210,7 +204,7 @@ def _with_places(documents: DataFrame, places: DataFrame) -> DataFrame:
 
 def _shared_windows(windows: DataFrame) -> DataFrame:
     met = windows.groupBy("h1", "h2", "kind").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a < _b")
-    return windows.join(met.select("h1", "h2", "kind"), ["h1", "h2", "kind"])
+    return windows.join(met.select("h1", "h2", "kind"), ["h1", "h2", "kind"]).select("doc_id", "h1", "h2", "s", "kind")
 
 
 def long_shared(documents: DataFrame, doc_id: str, text: str, least: int = 400, run_chars: int = 128) -> tuple[DataFrame, DataFrame]:
@@ -235,18 +229,26 @@ def long_shared(documents: DataFrame, doc_id: str, text: str, least: int = 400,
     long_enough = docs.filter(F.length("text") >= least)
     spans = runs(long_enough, run_chars)
     twice = checkpoint(repeated(spans.select("doc_id", "h")))
-    hit = checkpoint(spans.join(twice, "h"))
-    # the places of one document are as many as its own sentences
-    places = checkpoint(hit.groupBy("doc_id").agg(F.collect_set("s").alias("places")))
-    windows = _with_places(long_enough, places).mapInArrow(_emit_windows(least, reach, False), _WINDOWS)
-    shared = checkpoint(_shared_windows(windows).select("doc_id", "h1", "h2", "s", "kind"))
-    exact = shared.filter("kind = 0").select("doc_id").distinct()
+    hit = checkpoint(spans.join(maybe_broadcast(twice), "h"))
+
+    def shared(hits: DataFrame, sizes: tuple[int, ...], back: tuple[int, ...]) -> DataFrame:
+        # the places of one document are as many as its own sentences
+        places = checkpoint(hits.groupBy("doc_id").agg(F.collect_set("s").alias("places")))
+        return checkpoint(_shared_windows(_with_places(long_enough, places).mapInArrow(_emit_windows(sizes, back), _WINDOWS)))
+
+    # most shared stretches hold a whole window from one of their marks on
+    found = shared(hit, (least,), (0,)).select("doc_id").distinct()
+    # the rest may begin up to reach before their first mark: windows every STEP characters
+    # there, of which one lies inside if the stretch is long enough, for all records that
+    # hold a run of a record still open
+    open_runs = hit.join(found, "doc_id", "left_anti").select("h").distinct()
+    coarse = shared(hit.join(open_runs, "h", "left_semi"), (least, least - STEP + 1), tuple(range(0, reach + STEP, STEP)))
+    found = checkpoint(found.unionByName(coarse.filter("kind = 0").select("doc_id")).distinct())
     # what shares only the shorter window is looked at character by character
-    near = shared.filter("kind = 1")
-    open_groups = near.join(exact.withColumn("_x", F.lit(1)), "doc_id", "left").groupBy("h1", "h2").agg(F.max(F.col("_x").isNull()).alias("_open")).filter("_open").select("h1", "h2")
-    rest = near.join(open_groups, ["h1", "h2"]).groupBy("doc_id").agg(F.collect_set("s").alias("places"))
-    fine = _shared_windows(_with_places(long_enough, checkpoint(rest)).mapInArrow(_emit_windows(least, reach, True), _WINDOWS)).select("doc_id")
-    return exact.unionByName(fine).distinct(), hit
+    near = coarse.filter("kind = 1")
+    unsure = near.join(found, "doc_id", "left_anti").select("h1", "h2").distinct()
+    fine = shared(near.join(unsure, ["h1", "h2"], "left_semi"), (least,), tuple(range(STEP)))
+    return found.unionByName(fine.select("doc_id")).distinct(), hit
 
 
 def sharing(documents: DataFrame, doc_id: str, spans: DataFrame) -> DataFrame:
@@ -257,8 +259,6 @@ def sharing(documents: DataFrame, doc_id: str, spans: DataFrame) -> DataFrame:
     first record is another one, which deduplication would remove.  Records
     without shared runs have zeros.
     """
-    from pyspark.sql import Window
-
     def covered(part: DataFrame, name: str) -> DataFrame:
         w = Window.partitionBy("doc_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
         d = part.select("doc_id", "s", "e").distinct().withColumn("_to", F.coalesce(F.max("e").over(w), F.lit(0)))
