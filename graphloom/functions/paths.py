@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANKS = r"(?U)^[\s﻿​]+|[\s﻿​]+$"
+BLANKS = r"(?U)^[\s\uFEFF\u200B]+|[\s\uFEFF\u200B]+$"
 
 
 def strip(c: Column) -> Column:
