@@ -39,21 +39,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``component`` is the root's id, or the smallest id of the circle.  ``depth``
     counts the steps to the root or to the first node of the circle.  Doubling
-    stops once every row has arrived or has made as many steps as rows remain,
-    which only those of circles have.
+    stops once every row has arrived, or once none more does and all that remain
+    have made as many steps as there are: those lead into circles.
     """
     state = checkpoint(edges.select("id", "parent", F.coalesce("parent", "id").alias("ptr"), F.coalesce("parent", "id").alias("low"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("parent").isNull().alias("done")))
     done = state.filter("done")
     active = state.filter("not done")
-    left, reach = active.count(), 1
-    while left and reach <= left:
+    left, before, reach = active.count(), -1, 1
+    # as long as rows of a tree are under way, every round brings some to their root
+    while left and (left != before or reach <= left):
         nxt = state.select(F.col("id").alias("_i"), F.col("ptr").alias("_ptr"), F.col("low").alias("_low"), F.col("steps").alias("_steps"), F.col("done").alias("_done"))
-        moved = active.join(nxt, F.col("ptr") == F.col("_i")).select("id", "parent", F.when(F.col("_done"), F.col("ptr")).otherwise(F.col("_ptr")).alias("ptr"), F.least("low", "_low").alias("low"), F.when(F.col("_done"), F.col("steps") + F.col("_steps")).otherwise(F.col("steps") + F.col("_steps")).alias("steps"), F.col("_done").alias("done"))
-        # a pointer to an arrived row ends at that row's own end
-        moved = moved.alias("m").join(done.select(F.col("id").alias("_d"), F.col("ptr").alias("_end")), F.col("m.ptr") == F.col("_d"), "left").select("id", "parent", F.coalesce("_end", "ptr").alias("ptr"), "low", "steps", F.col("_d").isNotNull().alias("done"))
+        moved = active.join(nxt, F.col("ptr") == F.col("_i")).select("id", "parent", F.col("_ptr").alias("ptr"), F.least("low", "_low").alias("low"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_done").alias("done"))
         state = checkpoint(done.unionByName(moved))
         done, active = state.filter("done"), state.filter("not done")
-        left, reach = active.count(), reach * 2
+        left, before, reach = active.count(), left, reach * 2
     trees = done.select("id", "parent", F.col("ptr").alias("component"), F.col("steps").alias("depth"), F.lit(False).alias("in_circle"))
     if not left:
         return trees
