@@ -137,7 +137,7 @@ def fraction_cutoffs(
     nodes = tree.nodes()
     # a target is a small fact per source: reduced to one row each before the join
     want = targets.select(F.coalesce(target_source, F.lit("\u0000null")).alias("source"), fraction.cast("double").alias("f")).groupBy("source").agg(F.min("f").alias("f"))
-    f = F.coalesce(F.when(~F.isnan("f"), F.least(F.greatest("f", F.lit(0.0)), F.lit(1.0))), F.lit(default))
+    f = F.when(F.col("f").isNotNull() & ~F.isnan("f"), F.least(F.greatest("f", F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(default))
     goals = nodes.filter("level = 0").select("source").join(want, "source", "left").select("source", f.alias("fraction"), F.lit(0).cast("long").alias("rank"))
     open_ = checkpoint(descend(nodes, goals, tree.bits))
     first = open_

@@ -43,7 +43,7 @@ j0 AS (SELECT *, lower(regexp_replace(category, '^\s+|\s+$', '', 'g')) AS cat FR
 j AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id, cat ORDER BY judged_at DESC, judgment_id DESC) AS rn FROM j0) WHERE rn = 1),
 c AS (SELECT * FROM (SELECT *, lower(regexp_replace(category, '^\s+|\s+$', '', 'g')) AS cat, row_number() OVER (PARTITION BY lower(regexp_replace(category, '^\s+|\s+$', '', 'g')) ORDER BY updated_at DESC, percentile DESC NULLS LAST) AS rn FROM cfm_calibration) WHERE rn = 1),
 s AS (
-  SELECT j.judgment_id, j.cat, j.distance, coalesce(least(greatest(c.percentile, 0), 1), 0.95) AS fraction, c.threshold,
+  SELECT j.judgment_id, j.cat, j.distance, CASE WHEN c.percentile IS NULL THEN 0.95 ELSE least(greatest(c.percentile, 0), 1) END AS fraction, c.threshold,
     count(*) OVER (PARTITION BY j.cat ORDER BY j.distance RANGE UNBOUNDED PRECEDING) AS below, count(*) OVER (PARTITION BY j.cat) AS n
   FROM j LEFT JOIN c ON j.cat = c.cat),
 k AS (SELECT cat, min(distance) AS cutoff FROM s WHERE below::DOUBLE / n >= fraction GROUP BY cat)"""
