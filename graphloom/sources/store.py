@@ -1,7 +1,7 @@
 """Versioned tables: every write is a new version, made current by one pointer.
 
 Plain parquet has no MERGE and must not be overwritten while it is read.  A table
-is a folder of versions; readers see the one named in ``_current``, which is
+is a folder of versions; readers see the one named in ``CURRENT``, which is
 replaced only after a version is complete, so a lost job leaves the old one.
 """
 
@@ -24,10 +24,10 @@ def _fs(spark: SparkSession, path: str):
 def current(spark: SparkSession, root: str) -> str | None:
     """The folder of the version in force, if the table exists."""
     fs, jvm = _fs(spark, root)
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{root}/_current")
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
     if not fs.exists(pointer):
         return None
-    name = spark.read.text(f"{root}/_current").first()[0]
+    name = spark.read.text(f"{root}/CURRENT").first()[0]
     return f"{root}/{name}"
 
 
@@ -44,11 +44,11 @@ def write(df: DataFrame, root: str, partition_by: list[str] | None = None) -> st
     (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{root}/{name}")
     fs, jvm = _fs(spark, root)
     path = jvm.org.apache.hadoop.fs.Path
-    tmp = path(f"{root}/_current.{name}")
+    tmp = path(f"{root}/CURRENT.{name}")
     out = fs.create(tmp, True)
     out.write(bytearray(name.encode()))
     out.close()
-    target = path(f"{root}/_current")
+    target = path(f"{root}/CURRENT")
     fs.delete(target, False)
     fs.rename(tmp, target)
     return f"{root}/{name}"
