@@ -18,11 +18,10 @@ ABSENT: dict[str, str] = {
 MIN_DECIDERS = 10
 
 
-def style_axes(body: Column) -> dict[str, Column]:
+def style_axes(code: Column, heads: Column) -> dict[str, Column]:
     """The five axes of a source text by its surface (O-95): an approximation by
-    patterns, without a parser."""
-    code = F.regexp_replace(F.regexp_replace(body, r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " ")
-    heads = F.regexp_replace(code, r"\bfor\s*\(\s*(?:const|let|var)\b", "for (")
+    patterns, without a parser.  ``code`` is free of comments, ``heads`` also of
+    the declarations in loop heads."""
     const, let, var = heads.rlike(r"\bconst\s"), heads.rlike(r"\blet\s"), heads.rlike(r"\bvar\s")
     tpl, cat = code.rlike(r"`[^`]*\$\{"), code.rlike(r"['\"]\s*\+|\+\s*['\"]")
     wait, then = code.rlike(r"\bawait\b"), code.rlike(r"\.then\s*\(")
@@ -38,9 +37,13 @@ def style_axes(body: Column) -> dict[str, Column]:
 
 def facts(bodies: DataFrame, node: str, body: str) -> DataFrame:
     """``node_id, axis, value``: one row per node and axis (O-19, O-95)."""
-    axes = style_axes(F.col(body))
+    bare = F.regexp_replace(F.regexp_replace(F.col(body), r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " ")
+    # each text is stripped once, in a projection of its own
+    stripped = bodies.select(F.col(node).alias("node_id"), bare.alias("_code"))
+    stripped = stripped.withColumn("_heads", F.regexp_replace("_code", r"\bfor\s*\(\s*(?:const|let|var)\b", "for ("))
+    axes = style_axes(F.col("_code"), F.col("_heads"))
     pairs = F.array(*[F.struct(F.lit(a).alias("axis"), v.alias("value")) for a, v in axes.items()])
-    return bodies.select(F.col(node).alias("node_id"), F.explode(pairs).alias("_p")).select("node_id", "_p.axis", "_p.value")
+    return stripped.select("node_id", F.explode(pairs).alias("_p")).select("node_id", "_p.axis", "_p.value")
 
 
 def _absent() -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import checkpoint
+from graphloom.session import checkpoint, maybe_broadcast
 
 MAX_DEPTH = 6
 
@@ -20,11 +20,12 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 3, reverse: bool = F
     lineage is cut once a level.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    e = checkpoint(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct())
+    e = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("_a"), F.col(b).alias("_b"))
     front = starts.filter("start is not null").select("start", F.col("start").alias("node")).distinct()
     seen = None
     for hop in range(1, min(depth, most) + 1):
-        nxt = front.join(e, F.col("node") == F.col("_a")).select("start", F.col("_b").alias("node")).distinct()
+        # a frontier of known size goes to the edges; only beyond it are the edges shuffled
+        nxt = e.join(maybe_broadcast(front), F.col("node") == F.col("_a")).select("start", F.col("_b").alias("node")).distinct()
         if seen is not None:
             nxt = nxt.join(seen.select("start", "node"), ["start", "node"], "left_anti")
         front = checkpoint(nxt)

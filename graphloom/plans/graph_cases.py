@@ -9,7 +9,7 @@ from graphloom.functions import text as tx
 from graphloom.functions.paths import ref_path
 from graphloom.model import PropertyGraph
 from graphloom.operators import cdc, context, integrity, lookup, traverse
-from graphloom.session import latest, table
+from graphloom.session import checkpoint, latest, table
 
 
 def star_graph(spark: SparkSession, sf: str) -> PropertyGraph:
@@ -95,7 +95,8 @@ def _flow(spark, sf, reverse):
     g = star_graph(spark, sf)
     start = "Type:1" if reverse else "Function:1"
     starts = spark.createDataFrame([(start,)], "start string")
-    return traverse.data_flow(g.edges.select("src", "dst"), g.nodes, starts, 3, reverse, ("Function", "Type"), 50)
+    # derived edges are written once; a stored edge table is scanned as it is
+    return traverse.data_flow(checkpoint(g.edges.select("src", "dst")), g.nodes, starts, 3, reverse, ("Function", "Type"), 50)
 
 
 def data_flow_down(spark, sf) -> DataFrame:
