@@ -283,7 +283,10 @@ def _direct(v: str) -> bool:
 # What a line must hold to deserve a closer look.
 CUE_WORDS = ("pass", "kennw", "pwd", "secret", "token", "key", "cred", "auth", "psk", "jwt", "://", "begin", "bearer", "basic", "-u", "\\x", "\\u", "&#")
 _CUE_LOGIN = re.compile(r"log(?:ged|ging)?[ _-]?[io]n|sign(?:ed|ing)?[ _-]?in|\bpat\b")
-_CUE_RUN = re.compile(r"[A-Za-z0-9+/_\-]{20}|(?:%[0-9A-Fa-f]{2}){3}")
+_CUE_RUN = re.compile(r"[A-Za-z0-9+/_\-]{20}|(?:%[0-9A-Fa-f]{2}){3}|(?:\\[0-7]{3}){3}|(?:[0-9a-fA-F]{2}[:\s]){11}[0-9a-fA-F]{2}")
+#: How a line ends whose value may stand on the next, and how such a next line begins.
+_OPEN = re.compile(r"(?:[=:(,\[{+\\|>&.]|\b(?:return|is|was|are))[ \t\r]*\Z")
+_GOES_ON = re.compile(r"[ \t]*(?:[=:(,+.]|[\"'`])")
 
 
 def has_cue(text: str) -> bool:
@@ -295,21 +298,63 @@ def has_cue(text: str) -> bool:
     return len(text) >= 9 and _CUE_RUN.search(text) is not None
 
 
-def _lines(text: str) -> list[tuple[int, int]]:
-    """Stretches worth a closer look: lines with a cue, neighbours as one."""
+def _lines(text: str, lang: str = "text") -> list[tuple[int, int]]:
+    """Stretches worth a closer look: lines with a cue, neighbours as one.
+
+    A line that leaves an assignment, a call, a list or a sentence open brings the
+    next one along, and so on; blank lines between them count for nothing.  A
+    literal over several lines is taken whole.  In prose every line with a cue
+    brings the next one.
+    """
     out: list[tuple[int, int]] = []
-    s = 0
+    s, more = 0, False
+    whole = _blocks(text)
+    at = 0
     for line in text.split("\n"):
         e = s + len(line)
-        if has_cue(line):
-            if out and s <= out[-1][1] + 1:
-                out[-1] = (out[-1][0], e)
+        cue = has_cue(line)
+        if not cue and more and not line.strip():
+            s = e + 1
+            continue
+        on = more and (more == "open" or _GOES_ON.match(line) is not None)
+        if cue or on:
+            b, f = s, e
+            if on and out:
+                b = out[-1][1] + 1
+            while at < len(whole) and whole[at][1] <= s:
+                at += 1
+            if at < len(whole) and whole[at][0] < e:
+                k = at
+                while k < len(whole) and whole[k][0] < e:
+                    k += 1
+                # a literal that began on an earlier line is looked at from its name on
+                b, f = min(b, text.rfind("\n", 0, whole[at][0]) + 1), max(f, whole[k - 1][1])
+            if out and b <= out[-1][1] + 1:
+                out[-1] = (out[-1][0], max(f, out[-1][1]))
             else:
-                out.append((s, e))
+                out.append((b, f))
+            more = "open" if cue and lang == "text" or _OPEN.search(line) else "maybe" if cue else False
+        else:
+            more = False
         s = e + 1
     return out
 
 
+_BLOCK = re.compile(r"\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\[\s\S]|[^`\\])*`")
+
+
+#: What stands before a literal in three quotes that is a value, no documentation.
+_GIVEN = re.compile(r"(?:=|\(|,|[\"']\s*:)\s*[A-Za-z]{0,2}\Z")
+SCALAR = re.compile(r"(?m)^(?P<in>[ \t]*)(?:-[ \t]+)?(?P<q>[\"']?)(?P<name>[A-Za-z_][\w.\-]*)(?P=q):[ \t]*[|>][+\-\d]*[ \t]*(?P<value>(?:\n[ \t]*(?=\n|\Z)|\n(?P=in)[ \t]+\S[^\n]*)+)")
+
+
+def _blocks(text: str) -> list[tuple[int, int]]:
+    """Literals over several lines."""
+    if "`" not in text and '"""' not in text and "'''" not in text:
+        return []
+    return [m.span() for m in _BLOCK.finditer(text) if "\n" in m[0]]
+
+
 def find(text: str, lang: str = "text", depth: int = 0) -> list[Finding]:
     """Credentials of a text: where their values begin and end.
 
@@ -323,8 +368,18 @@ def find(text: str, lang: str = "text", depth: int = 0) -> list[Finding]:
     for m in PEM.finditer(text) if "PRIVATE KEY" in text else ():
         if len(re.findall(r"[A-Za-z0-9+/=]", re.sub(r"\\[nrt]", "", m["body"]))) >= 32:
             add(m.start(), m.end(), "private-key")
-    for s, e in _lines(text):
+    for s, e in _lines(text, lang):
         _search(text, s, e, lang, depth, add)
+    for s, e in _blocks(text):
+        q, left = text[s : s + 3], _left(text, s)
+        if q in ('"""', "'''") and _GIVEN.search(left):
+            v = text[s + 3 : e - 3]
+            _literal(v.strip(), s + 3 + len(v) - len(v.lstrip()), re.sub(r"[A-Za-z]{1,2}\Z", "", left), depth, add)
+    for m in SCALAR.finditer(text) if lang in ("env", "yaml") else ():
+        kind, v = name_kind(m["name"]), m["value"].strip()
+        if kind and plausible(v if kind == "password" else re.sub(r"\s+", "", v), kind):
+            a = m.start("value") + len(m["value"]) - len(m["value"].lstrip())
+            add(a, a + len(v), "assignment")
     if " +" in text or "concat" in text or "\n" in text and '"\n' in text:
         for m in (*CHAIN.finditer(text), *CONCAT.finditer(text)):
             _joined(text, m, add)
@@ -371,7 +426,7 @@ def _search(text: str, s: int, e: int, lang: str, depth: int, add) -> None:
         v, a = m[g], s + m.start(g)
         if len(v) < 4 or "\n" in v and g == "b" and len(v) > 4000:
             continue
-        left = text[max(0, s + m.start() - 120, text.rfind("\n", 0, max(0, s + m.start() - 1)) - 60) : s + m.start()]
+        left = _left(text, s + m.start())
         _literal(v, a, left, depth, add)
     if lang in ("env", "yaml"):
         for m in LINE.finditer(part):
@@ -404,6 +459,14 @@ def _search(text: str, s: int, e: int, lang: str, depth: int, add) -> None:
             add(s + m.start("value"), s + m.start("value") + len(v), "prose")
 
 
+def _left(text: str, at: int) -> str:
+    """What stands before a literal; more of it if the literal's line begins there."""
+    line = text.rfind("\n", 0, max(0, at - 1))
+    if not text[line + 1 : at].strip():
+        return text[max(0, at - 240) : at]
+    return text[max(0, at - 120, line - 60) : at]
+
+
 def _literal(v: str, a: int, left: str, depth: int, add) -> None:
     if LOGIN_CALL.search(left) and plausible(v, "password"):
         add(a, a + len(v), "login")

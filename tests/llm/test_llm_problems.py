@@ -161,6 +161,25 @@ def test_finds_credentials(text, lang, value):
     assert redact(text, found) == text.replace(value, "****")
 
 
+@pytest.mark.parametrize(
+    "text, lang, value",
+    [
+        ('const dbPassword =\n  "Tr0ub4dor&3";', "ts", "Tr0ub4dor&3"),
+        ('const dbPassword\n  = "Tr0ub4dor&3";', "ts", "Tr0ub4dor&3"),
+        ('login(\n  "admin",\n  "S3cr3t!x"\n);', "ts", "S3cr3t!x"),
+        ('password = (\n    "Tr0ub4dor&3"\n)', "py", "Tr0ub4dor&3"),
+        ('password = """\nTr0ub4dor&3\n"""', "py", "Tr0ub4dor&3"),
+        ("password: >-\n  Tr0ub4dor&3\nport: 8080\n", "yaml", "Tr0ub4dor&3"),
+        ("Rotated; the password is\nHunter2!x now.", "text", "Hunter2!x"),
+        ("k = `\neCA9IDE7IHBhc3N3b3JkPSdU\ncjB1YjRkb3ImMycg\nZG9uZQ==\n`", "ts", "\neCA9IDE7IHBhc3N3b3JkPSdU\ncjB1YjRkb3ImMycg\nZG9uZQ==\n"),
+        ('s = "' + "".join(f"\\{b:03o}" for b in b"password=Tr0ub4dor") + '"', "py", "".join(f"\\{b:03o}" for b in b"password=Tr0ub4dor")),
+        ('s = "' + b"password=Tr0ub4dor&3".hex(":") + '"', "py", b"password=Tr0ub4dor&3".hex(":")),
+    ],
+)
+def test_finds_values_on_lines_after_their_names(text, lang, value):
+    assert [text[f.start : f.end] for f in find(text, lang)] == [value]
+
+
 @pytest.mark.parametrize("text", ['password = ""', "password = os.environ['DB']", 'passwordField = "password"', 'apiKey: "<your-api-key>"', 'token = "********"', 'commit = "24a1066f891ad455b00574de43daab277f705ade"', 'requestId = "bb7a032e-96b6-43fa-a920-0bf9e27f66ab"', '"-----BEGIN PUBLIC KEY-----\\nabcdefghijklmnopqrstuvwxyzabcdef\\n-----END PUBLIC KEY-----"', 'secretName = "search/db"', 'cacheKey = "a:b:77"', 'dsn = "postgres://{user}:{password}@h/app"', "The password field is now validated.", ""])
 def test_leaves_others_alone(text):
     assert find(text, "py") == []
