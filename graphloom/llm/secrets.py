@@ -45,7 +45,7 @@ TOKENS = re.compile(
     r"|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"
     r")"
 )
-PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:[^-]|-(?!----)){0,20000}?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?=[\"'`]|\Z))")
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:[^-]|-(?!----))*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?=[\"'`]|\Z))")
 URL_LOGIN = re.compile(r"\b[A-Za-z][A-Za-z0-9+.\-]{1,20}://(?P<user>[^\s:/@\"'`<>]*):(?P<value>[^\s/@\"'`]+)@(?=[\w\[$({.-])")
 CONNECTION = re.compile(r"(?i)\b(?:AccountKey|SharedAccessKey|SharedSecret|SharedAccessSignature|Password|Pwd|PassPhrase|ClientSecret|ApiKey|AuthToken|Access[ _]?Key|Secret[ _]?Key)\s?=\s?(?P<value>[^\s;\"'`&(){}\[\]]+)")
 COMMAND = re.compile(r"(?<![\w-])(?:-u|--user|--proxy-user)[ =]+[\"']?[\w.@+-]+:(?P<value>[^\s\"'`]+)|(?<![\w-])--(?:password|passwd|pass|token|api-key|secret|access-token)[ =]+[\"']?(?P<value2>[^\s\"'`]+)|\bsshpass\s+-p\s*[\"']?(?P<value3>[^\s\"'`]+)")
@@ -217,6 +217,13 @@ def is_key_container(raw: bytes) -> bool:
 
 _B64 = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 _HEX = re.compile(r"(?:0x)?(?:[0-9a-fA-F]{2}[:\s]?){12,}")
+#: Encoded runs as they stand in a text: base64 over any number of lines (the
+#: lines after the first hold nothing else), hex with or without separators, and
+#: tokens with percent or escape codes.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{12,}={0,2}(?:[ \t]*\\?\r?\n[ \t]*(?:(?:#|//|\*|>|\|)[ \t]*)?(?:[A-Za-z0-9+/_\-]+={0,2}|={1,2})(?=[ \t]*(?:\\?\r?\n|[\"'`]|\Z)))*")
+_HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:0x)?[0-9a-fA-F]{2}(?:(?:[:\s]|\s*\n[ \t]*)?[0-9a-fA-F]{2}){11,}(?![0-9A-Za-z])")
+_CODE_RUN = re.compile(r"(?:[\w.~+\-]*(?:%[0-9A-Fa-f]{2}|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\[0-7]{3}|&#x?[0-9a-fA-F]+;))+[\w.~+\-]*")
+_WRAP = re.compile(r"[ \t]*\\?\r?\n[ \t]*(?:(?:#|//|\*|>|\|)[ \t]*)?")
 _ESC = re.compile(r"\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\[0-7]{3}|&#x?[0-9a-fA-F]+;")
 
 
@@ -272,6 +279,62 @@ def encoded_secret(v: str, kind: str | None, depth: int = 0) -> bool:
     return False
 
 
+def _says(v: str) -> bool:
+    """Whether base64 may say something: its first bytes are text, or those of a
+    key container.  Spares most names and paths a closer look."""
+    try:
+        raw = base64.b64decode(v[:24].replace("-", "+").replace("_", "/").rstrip("=")[: len(v[:24].rstrip("=")) // 4 * 4])
+    except (binascii.Error, ValueError):
+        return False
+    return raw[:1] == b"0" or raw.startswith((b"openssh-key", b"PuTTY-User")) or not raw.translate(None, _TEXT_BYTES)
+
+
+_TEXT_BYTES = bytes([9, 10, 13, *range(32, 127), *range(128, 256)])
+
+
+def _encoded_runs(text: str, depth: int, add) -> None:
+    """Encoded runs wherever they stand, in literals or outside them."""
+    for m in _RUN.finditer(text):
+        whole = m[0]
+        if "\n" not in whole:
+            if len(whole) >= 16 and _says(whole) and encoded_secret(whole, None, depth):
+                add(m.start(), m.end(), "encoded")
+            continue
+        # lines and where they begin; a run may hold a word before or after the wrapped value
+        lines, at = [], 0
+        for w in _WRAP.finditer(whole):
+            lines.append((at, w.start()))
+            at = w.end()
+        lines.append((at, len(whole)))
+        i, tried, last = 0, 0, len(lines) - 1
+        while i <= last:
+            a, b = lines[i]
+            if not _says(whole[a:b]):
+                i += 1
+                continue
+            ends = [i]
+            if i >= tried:
+                # the wrapped value ends with padding, with the run or a line before, or with the first line of another width
+                width = lines[min(i + 1, last)][1] - lines[min(i + 1, last)][0]
+                full = next((j for j in range(i, last) if whole[lines[j][1] - 1] == "="), last)
+                even = next((j for j in range(i + 1, last) if lines[j][1] - lines[j][0] != width), last)
+                ends, tried = [full, last, last - 1, even, even - 1, i], even
+            for j in dict.fromkeys(ends):
+                v = "".join(whole[x:y] for x, y in lines[i : j + 1])
+                if len(v) >= 16 and encoded_secret(v, None, depth):
+                    add(m.start() + a, m.start() + lines[j][1], "encoded")
+                    i = j
+                    break
+            i += 1
+    for m in _HEX_RUN.finditer(text):
+        if encoded_secret(re.sub(r"[:\s]", "", m[0]), None, depth):
+            add(m.start(), m.end(), "encoded")
+    if "%" in text or "\\" in text or "&#" in text:
+        for m in _CODE_RUN.finditer(text):
+            if len(m[0]) >= 9 and encoded_secret(m[0], None, depth):
+                add(m.start(), m.end(), "encoded")
+
+
 def _direct(v: str) -> bool:
     """A decoded text that is a credential as a whole."""
     m = TOKENS.fullmatch(v.strip())
@@ -370,6 +433,8 @@ def find(text: str, lang: str = "text", depth: int = 0) -> list[Finding]:
             add(m.start(), m.end(), "private-key")
     for s, e in _lines(text, lang):
         _search(text, s, e, lang, depth, add)
+    if depth < MAX_LAYERS - 1:
+        _encoded_runs(text, depth, add)
     for s, e in _blocks(text):
         q, left = text[s : s + 3], _left(text, s)
         if q in ('"""', "'''") and _GIVEN.search(left):
@@ -424,7 +489,7 @@ def _search(text: str, s: int, e: int, lang: str, depth: int, add) -> None:
     for m in LITERAL.finditer(part):
         g = m.lastgroup
         v, a = m[g], s + m.start(g)
-        if len(v) < 4 or "\n" in v and g == "b" and len(v) > 4000:
+        if len(v) < 4:
             continue
         left = _left(text, s + m.start())
         _literal(v, a, left, depth, add)

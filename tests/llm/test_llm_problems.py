@@ -195,6 +195,46 @@ def test_key_containers_by_grammar():
     assert len(find(text, "py")) == 1
 
 
+def _wrapped(raw, width=64, indent=""):
+    v = base64.b64encode(raw).decode()
+    return "\n".join(indent + v[i : i + width] for i in range(0, len(v), width))
+
+
+@pytest.mark.parametrize("n", [40, 3400, 30000])
+def test_encoded_runs_are_read_wherever_they_stand(n):
+    tlv = lambda t, v: bytes([t, 0x82]) + len(v).to_bytes(2, "big") + v
+    algorithm = bytes([0x30, 13, 6, 9]) + b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01\x05\x00"
+    der = tlv(0x30, b"\x02\x01\x00" + algorithm + tlv(4, random.Random(n).randbytes(n)))
+    pem = f"-----BEGIN PRIVATE KEY-----\n{_wrapped(der)}\n-----END PRIVATE KEY-----\n"
+    assert [f.kind for f in find(pem, "text")] == ["private-key"]
+    for raw in (der, pem.encode(), base64.b64encode(pem.encode())):
+        flat, lines = base64.b64encode(raw).decode(), _wrapped(raw)
+        for lang, text in [
+            ("text", f"The blob was {flat} until now."),
+            ("text", f"Old key container:\n\n{lines}\n\nIt is gone."),
+            ("text", f"Hex: {raw.hex()} ends."),
+            ("text", f"Hex:\n{raw.hex(':')}\nThen none."),
+            ("yaml", f"data:\n  blob: |\n{_wrapped(raw, 64, '    ')}\n  port: 80\n"),
+            ("py", f'blob = """\n{lines}\n"""\nport = 80'),
+            ("ts", f"const blob = `\n{lines}\n`;\nconst port = 80;"),
+            ("ts", f"// {flat}\nlet n = 1;"),
+        ]:
+            found = find(text, lang)
+            assert len(found) == 1, (lang, text[:40], found)
+            clean = redact(text, found)
+            assert not any(x in clean for x in (flat[40:80], raw.hex()[80:120], raw.hex(":")[90:130])) and clean[-4:] == text[-4:]
+    public = tlv(0x30, algorithm + tlv(3, random.Random(n).randbytes(n)))
+    assert find(f"key:\n{_wrapped(public)}\n", "yaml") == [] and find(f"It was {base64.b64encode(public).decode()} then.") == []
+
+
+def test_coded_runs_in_prose():
+    code = "".join(f"%{b:02x}" for b in b"password=Tr0ub4dor&3")
+    assert len(find(f"It read {code} back then.")) == 1
+    code = "".join(f"\\x{b:02x}" for b in b"ghp_" + b"aB3" * 12)
+    assert len(find(f"It read {code} back then.")) == 1
+    assert find("src/components/dashboard/panels and a%20b%20c%20d were moved") == []
+
+
 def test_pieces_are_one_credential():
     text = 'const k = "AKIAQ7" +\n  "Z2M4X6B8" + "N1C3V5";\nconst n = 1;'
     found = find(text, "ts")
