@@ -15,7 +15,8 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 def p10_sharing(spark: SparkSession, sf: str) -> DataFrame:
     """Per document, bytes in all, shared, and removable as non-first copies."""
     docs = table(spark, sf, "documents")
-    return sharing(docs, "doc_id", long_shared(docs, "doc_id", "text")[1])
+    found, spans = long_shared(docs, "doc_id", "text")
+    return sharing(docs, "doc_id", spans.join(found, "doc_id", "left_semi"))
 
 
 QUERIES = {f.__name__: f for f in (p10_found, p10_sharing)}

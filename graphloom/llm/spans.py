@@ -26,6 +26,8 @@ CLEAR = 32
 #: Every stretch of that many bytes inside a long sentence has a mark.
 WINNOW = 32
 STEP = 16
+#: A shared stretch holds a run that begins at most so many bytes after it: the gap between marks, and their context.
+REACH = 2 * CLEAR + WINNOW + WINNOW + 8
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -191,6 +193,61 @@ def _emit_windows(sizes: tuple[int, ...], back: tuple[int, ...]):
     return run
 
 
+def _emit_starts(size: int, back: int, run_bytes: int):
+    """Hashes of the windows of ``size`` characters that begin up to ``back``
+    characters before the places asked for, and where in bytes they begin and end.
+
+    A window that stands elsewhere holds only repeated runs; those with another
+    run, clear of both ends by the context of marks, are left out.
+    """
+    clear = WINNOW + 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            asked = batch.column(2)
+            counts = np.diff(np.asarray(asked.offsets))
+            every = asked.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.r_[0, np.cumsum(counts)]
+            for row, data, begin in _chunks(batch, 1):
+                rows = np.arange(row, row + len(begin) - 1)
+                owner = np.repeat(rows - row, counts[rows])
+                if not len(owner):
+                    continue
+                places = every[first[row] : first[row + len(begin) - 1]] + begin[owner]
+                char = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
+                low, high = np.searchsorted(char, begin[:-1]), np.searchsorted(char, begin[1:])
+                at = np.searchsorted(char, places)
+                change = np.zeros(len(char) + 1, np.int64)
+                np.add.at(change, np.maximum(at - back, low[owner]), 1)
+                np.add.at(change, at + 1, -1)
+                m = marks(data, begin)
+                to = np.searchsorted(m, m + run_bytes, "left")
+                m, to = m[to < len(m)], m[np.minimum(to, len(m) - 1)][to < len(m)]
+                ok = (to < begin[np.searchsorted(begin, m, "right")]) & ~np.isin(m, places)
+                first_out = np.searchsorted(char, to[ok] + clear) - size
+                last_out = np.searchsorted(char, m[ok] - clear, "right") - 1
+                own = np.searchsorted(begin, m[ok], "right") - 1
+                first_out = np.maximum(first_out, low[own])
+                ok = first_out <= last_out
+                out = np.zeros(len(char) + 1, np.int64)
+                np.add.at(out, first_out[ok], 1)
+                np.add.at(out, last_out[ok] + 1, -1)
+                start = np.flatnonzero((np.cumsum(change) > 0) & (np.cumsum(out) == 0))
+                own = np.searchsorted(low, start, "right") - 1
+                ok = start + size <= high[own]
+                start, own = start[ok], own[ok]
+                if len(start):
+                    s, e = char[start], char[start + size]
+                    a, b = Hashes(data).of(s, e), Hashes(data, _B).of(s, e)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(own + row)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array((s - begin[own]).astype(np.int32)), pa.array((e - begin[own]).astype(np.int32))],
+                        names=["doc_id", "h1", "h2", "s", "e"],
+                    )
+
+    return run
+
+
 _WINDOWS = "doc_id long, h1 long, h2 long, s int, kind int"
 
 
@@ -222,9 +279,8 @@ def long_shared(documents: DataFrame, doc_id: str, text: str, least: int = 400,
     doesn't count; rows of the same id are one record; null ids are left out;
     extra columns are ignored.
     """
-    gap = 2 * CLEAR + WINNOW
     # a run can end up to one gap later than run_chars, after up to one gap and the context at either end
-    reach = gap + WINNOW + 8
+    reach = REACH
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     long_enough = docs.filter(F.length("text") >= least)
     spans = runs(long_enough, run_chars)
@@ -251,21 +307,45 @@ def long_shared(documents: DataFrame, doc_id: str, text: str, least: int = 400,
     return found.unionByName(fine.select("doc_id")).distinct(), hit
 
 
-def sharing(documents: DataFrame, doc_id: str, spans: DataFrame) -> DataFrame:
-    """How much of each record its repeated runs cover.
+def verified(documents: DataFrame, doc_id: str, spans: DataFrame, least: int = 400, text: str = "text", run_chars: int = 128) -> DataFrame:
+    """``doc_id, s, e, first_doc``: every window of ``least`` characters that stands
+    in more than one record, by its bytes, and the least record that holds it.
 
-    ``doc_id, n_bytes, shared_bytes, removable_bytes``: bytes of the text, of the
-    sentences covered by any repeated run, and of those covered by a run whose
-    first record is another one, which deduplication would remove.  Records
-    without shared runs have zeros.
+    A shared window begins at most ``REACH`` before one of its repeated runs
+    (``spans``), so all windows that begin there are compared, character by
+    character; their union is the maximal shared stretches.  Rows arise per
+    character of such stretches, not per character of the table, and no pairs.
     """
-    def covered(part: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy("doc_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-        d = part.select("doc_id", "s", "e").distinct().withColumn("_to", F.coalesce(F.max("e").over(w), F.lit(0)))
-        return d.groupBy(F.col("doc_id").alias("_d")).agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "_to"))).alias(name))
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & (F.length("text") >= least))
+    places = checkpoint(spans.groupBy("doc_id").agg(F.collect_set("s").alias("places")))
+    windows = _with_places(docs, places).mapInArrow(_emit_starts(least, REACH, run_chars), "doc_id long, h1 long, h2 long, s int, e int")
+    # one shuffle of the windows; a group beyond memory is spilled
+    w = Window.partitionBy("h1", "h2")
+    met = windows.withColumn("first_doc", F.min("doc_id").over(w)).withColumn("_last", F.max("doc_id").over(w))
+    return met.filter("first_doc < _last").select("doc_id", "s", "e", "first_doc")
+
+
+def sharing(documents: DataFrame, doc_id: str, spans: DataFrame, least: int = 400, text: str = "text") -> DataFrame:
+    """How much of each record stands in others, too.
+
+    ``doc_id, n_bytes, shared_bytes, removable_bytes``: bytes of the text, of its
+    stretches of at least ``least`` characters that stand unchanged in another
+    record, and of the windows in them whose first record is another one, which
+    deduplication would remove.  ``spans`` are the repeated runs, of
+    all records or of those found.  Exact to the character at both ends.  Records
+    without shared stretches have zeros.
+    """
+    spans = verified(documents, doc_id, spans, least, text)
 
-    every = covered(spans, "shared_bytes")
-    later = covered(spans.filter("first_doc <> doc_id"), "removable_bytes")
-    n = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length("text").alias("n_bytes")).filter("doc_id is not null").groupBy("doc_id").agg(F.max("n_bytes").alias("n_bytes"))
-    out = n.join(every, F.col("doc_id") == F.col("_d"), "left").drop("_d").join(later, F.col("doc_id") == F.col("_d"), "left")
+    def add(seen, size: str):
+        # windows in order: what reaches beyond those before
+        w = Window.partitionBy("doc_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+        to = F.coalesce(F.max(F.when(seen, F.col("e"))).over(w), F.lit(0))
+        return F.when(seen, F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s"), to))).otherwise(0).alias(size)
+
+    every = add(F.lit(True), "shared_bytes")
+    later = add(F.col("first_doc") < F.col("doc_id"), "removable_bytes")
+    cover = spans.select("doc_id", every, later).groupBy(F.col("doc_id").alias("_d")).agg(F.sum("shared_bytes").alias("shared_bytes"), F.sum("removable_bytes").alias("removable_bytes"))
+    n = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(text).alias("n_bytes")).filter("doc_id is not null").groupBy("doc_id").agg(F.max("n_bytes").alias("n_bytes"))
+    out = n.join(cover, F.col("doc_id") == F.col("_d"), "left")
     return out.select("doc_id", F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"), F.coalesce("shared_bytes", F.lit(0)).cast("long").alias("shared_bytes"), F.coalesce("removable_bytes", F.lit(0)).cast("long").alias("removable_bytes"))

@@ -303,6 +303,39 @@ def test_shared_spans_equal_brute_force(spark):
     assert long_shared(df.limit(0), "doc_id", "text")[0].count() == 0
 
 
+def test_sharing_equals_brute_force(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnopé") for _ in range(r.randint(2, 9)))
+    words = lambda n: "".join(word() + r.choice([" ", " ", ". ", "\n", "。"]) for _ in range(n))
+    pool = [words(400), words(300), "".join(word() for _ in range(300))]
+    docs = [(0, pool[0]), (1, pool[0]), (2, words(20) + pool[1][100:300] + words(20)), (3, pool[1][50:400])]
+    for d in range(4, 50):
+        p = r.choice(pool)
+        k, n = r.randint(0, 400), r.choice([128, 300, 399, 400, 401, 450, 700])
+        docs.append((d, words(r.randint(0, 30)) + p[k : k + n] + words(r.randint(0, 30))))
+    docs += [(90, None), (91, ""), (92, docs[1][1])]
+    holders = {}
+    for d, t in docs:
+        for i in range(len(t or "") - 399):
+            holders.setdefault(t[i : i + 400], set()).add(d)
+    want = {}
+    for d, t in docs:
+        t, shared, later = t or "", set(), set()
+        for i in range(len(t) - 399):
+            who = holders[t[i : i + 400]]
+            if len(who) > 1:
+                shared |= set(range(i, i + 400))
+            if len(who) > 1 and min(who) < d:
+                later |= set(range(i, i + 400))
+        size = lambda at: sum(len(t[i].encode()) for i in at)
+        want[d] = (len(t.encode()), size(shared), size(later))
+    assert want[1][0] == want[1][1] == want[1][2] and want[0][2] == 0 and any(0 < w[1] < w[0] for w in want.values()) and any(w[1] == 0 < w[0] for w in want.values())
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found, spans = long_shared(df, "doc_id", "text")
+    for part in (spans, spans.join(found, "doc_id", "left_semi")):
+        assert {x["doc_id"]: (x["n_bytes"], x["shared_bytes"], x["removable_bytes"]) for x in sharing(df, "doc_id", part).collect()} == want
+
+
 def test_mixture_meets_targets(spark):
     r = random.Random(6)
     docs = [(i, r.choice("aaaaab"), r.choice(["en", None]), r.choice("xyz"), r.randint(5, 400)) for i in range(4000)] + [(9999, "c", "en", "x", 100), (9998, None, "en", "x", 1), (9997, "a", "en", "x", 0)]
