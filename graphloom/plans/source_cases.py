@@ -37,8 +37,8 @@ def import_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 def detected_packages(spark: SparkSession, sf: str) -> DataFrame:
     """Packages of every checkout, named by their place in it."""
-    files = table(spark, sf, "graph_nodes").filter("file_path like '/srv/checkout/quarry/%'").select("file_path").distinct()
-    return trees.detect_packages(files, "/srv/checkout/quarry")
+    files = table(spark, sf, "graph_nodes").select("file_path").distinct()
+    return trees.packages_by_root(files.withColumn("root", trees.checkout_root(F.col("file_path"))))
 
 
 def source_files(spark: SparkSession, sf: str) -> DataFrame:

@@ -63,22 +63,41 @@ def detect_packages(files: DataFrame, root: str) -> DataFrame:
     ``src`` if they have one; other top-level directories only with a ``src``.  A
     name in use gets ``-2``, ``-3`` and so on; without any package the root is one.
     """
-    rel = F.regexp_replace("file_path", "^" + re.escape(root.rstrip("/")) + "/", "")
-    parts = files.select(F.split(rel, "/").alias("p"))
+    one = F.lit(root.rstrip("/"))
+    named = packages_by_root(files.select("file_path", one.alias("root"))).select("name", "dir")
+    none = files.sparkSession.createDataFrame([("root", ".")], "name string, dir string").join(named.agg(F.count("*").alias("_c")), F.col("_c") == 0).select("name", "dir")
+    return named.unionByName(none)
+
+
+def checkout_root(path: Column) -> Column:
+    """The checkout a file belongs to: ``.../checkout/<repository>``, else the
+    directory the path begins with; null for a bare file name (O-03)."""
+    known = F.regexp_extract(path, r"^(.*?/checkout/[^/]+)/", 1)
+    top = F.regexp_extract(path, r"^(/?[^/]+)/", 1)
+    return F.when(known != "", known).when(top != "", top)
+
+
+def packages_by_root(files: DataFrame) -> DataFrame:
+    """``root, name, dir`` of the packages of every root (O-03): ``detect_packages``
+    for ``files`` (``file_path, root``) of many repositories at once.  Files
+    without a root or outside it are left out."""
+    known = files.filter(F.startswith("file_path", F.concat("root", F.lit("/"))))
+    rel = F.expr("substring(file_path, length(root) + 2)")
+    parts = known.select("root", F.split(rel, "/").alias("p"))
     n = F.size("p")
     first, second, third = F.col("p")[0], F.try_element_at("p", F.lit(2)), F.try_element_at("p", F.lit(3))
     mono = first.isin("apps", "packages") & (n >= 3)
     kinds = F.when((first == "src") & (n >= 2), F.struct(F.lit(0).alias("o"), F.lit("app").alias("name"), F.lit("src").alias("dir"), F.lit(True).alias("src")))
     kinds = kinds.when(mono, F.struct(F.when(first == "apps", 1).otherwise(2).alias("o"), second.alias("name"), F.concat_ws("/", first, second).alias("dir"), ((third == "src") & (n >= 4)).alias("src")))
     kinds = kinds.when((second == "src") & (n >= 3) & ~first.startswith("."), F.struct(F.lit(3).alias("o"), first.alias("name"), first.alias("dir"), F.lit(True).alias("src")))
-    found = parts.select(kinds.alias("k")).filter("k is not null").select("k.*").groupBy("o", "name", "dir").agg(F.max("src").alias("src"))
+    found = parts.select("root", kinds.alias("k")).filter("k is not null").select("root", "k.*").groupBy("root", "o", "name", "dir").agg(F.max("src").alias("src"))
     found = found.withColumn("dir", F.when(F.col("src") & (F.col("dir") != "src"), F.concat("dir", F.lit("/src"))).otherwise(F.col("dir")))
     from pyspark.sql import Window
 
-    k = F.row_number().over(Window.partitionBy("name").orderBy("o", "dir"))
-    named = found.withColumn("_k", k).select(F.when(F.col("_k") > 1, F.concat("name", F.lit("-"), F.col("_k").cast("string"))).otherwise(F.col("name")).alias("name"), "dir")
-    none = files.sparkSession.createDataFrame([("root", ".")], "name string, dir string").join(named.agg(F.count("*").alias("_c")), F.col("_c") == 0).select("name", "dir")
-    return named.unionByName(none)
+    k = F.row_number().over(Window.partitionBy("root", "name").orderBy("o", "dir"))
+    named = found.withColumn("_k", k).select("root", F.when(F.col("_k") > 1, F.concat("name", F.lit("-"), F.col("_k").cast("string"))).otherwise(F.col("name")).alias("name"), "dir")
+    bare = known.select("root").distinct().join(named.select(F.col("root").alias("_r")).distinct(), F.col("root") == F.col("_r"), "left_anti")
+    return named.unionByName(bare.select("root", F.lit("root").alias("name"), F.lit(".").alias("dir")))
 
 
 def _up(c: Column, levels: Column) -> Column:

@@ -148,3 +148,19 @@ def test_session_stream(spark, tmp_path):
     q = sync.merge_sessions(sync.follow(spark, str(tmp_path / "in"), schema)).writeStream.outputMode("update").format("memory").queryName("notes").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["session_id"], r["last_id"], r["n_events"], r["summary"]) for r in spark.sql("SELECT * FROM notes").collect()} == {("s", 2, 2, "a\n---\nb"), ("t", 3, 1, "")}
+
+
+def test_packages_of_every_root(spark):
+    paths = ["/srv/checkout/a/src/x.py", "/srv/checkout/a/apps/web/src/y.ts", "/srv/checkout/b/apps/web/y.ts", "/srv/checkout/b/packages/web/z.ts", "/srv/checkout/c/readme.py", "/opt/tools/src/t.rs", "lone.py", None]
+    files = spark.createDataFrame([(p,) for p in paths], "file_path string").withColumn("root", trees.checkout_root(F.col("file_path")))
+    got = {tuple(r) for r in trees.packages_by_root(files).collect()}
+    c = "/srv/checkout/"
+    assert got == {(c + "a", "app", "src"), (c + "a", "web", "apps/web/src"), (c + "b", "web", "apps/web"), (c + "b", "web-2", "packages/web"), (c + "c", "root", "."), ("/opt", "tools", "tools/src")}
+
+
+def test_detected_packages_leave_no_checkout_out(spark):
+    from graphloom.plans import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    roots = {"/".join(r["file_path"].split("/")[:4]) for r in spark.read.parquet(sf + "/graph_nodes.parquet").select("file_path").filter("file_path like '/srv/checkout/%/%'").distinct().collect()}
+    assert len(roots) > 1 and {r["root"] for r in QUERIES["detected_packages"](spark, sf).collect()} >= roots
