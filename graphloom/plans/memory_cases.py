@@ -96,9 +96,8 @@ def trigram_recall(spark, sf) -> DataFrame:
     return e.select("id", sim.alias("similarity")).filter("similarity >= 0.3")
 
 
-def hybrid_recall(spark, sf) -> DataFrame:
-    """Documents and embeddings as memory items, recalled by both measures."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("text"), F.col("doc_kind").alias("kind"), "created_at")
+def _recalled(spark, sf, text) -> DataFrame:
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.alias("text"), F.col("doc_kind").alias("kind"), "created_at")
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vec"))
     n = v.count()
     items = d.join(v, F.pmod("id", F.lit(n)) == F.col("_v")).select("kind", "id", "text", "vec", F.array(F.concat(F.lit("ref-"), (F.col("id") % 7).cast("string"))).alias("graph_refs"), "created_at", F.when(F.col("id") % 11 == 0, "superseded").otherwise("active").alias("status"))
@@ -107,6 +106,17 @@ def hybrid_recall(spark, sf) -> DataFrame:
     return out.select("kind", "id", F.round("similarity", 6).alias("similarity"), F.round("lexical", 6).alias("lexical"), F.round("score", 6).alias("score"))
 
 
+def hybrid_recall(spark, sf) -> DataFrame:
+    """Documents and embeddings as memory items, recalled by both measures; as in
+    its SQL, on the first 200 characters of each text."""
+    return _recalled(spark, sf, F.substring("text", 1, 200))
+
+
+def hybrid_recall_text(spark, sf) -> DataFrame:
+    """The same on whole texts."""
+    return _recalled(spark, sf, F.col("text"))
+
+
 def exact_duplicates(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents").groupBy(tx.content_hash(F.col("text")).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
     return d.filter("n > 1")
@@ -145,7 +155,7 @@ def route_table(spark, sf) -> DataFrame:
     return f.select("file_path", "name", "http_method", tx.join_route(F.lit("/api/"), F.col("route_path")).alias("route"))
 
 
-_Q = (decision_distribution, decision_target, decision_flags, decision_verdicts, migration_progress, off_target_backlog, minority_outliers, session_merge, supersede_chain, session_timeline, caveat_resolution, trigram_recall, hybrid_recall, exact_duplicates, normalize_body, function_signatures, redact_shapes, path_parts, domain_counts, route_table)
+_Q = (decision_distribution, decision_target, decision_flags, decision_verdicts, migration_progress, off_target_backlog, minority_outliers, session_merge, supersede_chain, session_timeline, caveat_resolution, trigram_recall, hybrid_recall, hybrid_recall_text, exact_duplicates, normalize_body, function_signatures, redact_shapes, path_parts, domain_counts, route_table)
 QUERIES = {f.__name__: f for f in _Q}
 
 _EV = "ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, created_at DESC, summary DESC) AS rn FROM agent_events) WHERE rn = 1)"
@@ -226,3 +236,4 @@ SELECT id, md5(m) AS masked_md5, kinds FROM r WHERE kinds <> ''""",
     "domain_counts": "SELECT coalesce(domain, 'unclassified') AS domain, count(DISTINCT (file_path, name)) AS n_functions FROM function_nodes GROUP BY 1",
     "route_table": "SELECT DISTINCT file_path, name, http_method, regexp_replace(regexp_replace('/' || '/api/' || coalesce('/' || route_path, ''), '/{2,}', '/', 'g'), '(.)/$', '\\1') AS route FROM function_nodes WHERE http_method IS NOT NULL",
 }
+ORACLE["hybrid_recall_text"] = ORACLE["hybrid_recall"].replace("substr(d.text, 1, 200) AS text", "d.text")

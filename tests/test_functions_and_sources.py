@@ -164,3 +164,15 @@ def test_detected_packages_leave_no_checkout_out(spark):
     sf = "/root/testdata/sf0.01"
     roots = {"/".join(r["file_path"].split("/")[:4]) for r in spark.read.parquet(sf + "/graph_nodes.parquet").select("file_path").filter("file_path like '/srv/checkout/%/%'").distinct().collect()}
     assert len(roots) > 1 and {r["root"] for r in QUERIES["detected_packages"](spark, sf).collect()} >= roots
+
+
+@pytest.mark.parametrize("name", ["hybrid_recall_text"])
+def test_whole_tables_equal_sql_at_scale(spark, name):
+    from parity import compare
+
+    from graphloom.plans import ORACLE, QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    assert compare(spark, sf, name, QUERIES[name], ORACLE[name]) is None
+    whole = {tuple(r) for r in QUERIES[name](spark, sf).collect()}
+    assert whole != {tuple(r) for r in QUERIES[name.rsplit("_", 1)[0]](spark, sf).collect()}
