@@ -114,6 +114,15 @@ def data_flow_cyclic(spark, sf) -> DataFrame:
     return traverse.reach(e, spark.createDataFrame([(1,), (2,), (50,)], "start long"), 6)
 
 
+def data_flow_cyclic_all(spark, sf) -> DataFrame:
+    """The same over all of ``part``, with as many nodes as it has rows, from
+    parts 1, 2 and 50."""
+    p = table(spark, sf, "part").select("p_partkey")
+    n = p.count()
+    e = p.select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % n + 1).alias("dst")).unionByName(p.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") % 5 + 1).alias("dst")))
+    return traverse.reach(e, spark.createDataFrame([(1,), (2,), (50,)], "start long"), 6)
+
+
 def neighbourhood_expand(spark, sf) -> DataFrame:
     g = star_graph(spark, sf)
     return traverse.neighbours(g.edges, g.labelled("Module").select(F.col("id").alias("ref")).filter("ref in ('Module:1', 'Module:2')"))
@@ -216,7 +225,7 @@ def graph_counts(spark, sf) -> DataFrame:
     return g.nodes.groupBy(F.concat(F.lit("node:"), F.col("label")).alias("kind")).agg(F.count("*").alias("n")).unionByName(g.edges.groupBy(F.concat(F.lit("edge:"), F.col("type")).alias("kind")).agg(F.count("*").alias("n")))
 
 
-_Q = (module_context_modules, module_context_members, function_lookup, function_detail, name_near_miss, content_search, log_context, recent_changes, constraints_for_scope, data_flow_down, data_flow_up, data_flow_cyclic, neighbourhood_expand, ref_validation, call_resolution, degree_scores, unreferenced_nodes, integrity_duplicates, integrity_required, integrity_chain, integrity_orphans, integrity_suite, cdc_diff, cdc_edge_diff, cdc_apply, cascade_delete, change_links, graph_counts)
+_Q = (module_context_modules, module_context_members, function_lookup, function_detail, name_near_miss, content_search, log_context, recent_changes, constraints_for_scope, data_flow_down, data_flow_up, data_flow_cyclic, data_flow_cyclic_all, neighbourhood_expand, ref_validation, call_resolution, degree_scores, unreferenced_nodes, integrity_duplicates, integrity_required, integrity_chain, integrity_orphans, integrity_suite, cdc_diff, cdc_edge_diff, cdc_apply, cascade_delete, change_links, graph_counts)
 QUERIES = {f.__name__: f for f in _Q}
 
 _STAR = """
@@ -272,6 +281,9 @@ SELECT id, description, severity FROM o WHERE rn = 1 ORDER BY CASE severity WHEN
     "data_flow_up": _walk("Type:1", True),
     "data_flow_cyclic": """WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % 200 + 1 AS dst FROM part WHERE p_partkey <= 200 UNION SELECT p_partkey, p_partkey % 5 + 1 FROM part WHERE p_partkey <= 200),
 w(start, node, hop) AS (SELECT s, s, 0 FROM (VALUES (1::BIGINT), (2), (50)) t(s) UNION SELECT w.start, e.dst, w.hop + 1 FROM w JOIN e ON e.src = w.node WHERE w.hop < 6)
+SELECT start, node, min(hop) AS hop FROM w WHERE hop > 0 GROUP BY ALL""",
+    "data_flow_cyclic_all": """WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % n + 1 AS dst FROM part, n UNION SELECT p_partkey, p_partkey % 5 + 1 FROM part),
+w(start, node, hop) AS (SELECT s, s, 0 FROM (VALUES (1::BIGINT), (2), (50)) t(s) UNION SELECT w.start, e.dst, w.hop + 1 FROM w JOIN e ON e.src = w.node WHERE w.hop < 6)
 SELECT start, node, min(hop) AS hop FROM w WHERE hop > 0 GROUP BY ALL""",
     "neighbourhood_expand": f"""WITH {_STAR}, r AS (SELECT id AS ref FROM nodes WHERE id IN ('Module:1', 'Module:2'))
 SELECT DISTINCT ref, neighbour FROM (SELECT ref, dst AS neighbour FROM r JOIN edges ON src = ref UNION ALL SELECT ref, src FROM r JOIN edges ON dst = ref UNION ALL SELECT ref, ref FROM r)""",

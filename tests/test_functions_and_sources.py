@@ -166,7 +166,7 @@ def test_detected_packages_leave_no_checkout_out(spark):
     assert len(roots) > 1 and {r["root"] for r in QUERIES["detected_packages"](spark, sf).collect()} >= roots
 
 
-@pytest.mark.parametrize("name", ["hybrid_recall_text"])
+@pytest.mark.parametrize("name", ["data_flow_cyclic_all", "hybrid_recall_text"])
 def test_whole_tables_equal_sql_at_scale(spark, name):
     from parity import compare
 
