@@ -40,6 +40,15 @@ def test_orphans_equal_brute_force(spark, heavy, few):
     assert {r["id"] for r in got.collect()} == want
 
 
+def test_a_key_with_a_third_of_the_references_is_split_off(spark):
+    lives, refs = lives_and_refs(7)
+    refs += [(1000 + i, f"r{i}", day(3)) for i in range(2000)]
+    want = {i for i, k, at in refs if not (k and at and any(lk == k and b and b <= at and (e is None or at < e) for lk, b, e in lives))}
+    got = orphan_refs(spark.createDataFrame(refs, "id int, key string, at timestamp"), spark.createDataFrame(lives, "key string, first timestamp, last timestamp"), ["key"], "at", "first", "last")
+    assert "Union" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["id"] for r in got.collect()} == want
+
+
 def test_orphans_of_empty_tables(spark):
     refs = spark.createDataFrame([(1, "a", day(0))], "id int, key string, at timestamp")
     lives = spark.createDataFrame([], "key string, first timestamp, last timestamp")
