@@ -4,8 +4,9 @@ A text is searched for written-out values that would let their reader in: known
 token shapes, private key blocks, passwords in URLs and connection strings,
 authorisation headers, literals given to credential names, and values told in
 prose.  Literals are decoded layer by layer (base64, hex, percent and escape
-codes), binary layers are read by the grammar of key containers, and what comes
-out is searched again; a hit inside masks the enclosing literal.
+codes) until nothing decodes any more, binary layers are read by the grammar of
+key containers, and what comes out is searched again; a hit inside masks the
+enclosing literal.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 from urllib.parse import unquote
 
@@ -21,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MASK = "****"
-MAX_LAYERS = 5
 
 
 class Finding(NamedTuple):
@@ -46,6 +46,7 @@ TOKENS = re.compile(
     r")"
 )
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:[^-]|-(?!----))*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?=[\"'`]|\Z))")
+PPK = re.compile(r"PuTTY-User-Key-File-\d: [\w-]+\s+Encryption: [\w-]+[\s\S]*?Private-Lines: \d+\s+(?:[A-Za-z0-9+/=]+\s*)+(?:Private-(?:MAC|Hash): [0-9a-f]+)?")
 URL_LOGIN = re.compile(r"\b[A-Za-z][A-Za-z0-9+.\-]{1,20}://(?P<user>[^\s:/@\"'`<>]*):(?P<value>[^\s/@\"'`]+)@(?=[\w\[$({.-])")
 CONNECTION = re.compile(r"(?i)\b(?:AccountKey|SharedAccessKey|SharedSecret|SharedAccessSignature|Password|Pwd|PassPhrase|ClientSecret|ApiKey|AuthToken|Access[ _]?Key|Secret[ _]?Key)\s?=\s?(?P<value>[^\s;\"'`&(){}\[\]]+)")
 COMMAND = re.compile(r"(?<![\w-])(?:-u|--user|--proxy-user)[ =]+[\"']?[\w.@+-]+:(?P<value>[^\s\"'`]+)|(?<![\w-])--(?:password|passwd|pass|token|api-key|secret|access-token)[ =]+[\"']?(?P<value2>[^\s\"'`]+)|\bsshpass\s+-p\s*[\"']?(?P<value3>[^\s\"'`]+)")
@@ -74,6 +75,9 @@ PASS_ENDINGS = ("password", "passwd", "pwd", "passphrase", "pgpass", "dbpass", "
 SECRETS = {"secret", "token", "auth", "apikey", "accesskey", "secretkey", "privatekey", "authtoken", "authkey", "psk", "bearer", "authorization", "jwt", "pat", "signature"}
 KEY_WORDS = {"api", "access", "secret", "private", "encryption", "encrypt", "signing", "sign", "deploy", "account", "auth", "master", "service", "webhook", "shared", "storage", "client", "session", "ssh", "hmac", "jwt", "app", "admin", "crypto", "license", "root", "aes", "rsa", "pgp", "gpg", "stripe", "aws", "azure", "gcp", "data", "db", "server"}
 NO_TOKEN = {"next", "page", "cursor", "continuation", "sync", "resume", "last", "previous", "prev", "start", "end", "csrf", "xsrf", "lexer", "parser", "syntax", "eof", "public", "pub", "cache", "label", "primary", "foreign", "sort", "partition", "idempotency", "i18n", "translation", "cancellation", "cancel"}
+SURE_PASSWORDS = {"password", "passwd", "pwd", "passphrase", "passwort", "kennwort"}
+UNSURE_BEFORE = {"is", "has", "no", "show", "hide", "reset", "forgot", "forgotten", "change", "confirm", "label", "test", "mock", "fake", "input", "type", "field", "grant"}
+PLAIN_WORDS = {"string", "number", "boolean", "object", "required", "optional", "invalid", "missing", "hidden", "visible", "plain", "plaintext", "hashed", "encrypted", "salted", "masked", "redacted", "bcrypt", "scrypt", "argon", "pbkdf", "prompt", "prompted", "keyboard", "interactive", "manual", "reset", "forgot", "forgotten", "change", "changed", "changeme", "update", "updated", "expired", "disabled", "enabled", "unknown", "undefined", "default", "external", "keyring", "keychain", "keyvault", "manager", "managed", "vault", "secret", "secrets", "password", "passwords", "passphrase", "passwort", "kennwort", "passwd", "credential", "credentials", "token", "tokens", "login", "logins", "username", "userpass", "environment", "config", "configured", "settings", "example", "sample", "placeholder", "dummy", "testing", "nothing", "stored", "generated", "random", "inherit", "provided", "supplied", "mypassword", "yourpassword", "dbpassword", "userpassword", "newpassword", "oldpassword", "currentpassword", "confirmpassword", "adminpassword", "testpassword", "rootpassword", "notset", "unset", "ignored", "removed", "deleted", "omitted", "blank", "empty", "strong", "weaker", "medium", "minimum", "length", "policy", "rotate", "rotated", "rotation"}
 PLACEHOLDERS = re.compile(
     r"(?i)^(?:<[^>]*>?|\[[^\]]*\]|\$\{.*|\$\(.*|\$[A-Za-z_]\w*|\{\{.*|\{[\w. ]*\}|%\w|%\(\w+\)s|%[A-Z_]+%|@[\w.]+@|#\{.*|[*•.\-_xX#?]+|"
     r"(?:change|replace|fill|set|insert|enter|put)[ _\-]?(?:me|it|this|here|in|your.*|before.*)?(?:[ _\-].*)?|your[ _\-].*|my[ _\-]?(?:password|secret|token|key|api[ _\-]?key)|(?:some|any|the|a|new|old|no|default|test|fake|dummy|sample|example|mock|temp|invalid|wrong|bad|expired|not[ _\-]?a)[ _\-]?(?:real[ _\-]?)?(?:password|passwd|pass|secret|token|key|credentials?|value)|"
@@ -118,6 +122,12 @@ def name_kind(name: str) -> str | None:
     return None
 
 
+def sure_name(name: str) -> bool:
+    """Whether a name can only be a password's (``password``, ``DB_PASSWORD``)."""
+    words = [w for w in name_words(name) if not w.isdigit()]
+    return bool(words) and (words[-1] in SURE_PASSWORDS or words[-1].endswith(PASS_ENDINGS)) and not set(words[:-1]) & UNSURE_BEFORE
+
+
 def _varied(v: str) -> bool:
     kinds = bool(re.search(r"[a-z]", v)) + bool(re.search(r"[A-Z]", v)) + bool(re.search(r"\d", v)) + bool(re.search(r"[^\w\s]", v))
     return kinds >= 2 and len(set(v)) >= min(6, len(v) * 0.4)
@@ -127,15 +137,20 @@ def is_placeholder(v: str) -> bool:
     return bool(PLACEHOLDERS.match(v) or PLACE_INSIDE.search(v) or len(set(v)) <= 2)
 
 
-def plausible(value: str, kind: str) -> bool:
+def plausible(value: str, kind: str, sure: bool = False) -> bool:
     """Whether a literal given to a credential name is a value, not an empty or
-    masked one, a placeholder, a look-up, a name, a public key or a hash."""
+    masked one, a placeholder, a look-up, a name, a public key or a hash.
+
+    ``sure``: the name leaves no doubt, so that one plain word is a value, too.
+    """
     v = value.strip()
     if len(v) < 4 or is_placeholder(v) or LOOKUP.match(v) or _HASHED.match(v):
         return False
     if kind == "password":
         if " " in v and not re.search(r"\d", v):
             return False
+        if sure and re.fullmatch(r"[a-z]{6,}", v):
+            return v not in PLAIN_WORDS
         # a password may be plain words; a single lower-case word is a field's name more often
         return bool(re.search(r"[\d\W_]|[a-z][A-Z]|[A-Z].*[a-z]", v)) and not _DOTTED.match(v) and not (re.fullmatch(r"[A-Z][A-Z_]+|[a-z]+(?:_[a-z]+)+", v)) and not _NUMBERISH.match(v)
     if len(v) < 8 or " " in v or _NUMBER.match(v) or _DOTTED.match(v) or _UUID.match(v) and kind != "secret":
@@ -186,12 +201,47 @@ def _tlv(raw: bytes, at: int) -> tuple[int, int, int] | None:
     return (raw[at], at2, at2 + n) if at2 + n <= len(raw) else None
 
 
+_OPENSSH = b"openssh-key-v1\0"
+
+
+def _is_openssh(raw: bytes) -> bool:
+    """Magic, cipher, derivation and its options, number of keys, as many public
+    keys, and the private section: two equal check numbers and a key's type
+    where it isn't encrypted, whole cipher blocks where it is."""
+    at = len(_OPENSSH)
+
+    def field() -> bytes | None:
+        nonlocal at
+        n = int.from_bytes(raw[at : at + 4], "big") if at + 4 <= len(raw) else len(raw)
+        if at + 4 + n > len(raw):
+            return None
+        at += 4 + n
+        return raw[at - n : at]
+
+    head = [field(), field(), field()]
+    if None in head or not head[0] or not head[1] or at + 4 > len(raw):
+        return False
+    keys = int.from_bytes(raw[at : at + 4], "big")
+    at += 4
+    if not 1 <= keys <= len(raw) // 8:
+        return False
+    if any(not field() for _ in range(keys)):
+        return False
+    private = field()
+    if not private or len(raw) - at > 16:
+        return False
+    if head[0] != b"none":
+        return len(private) % 8 == 0
+    n = int.from_bytes(private[8:12], "big")
+    return private[:4] == private[4:8] and 4 <= n <= len(private) - 12 and private[12 : 12 + n].isascii()
+
+
 def is_key_container(raw: bytes) -> bool:
     """Whether bytes are a private key by their grammar: PKCS#8 (plain or
-    encrypted), PKCS#1, SEC1, PKCS#12, OpenSSH or PuTTY; public keys and
-    certificates are not."""
-    if raw.startswith(b"openssh-key-v1\0") or raw.startswith(b"PuTTY-User-Key-File"):
-        return True
+    encrypted), PKCS#1, SEC1, PKCS#12 or OpenSSH; public keys and certificates
+    are not."""
+    if raw.startswith(_OPENSSH):
+        return _is_openssh(raw)
     top = _tlv(raw, 0)
     if not top or top[0] != 0x30 or top[2] < len(raw) - 2 or len(raw) < 24:
         return False
@@ -227,6 +277,18 @@ _WRAP = re.compile(r"[ \t]*\\?\r?\n[ \t]*(?:(?:#|//|\*|>|\|)[ \t]*)?")
 _ESC = re.compile(r"\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\[0-7]{3}|&#x?[0-9a-fA-F]+;")
 
 
+#: Codes of the signs that open codes, any number deep: an escaped backslash, percent sign or ampersand.
+_DEEP = ((re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})"), "%"), (re.compile(r"\\(?:x5[cC]|u005[cC]|u\{5[cC]\}|134)+(?=[xu0-7])"), "\\"), (re.compile(r"&(?:#38;|#x26;|amp;)+(?=#)"), "&"))
+
+
+def _flat(v: str) -> str:
+    """Codes of codes as plain codes, so that a text coded a thousand times over
+    is one layer."""
+    for rx, sign in _DEEP:
+        v = rx.sub(lambda _, s=sign: s, v)
+    return v
+
+
 def _unescape(v: str) -> str:
     def one(m: re.Match) -> str:
         s = m[0]
@@ -242,10 +304,13 @@ def _unescape(v: str) -> str:
 
 def layers(v: str) -> Iterator[str | bytes]:
     """What a literal says one layer down: text, or bytes that are no text."""
-    if _ESC.search(v):
-        yield _unescape(v)
-    if re.search(r"%[0-9A-Fa-f]{2}", v):
-        un = unquote(v)
+    flat = _flat(v) if "%25" in v or "\\" in v or "&" in v else v
+    if _ESC.search(flat):
+        un = _unescape(flat)
+        if un != v:
+            yield un
+    if re.search(r"%[0-9A-Fa-f]{2}", flat):
+        un = unquote(flat)
         if un != v:
             yield un
     s = re.sub(r"\\n|\s+", "", v)
@@ -263,19 +328,40 @@ def layers(v: str) -> Iterator[str | bytes]:
         yield _printable(raw) or raw
 
 
-def encoded_secret(v: str, kind: str | None, depth: int = 0) -> bool:
-    """Whether a credential shows up in a layer below a literal."""
-    for low in layers(v):
-        if isinstance(low, bytes):
-            if is_key_container(low):
+#: Tells whether a credential lies below a literal of a name's kind.
+Deep = Callable[[str, "str | None"], bool]
+
+
+def encoded_secret(v: str, kind: str | None) -> bool:
+    """Whether a credential shows up in any layer below a literal.
+
+    A worklist instead of recursion: every layer is searched as a text, and the
+    encoded literals and runs in it are decoded in turn.  A layer is shorter than
+    what held it and no text is decoded twice, so the length of the text bounds
+    the work, and no depth is set.
+    """
+    todo: list[tuple[str, str | None, int]] = [(v, kind, 0)]
+    seen = {(v, kind)}
+    while todo:
+        at, k, depth = todo.pop()
+        for low in layers(at):
+            if isinstance(low, bytes):
+                if is_key_container(low):
+                    return True
+                continue
+            if depth and k and plausible(low, k) or _direct(low):
                 return True
-            continue
-        if depth and kind and plausible(low, kind):
-            return True
-        if _direct(low) or find(low, "text", depth + 1):
-            return True
-        if depth + 1 < MAX_LAYERS and encoded_secret(low, kind, depth + 1):
-            return True
+
+            def later(x: str, kx: str | None, below: int = depth + 1) -> bool:
+                if (x, kx) not in seen:
+                    seen.add((x, kx))
+                    todo.append((x, kx, below))
+                return False
+
+            if _find(low, "text", later):
+                return True
+            if len(low) >= 8:
+                later(low, k)
     return False
 
 
@@ -292,12 +378,12 @@ def _says(v: str) -> bool:
 _TEXT_BYTES = bytes([9, 10, 13, *range(32, 127), *range(128, 256)])
 
 
-def _encoded_runs(text: str, depth: int, add) -> None:
+def _encoded_runs(text: str, deep: Deep, add) -> None:
     """Encoded runs wherever they stand, in literals or outside them."""
     for m in _RUN.finditer(text):
         whole = m[0]
         if "\n" not in whole:
-            if len(whole) >= 16 and _says(whole) and encoded_secret(whole, None, depth):
+            if len(whole) >= 16 and _says(whole) and deep(whole, None):
                 add(m.start(), m.end(), "encoded")
             continue
         # lines and where they begin; a run may hold a word before or after the wrapped value
@@ -321,46 +407,62 @@ def _encoded_runs(text: str, depth: int, add) -> None:
                 ends, tried = [full, last, last - 1, even, even - 1, i], even
             for j in dict.fromkeys(ends):
                 v = "".join(whole[x:y] for x, y in lines[i : j + 1])
-                if len(v) >= 16 and encoded_secret(v, None, depth):
+                if len(v) >= 16 and deep(v, None):
                     add(m.start() + a, m.start() + lines[j][1], "encoded")
                     i = j
                     break
             i += 1
     for m in _HEX_RUN.finditer(text):
-        if encoded_secret(re.sub(r"[:\s]", "", m[0]), None, depth):
+        if deep(re.sub(r"[:\s]", "", m[0]), None):
             add(m.start(), m.end(), "encoded")
     if "%" in text or "\\" in text or "&#" in text:
         for m in _CODE_RUN.finditer(text):
-            if len(m[0]) >= 9 and encoded_secret(m[0], None, depth):
+            if len(m[0]) >= 9 and deep(m[0], None):
                 add(m.start(), m.end(), "encoded")
 
 
 def _direct(v: str) -> bool:
     """A decoded text that is a credential as a whole."""
     m = TOKENS.fullmatch(v.strip())
-    return bool(m and not is_placeholder(v)) or bool(PEM.search(v))
+    return bool(m and not is_placeholder(v)) or bool(PEM.search(v)) or bool(PPK.search(v))
 
 
 # ---------------------------------------------------------------- the search
 
-# What a line must hold to deserve a closer look.
-CUE_WORDS = ("pass", "kennw", "pwd", "secret", "token", "key", "cred", "auth", "psk", "jwt", "://", "begin", "bearer", "basic", "-u", "\\x", "\\u", "&#")
-_CUE_LOGIN = re.compile(r"log(?:ged|ging)?[ _-]?[io]n|sign(?:ed|ing)?[ _-]?in|\bpat\b")
-_CUE_RUN = re.compile(r"[A-Za-z0-9+/_\-]{20}|(?:%[0-9A-Fa-f]{2}){3}|(?:\\[0-7]{3}){3}|(?:[0-9a-fA-F]{2}[:\s]){11}[0-9a-fA-F]{2}")
-#: How a line ends whose value may stand on the next, and how such a next line begins.
-_OPEN = re.compile(r"(?:[=:(,\[{+\\|>&.]|\b(?:return|is|was|are))[ \t\r]*\Z")
-_GOES_ON = re.compile(r"[ \t]*(?:[=:(,+.]|[\"'`])")
+def _stems(words: set[str]) -> tuple[str, ...]:
+    """The fewest parts one of which every word holds."""
+    kept: list[str] = []
+    for w in sorted(words, key=lambda w: (len(w), w)):
+        if not any(k in w for k in kept):
+            kept.append(w)
+    return tuple(kept)
+
+
+#: What a line must hold to deserve a closer look: part of any name of a credential, or a sign of one of the other shapes.
+CUE_WORDS = _stems({*PASSWORDS, *PASS_ENDINGS, *SECRETS, "key", "token", "secret", "credential"} - {"pat"}) + ("://", "begin", "basic", "digest", "-u", "\\x", "\\u", "&#", "sk-", "xox", "eyj", "sig=")
+_CUE_LOGIN = re.compile(r"log(?:ged|ging)?[ _-]?[io]n|sign(?:ed|ing)?[ _-]?in")
+_CUE_PAT = re.compile(r"[Pp][Aa][Tt](?![a-z])")
+_CUE_RUN = re.compile(r"[A-Za-z0-9+/_\-]{20}|(?:%[0-9A-Fa-f]{2}){3}|(?:\\[0-7]{3}){3}|(?:[0-9a-fA-F]{2}[:\s]){11}[0-9a-fA-F]{2}|\bSG\.[A-Za-z0-9_\-]{16}")
 
 
 def has_cue(text: str) -> bool:
     low = text.lower()
     if any(w in low for w in CUE_WORDS):
         return True
-    if ("log" in low or "sign" in low or "pat" in low) and _CUE_LOGIN.search(low):
+    if ("log" in low or "sign" in low) and _CUE_LOGIN.search(low):
+        return True
+    if "pat" in low and _CUE_PAT.search(text):
+        return True
+    if ("connect" in low or "account" in low or "user" in low) and LOGIN_PROSE.search(text):
         return True
     return len(text) >= 9 and _CUE_RUN.search(text) is not None
 
 
+#: How a line ends whose value may stand on the next, and how such a next line begins.
+_OPEN = re.compile(r"(?:[=:(,\[{+\\|>&.]|\b(?:return|is|was|are))[ \t\r]*\Z")
+_GOES_ON = re.compile(r"[ \t]*(?:[=:(,+.]|[\"'`])")
+
+
 def _lines(text: str, lang: str = "text") -> list[tuple[int, int]]:
     """Stretches worth a closer look: lines with a cue, neighbours as one.
 
@@ -418,11 +520,15 @@ def _blocks(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _BLOCK.finditer(text) if "\n" in m[0]]
 
 
-def find(text: str, lang: str = "text", depth: int = 0) -> list[Finding]:
+def find(text: str, lang: str = "text") -> list[Finding]:
     """Credentials of a text: where their values begin and end.
 
     ``lang``: ``env`` and ``yaml`` take unquoted values; ``text`` is prose.
     """
+    return _find(text, lang, encoded_secret)
+
+
+def _find(text: str, lang: str, deep: Deep) -> list[Finding]:
     got: list[Finding] = []
 
     def add(start: int, end: int, kind: str) -> None:
@@ -431,27 +537,28 @@ def find(text: str, lang: str = "text", depth: int = 0) -> list[Finding]:
     for m in PEM.finditer(text) if "PRIVATE KEY" in text else ():
         if len(re.findall(r"[A-Za-z0-9+/=]", re.sub(r"\\[nrt]", "", m["body"]))) >= 32:
             add(m.start(), m.end(), "private-key")
+    for m in PPK.finditer(text) if "PuTTY-User-Key-File" in text else ():
+        add(m.start(), m.end(), "private-key")
     for s, e in _lines(text, lang):
-        _search(text, s, e, lang, depth, add)
-    if depth < MAX_LAYERS - 1:
-        _encoded_runs(text, depth, add)
+        _search(text, s, e, lang, deep, add)
+    _encoded_runs(text, deep, add)
     for s, e in _blocks(text):
         q, left = text[s : s + 3], _left(text, s)
         if q in ('"""', "'''") and _GIVEN.search(left):
             v = text[s + 3 : e - 3]
-            _literal(v.strip(), s + 3 + len(v) - len(v.lstrip()), re.sub(r"[A-Za-z]{1,2}\Z", "", left), depth, add)
+            _literal(v.strip(), s + 3 + len(v) - len(v.lstrip()), re.sub(r"[A-Za-z]{1,2}\Z", "", left), deep, add)
     for m in SCALAR.finditer(text) if lang in ("env", "yaml") else ():
         kind, v = name_kind(m["name"]), m["value"].strip()
-        if kind and plausible(v if kind == "password" else re.sub(r"\s+", "", v), kind):
+        if kind and plausible(v if kind == "password" else re.sub(r"\s+", "", v), kind, sure_name(m["name"])):
             a = m.start("value") + len(m["value"]) - len(m["value"].lstrip())
             add(a, a + len(v), "assignment")
     if " +" in text or "concat" in text or "\n" in text and '"\n' in text:
         for m in (*CHAIN.finditer(text), *CONCAT.finditer(text)):
-            _joined(text, m, add)
+            _joined(text, m, deep, add)
     return _merged(got)
 
 
-def _search(text: str, s: int, e: int, lang: str, depth: int, add) -> None:
+def _search(text: str, s: int, e: int, lang: str, deep: Deep, add) -> None:
     part = text[s:e]
     low = part.lower()
     has = lambda *words: any(w in low for w in words)
@@ -492,11 +599,11 @@ def _search(text: str, s: int, e: int, lang: str, depth: int, add) -> None:
         if len(v) < 4:
             continue
         left = _left(text, s + m.start())
-        _literal(v, a, left, depth, add)
+        _literal(v, a, left, deep, add)
     if lang in ("env", "yaml"):
         for m in LINE.finditer(part):
             kind, v = name_kind(m["name"]), m["value"]
-            if kind and plausible(v, kind) or encoded_secret(v, kind, depth):
+            if kind and plausible(v, kind, sure_name(m["name"])) or deep(v, kind):
                 add(s + m.start("value"), s + m.end("value"), "assignment")
     for m in INNER.finditer(part):
         kind, v = name_kind(m["name"]), m["value"].rstrip(".,)")
@@ -532,25 +639,25 @@ def _left(text: str, at: int) -> str:
     return text[max(0, at - 120, line - 60) : at]
 
 
-def _literal(v: str, a: int, left: str, depth: int, add) -> None:
+def _literal(v: str, a: int, left: str, deep: Deep, add) -> None:
     if LOGIN_CALL.search(left) and plausible(v, "password"):
         add(a, a + len(v), "login")
         return
     m = LEFT.search(left)
     name = (m["quoted"] or m["name"]) if m else ""
     kind = name_kind(name) if name else None
-    if kind and not re.search(r"[=!]=\s*\Z", left) and plausible(v, kind):
+    if kind and not re.search(r"[=!]=\s*\Z", left) and plausible(v, kind, sure_name(name) and not re.search(r"[(,]\s*\Z", left)):
         # a call takes a credential's name to look it up; a setter takes its value
         call = re.search(r"\(\s*\Z", left)
         setter = re.match(r"(?i)(?:set|with|use|add)", name.rsplit(".", 1)[-1])
         if not call or setter or re.search(r"=\s*\(\s*\Z", left):
             add(a, a + len(v), "assignment")
             return
-    if len(v) >= 16 and (_ESC.search(v) or "%" in v or _B64.fullmatch(re.sub(r"\\n|\s", "", v)) or _HEX.fullmatch(v.strip())) and encoded_secret(v, kind, depth):
+    if len(v) >= 16 and (_ESC.search(v) or "%" in v or _B64.fullmatch(re.sub(r"\\n|\s", "", v)) or _HEX.fullmatch(v.strip())) and deep(v, kind):
         add(a, a + len(v), "encoded")
 
 
-def _joined(text: str, m: re.Match, add) -> None:
+def _joined(text: str, m: re.Match, deep: Deep, add) -> None:
     """A literal written in pieces: judged as a whole, masked piece by piece."""
     at = m.start("args") if "args" in m.re.groupindex else m.start()
     pieces = [(at + p.start(p.lastgroup), at + p.end(p.lastgroup)) for p in LITERAL.finditer(text[at : m.end()])]
@@ -563,10 +670,10 @@ def _joined(text: str, m: re.Match, add) -> None:
     known = LEFT.search(left)
     kind = name_kind(known["quoted"] or known["name"]) if known else None
     hits: list[Finding] = []
-    if TOKENS.fullmatch(whole) and not is_placeholder(whole) or kind and plausible(whole, kind) or encoded_secret(whole, kind):
+    if TOKENS.fullmatch(whole) and not is_placeholder(whole) or kind and plausible(whole, kind) or deep(whole, kind):
         hits = [Finding(0, len(whole), "pieces")]
     else:
-        hits = [h for h in find(whole, "text", MAX_LAYERS - 1) if h.kind != "prose"] if has_cue(whole) else []
+        hits = [h for h in _find(whole, "text", lambda _v, _k: False) if h.kind != "prose"] if has_cue(whole) else []
     for h in hits:
         seen = 0
         first = True

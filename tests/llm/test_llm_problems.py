@@ -14,7 +14,7 @@ from graphloom.llm.leaks import leaks
 from graphloom.llm.mixing import mixture
 from graphloom.llm.neighbours import nearest
 from graphloom.llm.queries import ORACLE, QUERIES
-from graphloom.llm.secrets import find, is_key_container, redact
+from graphloom.llm.secrets import PASS_ENDINGS, PASSWORDS, SECRETS, find, has_cue, is_key_container, name_kind, redact
 from graphloom.llm.spans import long_shared, sharing
 
 SF = "/root/testdata/sf0.001"
@@ -190,7 +190,13 @@ def test_key_containers_by_grammar():
     oid = tlv(0x30, tlv(0x06, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + b"\x05\x00")
     assert is_key_container(tlv(0x30, tlv(2, b"\0") + oid + tlv(4, b"k" * 40)))
     assert not is_key_container(tlv(0x30, oid + tlv(3, b"\0" + b"k" * 40)))
-    assert is_key_container(b"openssh-key-v1\0...") and not is_key_container(b"\x30\x02\x05\x00")
+    assert not is_key_container(b"openssh-key-v1\0...") and not is_key_container(b"\x30\x02\x05\x00")
+    field = lambda v: len(v).to_bytes(4, "big") + v
+    ssh = lambda cipher, private: b"openssh-key-v1\0" + field(cipher) + field(b"none") + field(b"") + b"\0\0\0\1" + field(field(b"ssh-ed25519") + field(b"p" * 32)) + field(private)
+    private = b"abcdabcd" + field(b"ssh-ed25519") + field(b"p" * 32) + field(b"s" * 64) + field(b"me")
+    assert is_key_container(ssh(b"none", private)) and is_key_container(ssh(b"aes256-ctr", b"x" * 64))
+    assert not is_key_container(ssh(b"none", b"abcdefgh" + private[8:])) and not is_key_container(ssh(b"none", private)[:-40]) and not is_key_container(ssh(b"aes256-ctr", b"x" * 63))
+    assert len(find(f'k = "{base64.b64encode(ssh(b"none", private)).decode()}"', "py")) == 1
     text = f'k = "{base64.b64encode(tlv(0x30, tlv(2, bytes(1)) + oid + tlv(4, b"k" * 40))).decode()}"'
     assert len(find(text, "py")) == 1
 
@@ -235,6 +241,63 @@ def test_coded_runs_in_prose():
     assert find("src/components/dashboard/panels and a%20b%20c%20d were moved") == []
 
 
+@pytest.mark.parametrize("name", sorted(PASSWORDS | (SECRETS - {"signature"}) | {"githubPat", "api_key", "DEPLOYKEY", "x" + "credential"} | {"my" + e for e in PASS_ENDINGS}))
+def test_every_name_of_a_credential_is_a_cue(name):
+    assert name_kind(name) and has_cue(f"{name}")
+    assert len(find(f'const {name} = "hK8#mm2!q-Zw41x";', "ts")) == 1
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ('const pw = "Tr0ub4dor&3x"', "Tr0ub4dor&3x"),
+        ('const dbPw = "hK8#mm2!q"', "hK8#mm2!q"),
+        ('password = "correcthorse"', "correcthorse"),
+        ('DB_PASSWORD = "sunshine"', "sunshine"),
+        ('say("xoxb-1234567890ab")', "xoxb-1234567890ab"),
+        ('at = "eyJhbGciOiJ.eyJzdWIiOiI.c2lnbmF0dXJl"', "eyJhbGciOiJ.eyJzdWIiOiI.c2lnbmF0dXJl"),
+        ('id = "sk-a1B2c3D4e5F6g7H8"', "sk-a1B2c3D4e5F6g7H8"),
+        ("# connected as admin / Blue!Horse77 then", "Blue!Horse77"),
+    ],
+)
+def test_no_cue_is_missing(text, value):
+    assert [text[f.start : f.end] for f in find(text, "py")] == [value]
+
+
+@pytest.mark.parametrize("text", ['password = "required"', 'passwordLabel = "sunshine"', 'check(password, "sunshine")', 'is_password = "sunshine"', 'type = "password"'])
+def test_plain_words_that_are_no_passwords(text):
+    assert find(text, "ts") == []
+
+
+@pytest.mark.parametrize("n", [1, 5, 6, 14])
+def test_layers_are_decoded_to_the_last(n):
+    v = b"ghp_" + b"aB3" * 12
+    for _ in range(n):
+        v = base64.b64encode(v)
+    assert [f.kind for f in find(f'x = "{v.decode()}"', "py")] == ["encoded"]
+    assert len(find(f"Was {v.decode()} then.")) == 1
+    other = b"just some words that say nothing at all"
+    for _ in range(n):
+        other = base64.b64encode(other)
+    assert find(f'x = "{other.decode()}"', "py") == []
+
+
+def test_codes_of_codes_are_one_layer():
+    plain = "".join(f"%{b:02x}" for b in b"password=Tr0ub4dor&3")
+    assert len(find(f'x = "{plain.replace("%", "%" + "25" * 2000)}"', "py")) == 1
+    plain = "".join(f"\\x{b:02x}" for b in b"password=Tr0ub4dor&3")
+    back = "\\"
+    assert len(find(f'x = "{plain.replace(back, back + "x5c" * 2000)}"', "py")) == 1
+    plain = "".join(f"&#{b};" for b in b"password=Tr0ub4dor&3")
+    assert len(find(f'x = "{plain.replace("&", "&" + "#38;" * 2000)}"', "py")) == 1
+
+
+def test_putty_keys():
+    key = "PuTTY-User-Key-File-2: ssh-rsa\nEncryption: none\nComment: me\nPublic-Lines: 1\nAAAAB3NzaC1yc2E=\nPrivate-Lines: 1\nAAAAgQDKa9sd8f7gh6Jk\nPrivate-MAC: 0123456789abcdef"
+    assert [f.kind for f in find(key)] == ["private-key"]
+    assert len(find(f'k = "{base64.b64encode(key.encode()).decode()}"', "py")) == 1
+
+
 def test_pieces_are_one_credential():
     text = 'const k = "AKIAQ7" +\n  "Z2M4X6B8" + "N1C3V5";\nconst n = 1;'
     found = find(text, "ts")
