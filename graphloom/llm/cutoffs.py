@@ -3,9 +3,11 @@
 Scores are coded as integers; a dyadic tree holds, for each source, how many
 scores fall into each half, quarter, eighth... of the code range.  The tree is a
 table that grows by one set of node counts per batch, so new records never need
-a second look at old ones.  Finding a cutoff descends from the root to the leaf
-of the target rank and then refines that leaf, by further trees over the
-leaf's own range, until it holds one distinct score.  The result is exact.
+a second look at old ones; beside it lie each batch's scores, counted, of which
+only those of one leaf per source are read again.  Finding a cutoff descends
+from the root to the leaf of the target rank over the counts of all batches and
+then refines that leaf, by further trees over the leaf's own range, until it
+holds one distinct score.  The result is exact.
 """
 
 from __future__ import annotations
@@ -33,19 +35,20 @@ def coded(score: Column, lo: Column, hi: Column, bits: int = BITS) -> Column:
     return F.when(score >= hi, F.lit(top)).when(score <= lo, F.lit(0)).otherwise(F.least(F.greatest(at, F.lit(0)), F.lit(top))).cast("int")
 
 
-def node_counts(records: DataFrame, bits: int = BITS) -> DataFrame:
-    """``source, level, node, cnt, lo, hi`` of all nodes above the leaves in
-    ``records`` (``source, score, leaf``).  Leaves are counted before anything
-    is shuffled; ``lo`` and ``hi`` are the least and greatest score below."""
-    leaves = records.groupBy("source", "leaf").agg(F.count("*").alias("cnt"), F.min("score").alias("lo"), F.max("score").alias("hi"))
-    up = leaves.select("source", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda k: F.floor(F.col("leaf") / F.pow(F.lit(2.0), F.lit(bits) - k)).cast("int"))).alias("level", "node"), "cnt", "lo", "hi")
-    return up.groupBy("source", "level", "node").agg(F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+def node_counts(leaves: DataFrame, bits: int = BITS, by: tuple[str, ...] = ("source",)) -> DataFrame:
+    """``by, level, node, cnt, lo, hi`` of all nodes above the leaves (``by, leaf,
+    cnt, score``).  Leaves are counted before anything is shuffled; ``lo`` and
+    ``hi`` are the least and greatest score below."""
+    low = leaves.groupBy(*by, "leaf").agg(F.sum("cnt").alias("cnt"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    up = low.select(*by, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda k: F.floor(F.col("leaf") / F.pow(F.lit(2.0), F.lit(bits) - k)).cast("int"))).alias("level", "node"), "cnt", "lo", "hi")
+    return up.groupBy(*by, "level", "node").agg(F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 class CountTree:
-    """A persistent tree: one folder of node counts per batch.
+    """A persistent tree: node counts and counted scores per batch, as two tables.
 
-    Adding a batch again replaces its counts, so a retried job does no harm.
+    Adding a batch again replaces it, so a retried job does no harm; a batch
+    counts once its nodes are written, which comes last.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, lo: float = 0.0, hi: float = 1.0, bits: int = BITS):
@@ -55,15 +58,39 @@ class CountTree:
     def leaf(self, score: Column) -> Column:
         return coded(score, F.lit(self.lo), F.lit(self.hi), self.bits)
 
-    def add(self, batch: str, records: DataFrame) -> None:
-        """``records``: ``source, score``; null and NaN scores must be gone."""
-        nodes = node_counts(records.select("source", "score", self.leaf(F.col("score")).alias("leaf")), self.bits)
-        nodes.write.mode("overwrite").parquet(os.path.join(self.path, f"batch={batch}"))
+    def add(self, batch: str | Column, records: DataFrame) -> None:
+        """``records``: ``source, score``; null and NaN scores must be gone.  As a
+        column, ``batch`` adds or replaces several batches in one pass."""
+        name = F.lit(batch) if isinstance(batch, str) else F.coalesce(batch.cast("string"), F.lit("null"))
+        counted = records.groupBy(name.alias("batch"), "source", "score").agg(F.count("*").alias("cnt"))
+        counted = counted.withColumn("leaf", self.leaf(F.col("score")))
+        known = self._write(counted, "scores")
+        self._write(node_counts(known, self.bits, ("batch", "source")), "nodes")
+
+    def _write(self, df: DataFrame, kind: str) -> DataFrame:
+        """Puts the batches of ``df`` in place and returns it as it was written."""
+        df = checkpoint(df)
+        # a hot batch is split, small ones are put together
+        even = df.hint("rebalance", F.col("batch"))
+        even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(os.path.join(self.path, kind))
+        return df
 
     def nodes(self) -> DataFrame:
-        t = self.spark.read.option("recursiveFileLookup", "true").parquet(self.path)
+        """``source, level, node, cnt, lo, hi`` over all batches."""
+        t = self.spark.read.parquet(os.path.join(self.path, "nodes"))
         return t.groupBy("source", "level", "node").agg(F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
+    def scores(self) -> DataFrame:
+        """``source, score, leaf, cnt`` of all batches whose nodes are in place."""
+        t = self.spark.read.parquet(os.path.join(self.path, "scores"))
+        # one row per batch: as many as folders
+        whole = self.spark.read.parquet(os.path.join(self.path, "nodes")).select("batch").distinct()
+        return t.join(maybe_broadcast(whole), "batch", "left_semi").select("source", "score", "leaf", "cnt")
+
+    def drop(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def target_rank(n: int, fraction: float) -> int:
     """The smallest rank from 1 on whose share of ``n`` reaches ``fraction``."""
@@ -113,6 +140,7 @@ def fraction_cutoffs(
     fraction: Column,
     default: float,
     tree: CountTree | None = None,
+    batch: str | Column = "all",
 ) -> tuple[DataFrame, DataFrame]:
     """``(cutoffs, kept)``.
 
@@ -125,36 +153,51 @@ def fraction_cutoffs(
     smallest fraction counts.  A null source is a source of its own.  Ties are
     kept or dropped together.  Tables may be empty; extra columns of ``records``
     come back in ``kept`` unless their names begin with ``_``.
+
+    ``tree`` is a tree that goes on growing: the records are added to it as
+    ``batch`` (in place of an earlier batch of that name), ``cutoffs`` are those
+    of all batches it holds, ``kept`` are the records at hand.  Without one a tree
+    is made for this call and deleted after it.
     """
     spark = records.sparkSession
     own = records.columns
     r = records.withColumn("_source", F.coalesce(source, F.lit("\u0000null"))).withColumn("_raw", score.cast("double"))
     r = r.filter(F.col("_raw").isNotNull() & ~F.isnan("_raw"))
-    r = checkpoint(r.withColumn("_score", F.least(F.greatest("_raw", F.lit(-LARGEST)), F.lit(LARGEST))).drop("_raw"))
-    slim = r.select(F.col("_source").alias("source"), F.col("_score").alias("score"))
-    tree = tree or CountTree(spark, lo=0.0, hi=2.0)
-    tree.add("all", slim)
+    name = F.lit(batch) if isinstance(batch, str) else batch
+    r = checkpoint(r.withColumns({"_score": F.least(F.greatest("_raw", F.lit(-LARGEST)), F.lit(LARGEST)), "_batch": name}).drop("_raw"))
+    grown = tree or CountTree(spark, lo=0.0, hi=2.0)
+    try:
+        grown.add(F.col("_batch"), r.select(F.col("_source").alias("source"), F.col("_score").alias("score"), "_batch"))
+        cutoffs = tree_cutoffs(grown, targets.select(F.coalesce(target_source, F.lit("\u0000null")).alias("source"), fraction.cast("double").alias("f")), default)
+    finally:
+        if tree is None:
+            grown.drop()
+    cut = maybe_broadcast(cutoffs.select(F.col("source").alias("_s"), F.col("cutoff").alias("_cutoff")))
+    kept = r.join(cut, F.col("_source") == F.col("_s")).select(*own, F.col("_source").alias("_src"), "_score", "_cutoff", (F.col("_score") <= F.col("_cutoff")).alias("_keep"))
+    return cutoffs, kept
+
+
+def tree_cutoffs(tree: CountTree, targets: DataFrame, default: float) -> DataFrame:
+    """``source, fraction, n, cutoff`` over all batches of a tree.  ``targets``:
+    ``source, f``."""
     nodes = tree.nodes()
     # a target is a small fact per source: reduced to one row each before the join
-    want = targets.select(F.coalesce(target_source, F.lit("\u0000null")).alias("source"), fraction.cast("double").alias("f")).groupBy("source").agg(F.min("f").alias("f"))
+    want = targets.groupBy("source").agg(F.min("f").alias("f"))
     f = F.when(F.col("f").isNotNull() & ~F.isnan("f"), F.least(F.greatest("f", F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(default))
     goals = nodes.filter("level = 0").select("source").join(want, "source", "left").select("source", f.alias("fraction"), F.lit(0).cast("long").alias("rank"))
     open_ = checkpoint(descend(nodes, goals, tree.bits))
     first = open_
     done = open_.filter("lo = hi").select("source", F.col("lo").alias("cutoff"))
     open_ = open_.filter("lo < hi")
-    inside = slim.withColumn("leaf", tree.leaf(F.col("score")))
+    inside = tree.scores()
     while not open_.isEmpty():
         # refine: only records of the open leaves, recoded over the leaf's own range
         at = maybe_broadcast(open_.select(F.col("source").alias("_s"), F.col("leaf").alias("_l"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")))
         within = inside.join(at, (F.col("source") == F.col("_s")) & (F.col("leaf") == F.col("_l")))
-        inside = checkpoint(within.select("source", "score", coded(F.col("score"), F.col("_lo"), F.col("_hi"), tree.bits).alias("leaf")))
+        inside = checkpoint(within.select("source", "score", "cnt", coded(F.col("score"), F.col("_lo"), F.col("_hi"), tree.bits).alias("leaf")))
         goals = open_.select("source", F.lit(0.0).alias("fraction"), "rank")
         found = checkpoint(descend(node_counts(inside, tree.bits), goals, tree.bits))
         done = done.unionByName(found.filter("lo = hi").select("source", F.col("lo").alias("cutoff")))
         open_ = found.filter("lo < hi")
     sized = first.select("source", "n").join(want, "source", "left").select("source", f.alias("fraction"), "n")
-    cutoffs = checkpoint(sized.join(done, "source"))
-    cut = maybe_broadcast(cutoffs.select(F.col("source").alias("_s"), F.col("cutoff").alias("_cutoff")))
-    kept = r.join(cut, F.col("_source") == F.col("_s")).select(*own, F.col("_source").alias("_src"), "_score", "_cutoff", (F.col("_score") <= F.col("_cutoff")).alias("_keep"))
-    return cutoffs, kept
+    return checkpoint(sized.join(done, "source"))

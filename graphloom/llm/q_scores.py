@@ -16,11 +16,12 @@ def _category(c: str = "category"):
 
 
 def _cutoffs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every run of the judge is a batch of the count tree."""
     j = table(spark, sf, "judged_nodes").filter(F.col("distance").isNotNull() & ~F.isnan("distance")).withColumn("category", _category())
-    j = latest(j, ["node_id", "category"], ["judged_at", "judgment_id"], ["node_id", "category", "judged_at", "judgment_id", "distance"])
+    j = latest(j, ["node_id", "category"], ["judged_at", "judgment_id"], ["node_id", "category", "judged_at", "judgment_id", "distance", "run_id"])
     c = table(spark, sf, "cfm_calibration").withColumn("category", _category())
     c = latest(c, ["category"], ["updated_at", "percentile"], ["category", "updated_at", "percentile", "threshold"])
-    cutoffs, kept = fraction_cutoffs(j.select("judgment_id", "category", "distance"), F.col("category"), F.col("distance"), c, F.col("category"), F.col("percentile"), DEFAULT_FRACTION)
+    cutoffs, kept = fraction_cutoffs(j.select("judgment_id", "category", "distance", "run_id"), F.col("category"), F.col("distance"), c, F.col("category"), F.col("percentile"), DEFAULT_FRACTION, batch=F.col("run_id"))
     return cutoffs, kept, c
 
 

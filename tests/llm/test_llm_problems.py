@@ -108,9 +108,33 @@ def test_tree_grows_by_batches(spark, tmp_path):
     for k in (0, 1, 0):  # adding a batch again replaces it
         parts.add(str(k), df.filter(F.col("id") % 2 == k))
     assert sorted(map(tuple, whole.nodes().collect())) == sorted(map(tuple, parts.nodes().collect()))
+    # a folder of scores whose nodes were never written doesn't count
+    whole.add("late", df)
+    whole.spark.range(1).count()
+    import shutil
+
+    shutil.rmtree(tmp_path / "a" / "nodes" / "batch=late")
+    assert whole.scores().agg(F.sum("cnt")).first()[0] == 500
     assert [target_rank(20, 0.95), target_rank(100, 0.07), target_rank(7, 0.0), target_rank(7, 1.0)] == [19, 7, 1, 7]
 
 
+def test_cutoffs_after_each_batch_equal_brute_force(spark, tmp_path):
+    r = random.Random(8)
+    tree = CountTree(spark, str(tmp_path / "t"), lo=0.0, hi=1.0)
+    goals = spark.createDataFrame([("a", 0.9), ("b", 0.25)], "s string, f double")
+    held = {}
+    for batch in ("one", "two", "three", "two"):
+        rows = [(r.choice("aab"), r.choice([0.5, r.random(), r.random() * 1e-9])) for _ in range(150)] + [("c", r.random())] * 3
+        held[batch] = rows
+        cut, kept = fraction_cutoffs(spark.createDataFrame(rows, "source string, score double"), F.col("source"), F.col("score"), goals, F.col("s"), F.col("f"), 0.8, tree, batch)
+        got = {x["source"]: (x["n"], x["cutoff"]) for x in cut.collect()}
+        want = {}
+        for s, f in (("a", 0.9), ("b", 0.25), ("c", 0.8)):
+            v = sorted(x for part in held.values() for k, x in part if k == s)
+            want[s] = (len(v), next(x for i, x in enumerate(v) if sum(y <= x for y in v) / len(v) >= f))
+        assert got == want and kept.count() == len(rows)
+
+
 # ---------------------------------------------------------------- vectors
 
 
