@@ -2,9 +2,11 @@
 
 An inverted-list index with an adaptive dimension scan.  Equal vectors are one
 class and searched once.  Groups of more than ``single_list`` classes get
-centroids from a bounded sample; every class is indexed in its nearest list and
-asks its ``probes`` nearest ones.  A list is read in blocks of candidates against
-blocks of questions, each of bounded size, so hot lists spread over many tasks.
+centroids from a bounded sample, and lists that are still long get centroids of
+their own from a bounded sample of theirs, so lists stay short whatever the
+group's size.  Every class is indexed in its nearest list and asks the nearest
+ones.  A list meets its questions in one task; only a list or a crowd of
+questions beyond a task's bound is cut into blocks that spread over many tasks.
 Within a pair of blocks the vectors, rotated at random, are compared column block
 by column block: after each, a hypothesis test on the partial distance drops the
 candidates that can hardly be near enough; what is left is verified exactly.
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import checkpoint
+from graphloom.session import checkpoint, maybe_broadcast
 
 #: Columns scanned so far at each test of the adaptive scan (shares of the dimension).
 STEPS = (0.25, 0.5)
@@ -61,13 +63,14 @@ def spherical_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) ->
     return c
 
 
-def scan(q: np.ndarray, c: np.ndarray, least: float, steps: tuple[float, ...] = STEPS, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+def scan(q: np.ndarray, c: np.ndarray, least: float, epsilon: float | None = EPSILON, steps: tuple[float, ...] = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Pairs ``(question, candidate)`` that survive the adaptive scan.
 
     ``q`` and ``c`` hold unit vectors.  With squared distance at most ``r2`` for a
     cosine of ``least``, the partial distance over ``d`` of ``D`` rotated columns
     exceeds ``r2 * d / D * (1 + epsilon / sqrt(d)) ** 2`` only with a probability
     that falls exponentially in ``epsilon ** 2``; such candidates are abandoned.
+    Without ``epsilon`` only those go whose partial distance is too large already.
     """
     dim = q.shape[1]
     r2 = 2.0 - 2.0 * least + 1e-5
@@ -76,19 +79,23 @@ def scan(q: np.ndarray, c: np.ndarray, least: float, steps: tuple[float, ...] =
     cuts = [max(1, int(dim * s)) for s in steps] + [dim]
     d = cuts[0]
     part = (a[:, :d] ** 2).sum(1)[:, None] + (b[:, :d] ** 2).sum(1)[None, :] - 2.0 * (a[:, :d] @ b[:, :d].T)
-    bound = r2 * d / dim * (1 + epsilon / np.sqrt(d)) ** 2
-    i, j = np.nonzero(part <= min(bound, r2))
+
+    def bound(d: int) -> float:
+        # rounding in single precision must drop nothing
+        sure = r2 + 1e-4
+        return sure if epsilon is None or d == dim else min(sure, r2 * d / dim * (1 + epsilon / np.sqrt(d)) ** 2)
+
+    i, j = np.nonzero(part <= bound(d))
     part = part[i, j]
     for lo, d in zip(cuts, cuts[1:], strict=False):
         diff = a[i, lo:d] - b[j, lo:d]
         part = part + np.einsum("ij,ij->i", diff, diff)
-        bound = r2 * d / dim * (1 + epsilon / np.sqrt(d)) ** 2 if d < dim else r2 + 1e-4
-        keep = part <= min(bound, r2 + 1e-4)
+        keep = part <= bound(d)
         i, j, part = i[keep], j[keep], part[keep]
     return i, j
 
 
-def _search(dim: int, keep: int, least: float):
+def _search(dim: int, keep: int, least: float, epsilon: float | None):
     def run(table: pa.Table) -> pa.Table:
         role = np.asarray(table.column("role").to_numpy(zero_copy_only=False), bool)
         raw = _units(_matrix(table.column("embedding"), dim))
@@ -99,7 +106,7 @@ def _search(dim: int, keep: int, least: float):
         outs = []
         for lo in range(0, len(at_q), 1024):
             part = at_q[lo : lo + 1024]
-            i, j = scan(raw[part], raw[at_c], least)
+            i, j = scan(raw[part], raw[at_c], least, epsilon)
             sim = np.round(np.einsum("ij,ij->i", raw[part[i]], raw[at_c[j]]), 6)
             ok = sim >= least
             i, j, sim = i[ok], j[ok], sim[ok]
@@ -134,6 +141,67 @@ def vector_classes(vectors: DataFrame, dim: int, keep: int) -> tuple[DataFrame,
     return v.select("node_id", "h1", "h2"), classes
 
 
+def _closest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` centroids nearest to each row, nearest first."""
+    s = x @ c.T
+    n = min(n, s.shape[1])
+    top = np.argpartition(-s, n - 1, axis=1)[:, :n]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+
+
+def _fit(name: str, list_rows: int, fit_rows: int):
+    """Centroids of one group's or list's sample, about one per ``list_rows`` of
+    all its rows (``_size``)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _units(np.stack(pdf.sort_values("_n")["embedding"].to_numpy()).astype(np.float64))
+        c = spherical_means(x, max(1, min(-(-int(pdf["_size"].iloc[0]) // list_rows), len(x) // 4)))
+        return pd.DataFrame({name: pdf[name].iloc[0], "c": [r.tolist() for r in c]})
+
+    return run
+
+
+def _sampled(rows: DataFrame, name: str, sizes: DataFrame, fit_rows: int, list_rows: int) -> DataFrame:
+    """``name, c``: centroids of every ``name`` in ``sizes`` (``name, _size``), from
+    its ``fit_rows`` first rows by hash; the rank limit comes before the shuffle."""
+    pick = F.row_number().over(Window.partitionBy(name).orderBy(F.xxhash64("h1", "h2"), "h1"))
+    few = rows.join(maybe_broadcast(sizes), name).select(name, "embedding", "_size", "h1", "h2").withColumn("_n", pick).filter(F.col("_n") <= fit_rows)
+    return few.groupBy(name).applyInPandas(_fit(name, list_rows, fit_rows), f"{name} string, c array<double>")
+
+
+def _split_lists(rows: DataFrame, dim: int, probes: int, fit_rows: int, list_rows: int, ask_block: int) -> DataFrame:
+    """``rows`` (``h1, h2, embedding, first_node, list, pos``) in which every long
+    list is replaced by shorter ones, of which a question asks the more the
+    nearer the list is to it."""
+    held = rows.filter("pos = 0").groupBy("list").agg(F.count("*").alias("_size")).filter(F.col("_size") > 4 * list_rows)
+    long_ = checkpoint(held)
+    if long_.isEmpty():
+        return rows
+    cents = checkpoint(_sampled(rows.filter("pos = 0"), "list", long_, fit_rows, list_rows))
+    asking = rows.groupBy("list").agg(F.ceil(F.count("*") / ask_block).cast("int").alias("_parts"))
+    parts = checkpoint(long_.select("list").join(asking, "list"))
+    tagged = rows.join(maybe_broadcast(parts), "list", "left")
+    stay = tagged.filter("_parts is null").select(*rows.columns)
+    part = F.pmod(F.xxhash64(F.lit(5), "h1", "h2"), F.col("_parts")).cast("int").alias("_part")
+    move = tagged.filter("_parts is not null").select(*rows.columns, part)
+    spread = cents.join(maybe_broadcast(parts), "list").select(F.col("list").alias("list"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "c")
+
+    def assign(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = np.asarray(right.column("c").to_pylist(), float)
+        pos = left.column("pos").to_numpy()
+        top = _closest(_units(_matrix(left.column("embedding"), dim)), c, probes) if len(pos) else np.zeros((0, 1), int)
+        most = np.maximum(1, probes // (pos + 1))
+        i, r = np.nonzero(np.arange(top.shape[1])[None, :] < most[:, None])
+        names = left.column("list").to_pylist()
+        out = left.select(["h1", "h2", "embedding", "first_node"]).take(pa.array(i))
+        home = (pos[i] == 0) & (r == 0)
+        lists = [f"{names[a]}\u0000{b}" for a, b in zip(i.tolist(), top[i, r].tolist(), strict=True)]
+        return out.append_column("list", pa.array(lists, pa.string())).append_column("pos", pa.array(np.where(home, 0, 1).astype(np.int32)))
+
+    moved = move.groupBy("list", "_part").cogroup(spread.groupBy("list", "_part")).applyInArrow(assign, "h1 long, h2 long, embedding array<float>, first_node string, list string, pos int")
+    return stay.select(*moved.columns).unionByName(moved)
+
+
 def nearest(
     vectors: DataFrame,
     k: int = 5,
@@ -145,6 +213,8 @@ def nearest(
     single_list: int = 2048,
     max_lists: int = 50_000,
     block: int = 2048,
+    epsilon: float | None = EPSILON,
+    exact: bool = False,
 ) -> DataFrame:
     """``node_id, neighbour, similarity, rank``: up to ``k`` most similar nodes.
 
@@ -155,39 +225,29 @@ def nearest(
     no part; neither do rows without an id.  An empty table gives no rows; extra
     columns are ignored.
 
-    The index is fitted on up to ``fit_rows`` classes of each large group, taken
-    by hash, and holds every row.  Groups of up to ``single_list`` classes are
-    one list and searched whole; in larger ones recall depends on ``probes``
-    (measured in the README).
+    The index holds every row.  Its centroids are fitted on up to ``fit_rows``
+    classes of each group of more than ``single_list``, taken by hash, and of each
+    list that holds more than four times ``list_rows`` after that.  Up to
+    ``max_lists`` centroids of groups go to every task; those of lists stay in a
+    table.  Recall depends on ``probes`` and ``epsilon`` (measured in the README);
+    ``exact`` compares every block of a group with every other, without lists and
+    without the hypothesis test.
     """
     spark = vectors.sparkSession
     keep = k + 1
+    ask_block = 16 * block
+    epsilon = None if exact else epsilon
     nodes, classes = vector_classes(vectors.select("node_id", "grp", "embedding"), dim, keep)
     classes = checkpoint(classes)
-    sizes = classes.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > single_list)
-    # at most rows / single_list groups are large
-    large = {r["grp"]: r["n"] for r in sizes.collect()}
-    per_list = max(list_rows, sum(large.values()) // max_lists)
+    sizes = classes.groupBy("grp").agg(F.count("*").alias("_size")).filter(F.col("_size") > single_list)
+    total = 0 if exact else sizes.agg(F.sum("_size")).first()[0] or 0
+    per_list = max(list_rows, total // max_lists)
     centroids: dict = {}
-    if large:
-        pick = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("h1", "h2"), "h1"))
-        sample = classes.filter(F.col("grp").isin(list(large))).select("grp", "embedding", "h1", pick.alias("_n")).filter(F.col("_n") <= fit_rows)
-
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = _units(np.stack(pdf.sort_values("_n")["embedding"].to_numpy()).astype(np.float64))
-            g = pdf["grp"].iloc[0]
-            c = spherical_means(x, max(1, min(-(-large[g] // per_list), len(x) // 4)))
-            return pd.DataFrame({"grp": g, "c": [r.tolist() for r in c]})
-
-        # max_lists vectors at most
-        for r in sample.groupBy("grp").applyInPandas(fit, "grp string, c array<double>").collect():
+    if total:
+        # a group with centroids holds more than per_list rows, so these are about max_lists at most
+        for r in _sampled(classes, "grp", sizes.filter(F.col("_size") > per_list), fit_rows, per_list).collect():
             centroids.setdefault(r["grp"], []).append(r["c"])
     cents = spark.sparkContext.broadcast({g: np.asarray(c) for g, c in centroids.items()})
-    base: dict[str, int] = {}
-    total = 0
-    for g, c in sorted(centroids.items()):
-        base[g] = total
-        total += len(c)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = cents.value
@@ -201,22 +261,23 @@ def nearest(
                     for i in at:
                         asked[i] = [g]
                     continue
-                s = x[at] @ lists[g].T
-                p = min(probes, s.shape[1])
-                top = np.argpartition(-s, p - 1, axis=1)[:, :p]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
-                for i, row in zip(at, top.tolist(), strict=True):
+                for i, row in zip(at, _closest(x[at], lists[g], probes).tolist(), strict=True):
                     asked[i] = [f"{g}\u0000{t}" for t in row]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(asked, pa.list_(pa.string()))], names=[*batch.schema.names, "lists"])
 
-    assigned = checkpoint(classes.select("h1", "h2", "grp", "embedding", "first_node").mapInArrow(assign, "h1 long, h2 long, grp string, embedding array<float>, first_node string, lists array<string>"))
-    held = assigned.groupBy(F.col("lists")[0].alias("list")).agg(F.count("*").alias("_held"))
-    asking = assigned.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("_asking"))
-    blocks = asking.join(held, "list").select(F.col("list").alias("_l"), F.ceil(F.col("_held") / block).cast("int").alias("_nb"), F.ceil(F.col("_asking") / block).cast("int").alias("_nq"))
-    mixed = F.xxhash64(F.lit(3), "h1", "h2")
-    data = assigned.withColumn("list", F.col("lists")[0]).join(blocks, F.col("list") == F.col("_l")).select("list", F.pmod(mixed, F.col("_nb")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("q"), F.lit(False).alias("role"), "h1", "h2", "embedding", "first_node")
-    asks = assigned.select("h1", "h2", "embedding", F.explode("lists").alias("list")).join(blocks, F.col("list") == F.col("_l")).select("list", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("b"), F.pmod(F.xxhash64(F.lit(4), "h1", "h2"), F.col("_nq")).cast("int").alias("q"), F.lit(True).alias("role"), "h1", "h2", "embedding", F.lit(None).cast("string").alias("first_node"))
-    pairs = data.unionByName(asks).groupBy("list", "b", "q").applyInArrow(_search(dim, keep, least), "q1 long, q2 long, c1 long, c2 long, first_node string, similarity double")
+    named = checkpoint(classes.select("h1", "h2", "grp", "embedding", "first_node").mapInArrow(assign, "h1 long, h2 long, grp string, embedding array<float>, first_node string, lists array<string>"))
+    assigned = named.select("h1", "h2", "embedding", "first_node", F.posexplode("lists").alias("pos", "list"))
+    if centroids:
+        split = _split_lists(assigned, dim, probes, fit_rows, list_rows, ask_block)
+        assigned = split if split is assigned else checkpoint(split)
+    home = F.when(F.col("pos") == 0, 1).otherwise(0)
+    # every class asks its own list, so no list is without questions
+    counts = assigned.groupBy("list").agg(F.ceil(F.sum(home) / block).cast("int").alias("_nb"), F.ceil(F.count("*") / ask_block).cast("int").alias("_nq"))
+    cut = maybe_broadcast(checkpoint(counts.filter("_nb > 1 or _nq > 1")).withColumnRenamed("list", "_l"))
+    sized = assigned.join(cut, F.col("list") == F.col("_l"), "left").withColumns({"_nb": F.coalesce("_nb", F.lit(1)), "_nq": F.coalesce("_nq", F.lit(1))})
+    data = sized.filter("pos = 0").select("list", F.pmod(F.xxhash64(F.lit(3), "h1", "h2"), F.col("_nb")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("q"), F.lit(False).alias("role"), "h1", "h2", "embedding", "first_node")
+    asks = sized.select("list", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("b"), F.pmod(F.xxhash64(F.lit(4), "h1", "h2"), F.col("_nq")).cast("int").alias("q"), F.lit(True).alias("role"), "h1", "h2", "embedding", F.lit(None).cast("string").alias("first_node"))
+    pairs = data.unionByName(asks).groupBy("list", "b", "q").applyInArrow(_search(dim, keep, least, epsilon), "q1 long, q2 long, c1 long, c2 long, first_node string, similarity double")
     # the best classes hold the best nodes: every class is led by its smallest node
     w = Window.partitionBy("q1", "q2").orderBy(F.desc("similarity"), "first_node")
     best = pairs.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= keep)

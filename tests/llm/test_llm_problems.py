@@ -161,6 +161,35 @@ def test_neighbours_reach_recall(spark):
     assert nearest(df.limit(0), dim=16).count() == 0
 
 
+def _mixed_vectors(spark, n, seed):
+    rng = np.random.RandomState(seed)
+    centre = rng.normal(size=(n // 25, 16))
+    x = np.float32(centre[rng.randint(len(centre), size=n)] + rng.normal(size=(n, 16)) * 0.25)
+    df = spark.createDataFrame([(f"n{i:06d}", "g", [float(v) for v in x[i]]) for i in range(n)], "node_id string, grp string, embedding array<float>")
+    m = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = set()
+    for lo in range(0, n, 1000):
+        s = np.round(m[lo : lo + 1000] @ m.T, 6)
+        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -1
+        for a, row in enumerate(s):
+            best = np.lexsort((np.arange(n), -row))[:5]
+            want |= {(f"n{lo + a:06d}", f"n{b:06d}") for b in best if row[b] >= 0.85}
+    return df, want
+
+
+@pytest.mark.parametrize("n", [3000, 12000])
+def test_long_lists_are_split_and_recall_holds(spark, n):
+    df, want = _mixed_vectors(spark, n, n)
+    # 25 lists at the first level, so that both sizes need a second one
+    got = {(r["node_id"], r["neighbour"]) for r in nearest(df, dim=16, single_list=200, list_rows=25, fit_rows=100, block=64).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.98 * len(got)
+
+
+def test_exact_search_misses_nothing(spark):
+    df, want = _mixed_vectors(spark, 3000, 1)
+    assert {(r["node_id"], r["neighbour"]) for r in nearest(df, dim=16, single_list=200, block=128, exact=True).collect()} == want
+
+
 # ---------------------------------------------------------------- credentials
 
 
