@@ -44,47 +44,63 @@ def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+def window_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` characters from every position on, for any ``n``."""
+    h, b, have = codes.astype(np.uint64), BASE, 1
+    out, done = None, 0
+    with np.errstate(over="ignore"):
+        while True:
+            if n & have:
+                # what is done so far, then the next part
+                out = h if out is None else out[: len(h) - done] * b + h[done:] if len(h) > done else h[:0]
+                done += have
+            if have * 2 > n:
+                return out ^ (out >> np.uint64(31))
+            h = h[:-have] * b + h[have:] if len(h) > have else h[:0]
+            b, have = b * b, have * 2
+
+
 class Item:
-    """Windows of ``words`` consecutive words of an item (or all it has)."""
+    """Windows of ``words`` consecutive words of an item (or all it has): where
+    they begin and end, and how many edits each may have."""
 
     def __init__(self, key: int, text: str, words: int, edits: int):
         self.key, self.text = key, normal(text)
-        tokens = self.text.split()
-        k = min(words, len(tokens))
-        ends = np.cumsum([len(t) + 1 for t in tokens])
-        starts = np.r_[0, ends[:-1]]
+        blanks = np.flatnonzero(_codes(self.text) == 32)
+        tokens = len(blanks) - 1 if len(self.text) > 2 else 0
+        k = min(words, tokens)
         # a window holds the blanks around it, so an exact match ends at word borders
-        self.windows = [(int(starts[i]), int(ends[i + k - 1]) + 1) for i in range(len(tokens) - k + 1)] if tokens else []
-        shortest = min((e - s for s, e in self.windows), default=0)
-        # the lemma needs a positive bound: short windows allow fewer errors
-        self.edits = max(0, min(edits, (shortest - Q) // Q))
-        self.bound = max(1, shortest - Q + 1 - Q * self.edits)
-        self.short = shortest < Q
+        begin, end = (blanks[: tokens - k + 1], blanks[k : tokens + 1] + 1) if tokens else (blanks[:0], blanks[:0])
+        # the lemma needs a positive bound: a short window allows fewer errors
+        most = np.clip((end - begin - Q) // Q, 0, edits)
+        self.windows = np.stack([begin, end, most], axis=1).astype(np.int32)
+        self.bound = max(1, int((end - begin - Q + 1 - Q * most).min(initial=len(self.text))))
+        self.short = tokens > 0 and int((end - begin).min()) < Q
 
 
 class Index:
     def __init__(self, items: list[tuple[int, str]], words: int, edits: int):
         self.items = [Item(k, t, words, edits) for k, t in items]
-        self.items = [i for i in self.items if i.windows]
-        hashes, owners, places = [], [], []
-        for n, it in enumerate(self.items):
-            h = gram_hashes(_codes(it.text))
-            hashes.append(h)
-            owners.append(np.full(len(h), n, np.int64))
-            places.append(np.arange(len(h), dtype=np.int64))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.owner = np.concatenate(owners)[order] if owners else np.zeros(0, np.int64)
-        self.place = np.concatenate(places)[order] if places else np.zeros(0, np.int64)
+        self.items = [i for i in self.items if len(i.windows)]
+        # items shorter than a gram have no q-grams: they are looked for by hashes of their own length
+        short = [n for n, i in enumerate(self.items) if i.short]
+        self.tiny = {size: self._sorted([(n, window_hashes(_codes(self.items[n].text), size)) for n in short if len(self.items[n].text) == size]) for size in {len(self.items[n].text) for n in short}}
+        self.hash, self.owner, self.place = self._sorted([(n, gram_hashes(_codes(i.text))) for n, i in enumerate(self.items)])
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.hash >> np.uint64(44)).astype(np.int64)] = True
         self.width = edits + 1
         self.bounds = np.array([i.bound for i in self.items], np.int64)
-        # items shorter than a gram have no q-grams: they are looked for as they are
-        self.tiny = [n for n, i in enumerate(self.items) if i.short]
         self.reach = max((len(i.text) for i in self.items), default=0) + 2 * self.width + Q
 
+    @staticmethod
+    def _sorted(parts: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes in order, whose they are and where they begin."""
+        h = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.uint64)
+        owner = np.concatenate([np.full(len(x), n, np.int32) for n, x in parts]) if parts else np.zeros(0, np.int32)
+        place = np.concatenate([np.arange(len(x), dtype=np.int32) for _, x in parts]) if parts else np.zeros(0, np.int32)
+        order = np.argsort(h, kind="stable")
+        return h[order], owner[order], place[order]
+
 
 def banded_edits(window: str, text: str, at: int, width: int, most: int) -> tuple[int, int] | None:
     """Fewest edits (at most ``most``) that turn ``window`` into a stretch of
@@ -133,7 +149,7 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int]]:
     at, lo, n, doc = at[inside], lo[inside], n[inside], doc[inside]
     if len(at):
         each = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        item, place = index.owner[each], index.place[each]
+        item, place = index.owner[each].astype(np.int64), index.place[each].astype(np.int64)
         pos, doc = np.repeat(at - starts[doc], n), np.repeat(doc, n)
         diagonal = pos - place
         band = diagonal // index.width
@@ -146,18 +162,22 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int]]:
             key = (d, it.key)
             if found.get(key, (9, 0))[0] == 0:
                 continue
-            for s, e in it.windows:
-                got = banded_edits(it.text[s:e], text, b * index.width + s + index.width, 2 * index.width, it.edits)
+            for s, e, most in it.windows.tolist():
+                got = banded_edits(it.text[s:e], text, b * index.width + s + index.width, 2 * index.width, most)
                 if got and (key not in found or got[0] < found[key][0]):
                     found[key] = got
                     if got[0] == 0:
                         break
-    for i in index.tiny:
-        it = index.items[i]
-        for d, text in enumerate(texts):
-            where = text.find(it.text)
-            if where >= 0:
-                found[(d, it.key)] = (0, where)
+    for size, (hashes, owners, _) in index.tiny.items():
+        h = window_hashes(codes, size)
+        lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+        for at in np.flatnonzero(hi > lo).tolist():
+            d = int(np.searchsorted(starts, at, "right")) - 1
+            where = at - int(starts[d])
+            for n in owners[lo[at] : hi[at]].tolist():
+                it = index.items[n]
+                if (d, it.key) not in found and texts[d].startswith(it.text, where):
+                    found[(d, it.key)] = (0, where)
     return [(d, k, e, p) for (d, k), (e, p) in found.items()]
 
 
@@ -214,7 +234,7 @@ def leaks(
     item_text: str,
     words: int = 13,
     edits: int = 2,
-    block_chars: int = 32_000_000,
+    block_chars: int = 4_000_000,
     task_chars: int = 1_000_000,
 ) -> DataFrame:
     """``doc_id, item_id, edits, position``: documents that hold ``words``
@@ -223,9 +243,10 @@ def leaks(
 
     Only words count: runs of letters, digits and underscores, without regard to
     case.  A window shorter than ``(edits + 1)`` grams allows fewer errors, so
-    that the lemma keeps a bound.  The items are a query set: they are indexed in
-    blocks of up to ``block_chars`` characters, each held by every task, and the
-    documents are scanned once per block, so neither side is ever shuffled.
+    that the lemma keeps a bound; other windows of its item don't.  The items are
+    a query set: they are indexed in blocks of about ``block_chars`` characters
+    (some 30 bytes each), every one held by every task, and the documents are
+    scanned once per block, so neither side is ever shuffled.
     Null and empty texts and items without words match nothing; repeated rows
     give repeated results; extra columns are ignored.
     """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.code_docs import description, documented_pairs, function_docs, is_trivial, scan_braces, scan_python
 from graphloom.llm.cutoffs import CountTree, fraction_cutoffs, target_rank
-from graphloom.llm.leaks import leaks
+from graphloom.llm.leaks import leaks, window_hashes
 from graphloom.llm.mixing import mixture
 from graphloom.llm.neighbours import nearest
 from graphloom.llm.queries import ORACLE, QUERIES
@@ -395,6 +395,28 @@ def test_leaks_with_errors(spark):
     assert {(r["doc_id"], r["edits"]) for r in got.collect()} == {(1, 1), (2, 2)}
 
 
+def test_edit_budget_is_each_windows_own(spark):
+    long_ = "configuration repository deployment manifest architecture observability infrastructure authentication"
+    item = f"{long_} a b c d e f"
+    docs = [(1, long_.replace("manifest", "man1fest").replace("deployment", "depl0yment") + " a b c d e"), (2, "a b c d e f g")]
+    items = spark.createDataFrame([(7, item)], "i long, t string")
+    got = leaks(spark.createDataFrame(docs, "d long, t string"), "d", "t", items, "i", "t")
+    assert {(r["doc_id"], r["edits"]) for r in got.collect()} == {(1, 2)}
+    # windows of single letters allow none, the others of the same item still do
+    tail = " ".join("abcdefghijklm")
+    got = leaks(spark.createDataFrame([(1, docs[0][1][:-10]), docs[1], (3, tail)], "d long, t string"), "d", "t", spark.createDataFrame([(7, f"{long_} {tail}")], "i long, t string"), "i", "t", words=8)
+    assert {(r["doc_id"], r["edits"]) for r in got.collect()} == {(1, 2), (3, 0)}
+
+
+def test_window_hashes_of_any_length():
+    codes = np.array([ord(c) for c in "abcabcabxabc"], np.uint32)
+    for n in range(1, 14):
+        h = window_hashes(codes, n)
+        want = ["abcabcabxabc"[i : i + n] for i in range(len(codes) - n + 1)]
+        assert len(h) == len(want) and len(set(h.tolist())) == len(set(want))
+        assert all((a == b) == (x == y) for a, x in zip(h, want) for b, y in zip(h, want))
+
+
 def test_shared_spans_equal_brute_force(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
