@@ -290,9 +290,8 @@ def scan_blocks(blocks: DataFrame) -> DataFrame:
     """``file_path, name, code, doc`` of every function in the blocks, and
     ``file_path, owner, base`` of every base a class names."""
     b = blocks.filter(F.col("block_kind").isin("function", "class") & F.col("body_text").isNotNull() & F.col("function_name").isNotNull())
-    # the scan is the costly part: spread the blocks evenly before it
-    spread = b.select("file_path", F.col("function_name").alias("owner"), "block_kind", F.coalesce("code_lang", F.lit("ts")).alias("code_lang"), "body_text")
-    return spread.mapInPandas(_scan, "file_path string, name string, code string, doc string, owner string, base string")
+    named = b.select("file_path", F.col("function_name").alias("owner"), "block_kind", F.coalesce("code_lang", F.lit("ts")).alias("code_lang"), "body_text")
+    return named.mapInPandas(_scan, "file_path string, name string, code string, doc string, owner string, base string")
 
 
 @F.pandas_udf(T.BooleanType())
@@ -309,14 +308,14 @@ def _blank(c: str):
     return F.col(c).isNull() | ~F.col(c).rlike(r"(?U)\S")
 
 
-def function_docs(functions: DataFrame, blocks: DataFrame, max_levels: int = 32) -> DataFrame:
+def function_docs(functions: DataFrame, blocks: DataFrame) -> DataFrame:
     """One row per function: ``file_path, name, code, doc, description,
     doc_source, trivial``.
 
     ``doc_source`` is ``stored`` (``js_doc``), ``code`` or ``inherited``; a
     function without any documentation has nulls and is trivial.  A base is
-    looked up in the same file, then by a name that only one class bears;
-    circles among classes end the search after ``max_levels``.  Of several rows
+    looked up in the same file, then by a name that only one class bears, up to
+    the top of the hierarchy; a class met before ends the way.  Of several rows
     of a function the latest ``updated_at`` counts.  Functions without a block
     have null ``code``; null paths and names are kept; a text that can't be
     parsed gives what its lines show.  Extra columns are ignored.
@@ -335,10 +334,10 @@ def function_docs(functions: DataFrame, blocks: DataFrame, max_levels: int = 32)
     bases = scanned.filter("base is not null").select("file_path", "owner", "base").distinct()
     if bases.isEmpty():
         return own.withColumn("description", _described("doc"))
-    return _inherit(checkpoint(own), bases, scanned, max_levels).withColumn("description", _described("doc"))
+    return _inherit(checkpoint(own), bases, scanned).withColumn("description", _described("doc"))
 
 
-def _inherit(own: DataFrame, bases: DataFrame, scanned: DataFrame, max_levels: int) -> DataFrame:
+def _inherit(own: DataFrame, bases: DataFrame, scanned: DataFrame) -> DataFrame:
     classes = scanned.filter("name is not null and instr(name, '.') > 0").select("file_path", F.regexp_extract("name", r"^(.*)\.[^.]*$", 1).alias("cls"))
     classes = classes.union(bases.select("file_path", "owner")).distinct()
     here = bases.join(classes.select(F.col("file_path").alias("_f"), F.col("cls").alias("_c")), (F.col("file_path") == F.col("_f")) & (F.col("base") == F.col("_c")), "left")
@@ -350,10 +349,15 @@ def _inherit(own: DataFrame, bases: DataFrame, scanned: DataFrame, max_levels: i
     docs = own.filter("not trivial").select(F.col("file_path").alias("d_file"), cls.alias("d_cls"), method.alias("d_method"), F.col("doc").alias("d_doc")).filter("d_cls <> ''")
     pending = own.filter("trivial and instr(name, '.') > 0").select("file_path", "name", method.alias("method"), F.col("file_path").alias("at_file"), cls.alias("at_cls"))
     got = None
-    for _ in range(max_levels):
-        pending = checkpoint(pending.join(up, (F.col("at_file") == F.col("c_file")) & (F.col("at_cls") == F.col("c_cls"))).select("file_path", "name", "method", F.col("p_file").alias("at_file"), F.col("p_cls").alias("at_cls")).distinct())
+    way = ["file_path", "name", "at_file", "at_cls"]
+    seen = pending.select(*way)
+    while True:
+        up_one = pending.join(up, (F.col("at_file") == F.col("c_file")) & (F.col("at_cls") == F.col("c_cls"))).select("file_path", "name", "method", F.col("p_file").alias("at_file"), F.col("p_cls").alias("at_cls")).distinct()
+        # a class met before closes a circle: every way ends at the top or there
+        pending = checkpoint(up_one.join(seen, way, "left_anti"))
         if pending.isEmpty():
             break
+        seen = seen.unionByName(pending.select(*way))
         met = pending.join(docs, (F.col("at_file") == F.col("d_file")) & (F.col("at_cls") == F.col("d_cls")) & (F.col("method") == F.col("d_method")))
         level = checkpoint(met.groupBy("file_path", "name").agg(F.min("d_doc").alias("doc")))
         got = level if got is None else got.unionByName(level)

@@ -245,7 +245,7 @@ def leaks(
     case.  A window shorter than ``(edits + 1)`` grams allows fewer errors, so
     that the lemma keeps a bound; other windows of its item don't.  The items are
     a query set: they are indexed in blocks of about ``block_chars`` characters
-    (some 30 bytes each), every one held by every task, and the documents are
+    (some 50 bytes each while it is built), every one held by every task, and the documents are
     scanned once per block, so neither side is ever shuffled.
     Null and empty texts and items without words match nothing; repeated rows
     give repeated results; extra columns are ignored.

@@ -84,6 +84,17 @@ def test_documentation_is_inherited(spark):
     assert function_docs(f.limit(0), b.limit(0)).count() == 0
 
 
+def test_inheritance_has_no_depth(spark):
+    n = 34
+    body = lambda i: f"class K{i}{f'(K{i - 1})' if i else ''}:\n    def run(self):\n        {'\"\"\"Runs all the work there is.\"\"\"' if not i else 'pass'}\n"
+    ring = [f"class R{i}(R{(i + 1) % 3}):\n    def run(self):\n        pass\n" for i in range(3)]
+    rows = [(i, f"k{i}.py", f"K{i}", "class", "py", body(i), None) for i in range(n)] + [(n + i, f"r{i}.py", f"R{i}", "class", "py", t, None) for i, t in enumerate(ring)]
+    b = spark.createDataFrame(rows, "block_id long, file_path string, function_name string, block_kind string, code_lang string, body_text string, updated_at timestamp")
+    f = spark.createDataFrame([(p, f"{c}.run", None, None) for _, p, c, *_ in rows], "file_path string, name string, js_doc string, updated_at timestamp")
+    got = {r["name"]: r["description"] for r in documented_pairs(f, b).collect()}
+    assert got == {f"K{i}.run": "Runs all the work there is." for i in range(n)}
+
+
 # ---------------------------------------------------------------- cutoffs
 
 
