@@ -11,6 +11,7 @@ the least and greatest record that holds them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -260,6 +261,8 @@ def _with_places(documents: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _shared_windows(windows: DataFrame) -> DataFrame:
+    # hashed once, then read by the aggregation and by the join with it
+    windows = checkpoint(windows)
     met = windows.groupBy("h1", "h2", "kind").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a < _b")
     return windows.join(met.select("h1", "h2", "kind"), ["h1", "h2", "kind"]).select("doc_id", "h1", "h2", "s", "kind")
 
@@ -271,29 +274,38 @@ def long_shared(documents: DataFrame, doc_id: str, text: str, least: int = 400,
     characters that stands unchanged in a record with another id.  ``spans``:
     the repeated runs ``doc_id, h, s, e, first_doc``.
 
+    Texts are read three times: for the runs, for the places of the repeated ones,
+    and for the texts that hold such places, which are kept for all windows.
+
     Marks lie at most ``2 * CLEAR + WINNOW`` bytes apart and depend on less than
     ``WINNOW + 8`` bytes around them, so any shared stretch of ``least``
     characters holds a run wholly inside and begins at most ``reach`` before it;
-    nothing is missed for ``least`` of 400 and up.  Lengths are counted in characters.
+    nothing is missed for ``least`` of 400 and up; a ``least`` under ``run_chars``
+    and two reaches is refused.  Lengths are counted in characters.
     Null and empty texts share nothing; a stretch repeated within one record
     doesn't count; rows of the same id are one record; null ids are left out;
     extra columns are ignored.
     """
     # a run can end up to one gap later than run_chars, after up to one gap and the context at either end
     reach = REACH
+    if least < 2 * reach + run_chars:
+        raise ValueError(f"stretches under {2 * reach + run_chars} characters may hold no run of {run_chars}")
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     long_enough = docs.filter(F.length("text") >= least)
     spans = runs(long_enough, run_chars)
     twice = checkpoint(repeated(spans.select("doc_id", "h")))
     hit = checkpoint(spans.join(maybe_broadcast(twice), "h"))
 
-    def shared(hits: DataFrame, sizes: tuple[int, ...], back: tuple[int, ...]) -> DataFrame:
-        # the places of one document are as many as its own sentences
-        places = checkpoint(hits.groupBy("doc_id").agg(F.collect_set("s").alias("places")))
-        return checkpoint(_shared_windows(_with_places(long_enough, places).mapInArrow(_emit_windows(sizes, back), _WINDOWS)))
+    # the places of one document are as many as its own sentences
+    gathered = lambda hits: checkpoint(hits.groupBy("doc_id").agg(F.collect_set("s").alias("places")))
+    near_texts = checkpoint(_with_places(long_enough, gathered(hit)))
+
+    def shared(hits: DataFrame | None, sizes: tuple[int, ...], back: tuple[int, ...]) -> DataFrame:
+        texts = near_texts if hits is None else _with_places(near_texts.drop("places"), gathered(hits))
+        return checkpoint(_shared_windows(texts.mapInArrow(_emit_windows(sizes, back), _WINDOWS)))
 
     # most shared stretches hold a whole window from one of their marks on
-    found = shared(hit, (least,), (0,)).select("doc_id").distinct()
+    found = shared(None, (least,), (0,)).select("doc_id").distinct()
     # the rest may begin up to reach before their first mark: windows every STEP characters
     # there, of which one lies inside if the stretch is long enough, for all records that
     # hold a run of a record still open
@@ -349,3 +361,53 @@ def sharing(documents: DataFrame, doc_id: str, spans: DataFrame, least: int = 40
     n = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(text).alias("n_bytes")).filter("doc_id is not null").groupBy("doc_id").agg(F.max("n_bytes").alias("n_bytes"))
     out = n.join(cover, F.col("doc_id") == F.col("_d"), "left")
     return out.select("doc_id", F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"), F.coalesce("shared_bytes", F.lit(0)).cast("long").alias("shared_bytes"), F.coalesce("removable_bytes", F.lit(0)).cast("long").alias("removable_bytes"))
+
+
+def _strip_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, ranges = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        kept, gone = [], []
+        for t, spans in zip(texts, ranges, strict=True):
+            if t is None or not spans:
+                kept.append(t)
+                gone.append(0)
+                continue
+            raw = t.encode("utf-8", "surrogatepass")
+            cuts = [0, *(m.end() for m in _SENTENCE_END.finditer(raw)), len(raw)]
+            begin, end = np.array([x["s"] for x in spans]), np.array([x["e"] for x in spans])
+            out, n = [], 0
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = raw[a:b]
+                x, y = a + len(part) - len(part.lstrip()), a + len(part.rstrip())
+                i = int(np.searchsorted(begin, x, "right")) - 1
+                if x < y and i >= 0 and y <= end[i]:
+                    n += 1
+                else:
+                    out.append(part)
+            kept.append(b"".join(out).decode("utf-8", "surrogatepass"))
+            gone.append(n)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(gone, pa.int32())], names=["doc_id", "text", "n_removed"])
+
+
+_SENTENCE_END = re.compile(rb"\n(?!\n)|[.!?](?=[ \n\r\t])")
+
+
+def without_repeats(documents: DataFrame, doc_id: str, spans: DataFrame, least: int = 400, text: str = "text") -> DataFrame:
+    """``doc_id, text, n_removed``: every record without the sentences that lie in
+    a shared stretch whose first record is another one.
+
+    The first record of a stretch, the one with the least id, keeps it, so every
+    passage stays once.  A sentence ends at a line break or at ``.``, ``!`` or
+    ``?`` before a blank and goes only if all of it lies in stretches to be
+    removed.  A null text stays null, other records come back as they are; rows
+    repeat if the input's do; null ids are left out.
+    """
+    later = verified(documents, doc_id, spans, least, text).filter("first_doc < doc_id").select("doc_id", "s", "e").distinct()
+    w = Window.partitionBy("doc_id").orderBy("s", "e")
+    fresh = F.coalesce(F.col("s") > F.col("_to"), F.lit(True))
+    island = later.withColumn("_to", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_k", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # disjoint stretches of one record, each of at least ``least`` characters of its own text
+    merged = island.groupBy("doc_id", "_k").agg(F.min("s").alias("s"), F.max("e").alias("e")).groupBy(F.col("doc_id").alias("_d")).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("ranges"))
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
+    met = docs.join(maybe_broadcast(checkpoint(merged)), F.col("doc_id") == F.col("_d"), "left").select("doc_id", "text", "ranges")
+    return met.mapInArrow(_strip_sentences, "doc_id long, text string, n_removed int")

@@ -15,7 +15,7 @@ from graphloom.llm.mixing import mixture
 from graphloom.llm.neighbours import nearest
 from graphloom.llm.queries import ORACLE, QUERIES
 from graphloom.llm.secrets import PASS_ENDINGS, PASSWORDS, SECRETS, find, has_cue, is_key_container, name_kind, redact
-from graphloom.llm.spans import long_shared, sharing
+from graphloom.llm.spans import long_shared, sharing, without_repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -485,6 +485,24 @@ def test_sharing_equals_brute_force(spark):
         assert {x["doc_id"]: (x["n_bytes"], x["shared_bytes"], x["removable_bytes"]) for x in sharing(df, "doc_id", part).collect()} == want
 
 
+def test_repeats_are_removed_once(spark):
+    r = random.Random(3)
+    sentence = lambda: "".join("".join(r.choice("abcdefghijklmnopé") for _ in range(r.randint(2, 9))) + " " for _ in range(12)).strip() + ". "
+    shared = [sentence() for _ in range(8)]
+    own = [[sentence() for _ in range(3)] for _ in range(4)]
+    docs = [(1, "".join(own[0][:1] + shared + own[0][1:])), (2, "".join(own[1][:2] + shared + own[1][2:])), (3, "".join(shared)), (4, "".join(own[3])), (5, None), (6, "")]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_removed int")
+    found, spans = long_shared(df, "doc_id", "text")
+    got = {x["doc_id"]: (x["text"], x["n_removed"]) for x in without_repeats(df, "doc_id", spans).collect()}
+    assert got[1] == (docs[0][1], 0) and got[4] == (docs[3][1], 0) and got[5] == (None, 0) and got[6] == ("", 0)
+    # the stretch begins with the first shared sentence, so both copies lose all of it
+    assert "".join(got[2][0].split()) == "".join("".join(own[1]).split()) and got[2][1] == 8
+    assert got[3][0].strip() == "" and got[3][1] == 8
+    assert without_repeats(df.limit(0), "doc_id", spans).count() == 0
+    with pytest.raises(ValueError):
+        long_shared(df, "doc_id", "text", least=300)
+
+
 def test_mixture_meets_targets(spark):
     r = random.Random(6)
     docs = [(i, r.choice("aaaaab"), r.choice(["en", None]), r.choice("xyz"), r.randint(5, 400)) for i in range(4000)] + [(9999, "c", "en", "x", 100), (9998, None, "en", "x", 1), (9997, "a", "en", "x", 0)]
