@@ -5,11 +5,11 @@ was made: ``begin <= at < end`` (``end`` null: still open).  Everything else is
 an orphan.
 
 Plan: references are pre-aggregated per key and period (map-side combine).  Keys
-whose counts pass ``heavy_rows``, or a share of all rows, are heavy.  Their lives, merged into disjoint
-stretches, are counted and, up to ``broadcast_rows``, broadcast, so the hot
-references never move; beyond that bound they take an as-of pass split by key
-and day.  All other keys take a plain shuffled anti-join.  Both orphan sets are
-united.
+that hold more than a share of all rows of their side are heavy, which bounds
+their number by the share.  Their lives, merged into disjoint stretches, are
+counted and, up to ``broadcast_rows``, broadcast, so the hot references never
+move; beyond that bound they take an as-of pass split by key and day.  All other
+keys take a plain shuffled anti-join.  Both orphan sets are united.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from graphloom.session import BROADCAST_ROWS
 
+#: A key with more than one in so many rows of a side is heavy: so many keys a side at most.
+HEAVY_ONE_IN = 1000
 FOREVER = "9999-12-31 00:00:00"
 
 
@@ -73,24 +75,22 @@ def orphan_refs(
     empty tables give all or no references.  Extra columns of ``lives`` are
     ignored, those of ``refs`` are kept whatever their names, except names that
     begin with an underscore, which are reserved.  Without ``heavy_rows`` a key is
-    heavy if it holds more than a quarter of a shuffle partition's even share of
-    its table.
+    heavy if it holds more than one in ``HEAVY_ONE_IN`` rows of its side.
     """
     cols = refs.columns
     lives = lives.select(*key, F.col(begin).alias("_begin"), F.col(end).alias("_end")).dropna(subset=[*key, "_begin"])
     refs = refs.withColumn("_at", F.col(at))
     per_period = refs.dropna(subset=key).groupBy(*key, F.date_trunc("month", "_at").alias("_period")).agg(F.count("*").alias("_n"))
-    parts = 4 * int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def above(counts: DataFrame) -> DataFrame:
         if heavy_rows is not None:
             return counts.filter(F.col("_n") >= heavy_rows)
         total = F.broadcast(counts.agg(F.sum("_n").alias("_all")))
-        return counts.crossJoin(total).filter(F.col("_n") * parts > F.col("_all")).drop("_all")
+        return counts.crossJoin(total).filter(F.col("_n") * HEAVY_ONE_IN > F.col("_all")).drop("_all")
 
     heavy = above(per_period.groupBy(*key).agg(F.sum("_n").alias("_n")))
     hot = above(lives.groupBy(*key).agg(F.count("*").alias("_n")))
-    # at most rows / heavy_rows or four times the partitions keys on each side: the bound that lets them reach the driver's plan
+    # at most HEAVY_ONE_IN keys on each side (or rows / heavy_rows): the bound that lets them reach the driver's plan
     heavy_keys = heavy.select(*key).union(hot.select(*key)).distinct()
     found = heavy_keys.limit(broadcast_rows).collect()
     on = [F.col(f"r.{k}") == F.col(f"l.{k}") for k in key]
