@@ -6,6 +6,8 @@ circle with trees hanging off it.  Components are found by pointer doubling
 of up to ``max_component_rows`` rows are co-located and walked by an iterative
 depth-first traversal with node colouring; larger ones, which may hold a third
 of all rows, are never gathered and get the same columns from doubling joins.
+A walk holds one entry per node; paths are made one at a time as they are
+written, and only where they are asked for.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.session import checkpoint
+from graphloom.session import checkpoint, maybe_broadcast
 
 WHITE, GREY, BLACK = 0, 1, 2
 
@@ -69,12 +71,12 @@ def components(edges: DataFrame) -> DataFrame:
     return trees.unionByName(circles)
 
 
-def walk(ids: list, parents: list) -> list[tuple]:
+def walk(ids: list, parents: list, with_paths: bool = True) -> Iterator[tuple]:
     """Depth-first traversal of one component, iterative, with node colouring.
 
-    Returns ``(id, root_id, depth, path, in_circle)`` per node.  A grey parent
-    is a back edge and closes a circle.  Nodes below are then walked from the
-    roots (or the circle's nodes) down, each path being its parent's plus one.
+    Gives ``(id, root_id, depth, path, in_circle)`` per node.  A grey parent is a
+    back edge and closes a circle.  Nodes below are then walked from the roots
+    (or the circle's nodes) down, with one trail that is cut back at every turn.
     """
     parent = dict(zip(ids, parents, strict=True))
     colour = dict.fromkeys(ids, WHITE)
@@ -95,28 +97,35 @@ def walk(ids: list, parents: list) -> list[tuple]:
     for x in ids:
         if parent[x] is not None and x not in ring:
             children.setdefault(parent[x], []).append(x)
-    out = []
-    stack = [(x, (x,)) for x in ids if x in ring or parent[x] is None]
+    stack = [(x, 0) for x in ids if x in ring or parent[x] is None]
+    way: list = []
     while stack:
-        x, path = stack.pop()
-        out.append((x, lowest if ring else path[-1], len(path) - 1, list(path), x in ring))
-        stack.extend((c, (c, *path)) for c in children.get(x, ()))
-    return out
+        x, depth = stack.pop()
+        del way[depth:]
+        way.append(x)
+        yield x, lowest if ring else way[0], depth, way[::-1] if with_paths else None, x in ring
+        stack.extend((c, depth + 1) for c in children.get(x, ()))
 
 
-def _walk_batches(id_type: str):
+def _walk_batches(id_type: str, with_paths: bool, cells: int = 500_000):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[tuple] = []
 
-        def flush(rows: list[tuple]) -> pd.DataFrame:
-            got = []
-            lo = 0
+        def flush(rows: list[tuple]) -> Iterator[pd.DataFrame]:
+            names = ["id", "root_id", "depth", "path", "in_circle", "component"]
+            got, held, lo = [], 0, 0
             for hi in range(1, len(rows) + 1):
-                if hi == len(rows) or rows[hi][0] != rows[lo][0]:
-                    group = rows[lo:hi]
-                    got += [(*r, group[0][0]) for r in walk([g[1] for g in group], [g[2] for g in group])]
-                    lo = hi
-            return pd.DataFrame(got, columns=["id", "root_id", "depth", "path", "in_circle", "component"])
+                if hi < len(rows) and rows[hi][0] == rows[lo][0]:
+                    continue
+                for r in walk([g[1] for g in rows[lo:hi]], [g[2] for g in rows[lo:hi]], with_paths):
+                    got.append((*r, rows[lo][0]))
+                    held += 1 + (r[2] if with_paths else 0)
+                    # the paths of a long chain are far larger than the chain
+                    if held >= cells:
+                        yield pd.DataFrame(got, columns=names)
+                        got, held = [], 0
+                lo = hi
+            yield pd.DataFrame(got, columns=names)
 
         for pdf in batches:
             col = pdf["parent"].astype(object)
@@ -130,9 +139,9 @@ def _walk_batches(id_type: str):
                 cut -= 1
             kept = rows[cut:]
             if cut:
-                yield flush(rows[:cut])
+                yield from flush(rows[:cut])
         if kept:
-            yield flush(kept)
+            yield from flush(kept)
 
     return run
 
@@ -169,18 +178,18 @@ def hierarchies(
     of the circle, and depth and path end at the circle's first node reached.
     A row that is its own parent is a circle of one.  Null ids are skipped, an
     empty table gives no rows, extra columns are ignored.  ``with_paths=False``
-    leaves ``path`` null in components over ``max_component_rows``, where the
-    paths can be far larger than the input.
+    leaves every ``path`` null: paths can be far larger than the input.
     """
     edges = links(df, id_col, parent_col)
     id_type = edges.schema["id"].dataType.simpleString()
     nodes = checkpoint(components(edges))
     sizes = nodes.groupBy("component").agg(F.count("*").alias("_n"))
-    large = sizes.filter(F.col("_n") > max_component_rows).select(F.col("component").alias("_c"))
-    # at most rows / max_component_rows components are that large
-    keys = [r[0] for r in large.collect()]
-    big = F.col("component").isin(keys) if keys else F.lit(False)
-    small = nodes.filter(~big).repartition("component").sortWithinPartitions("component", "id")
+    large = checkpoint(sizes.filter(F.col("_n") > max_component_rows).select(F.col("component").alias("_c")))
+    some = not large.isEmpty()
+    marked = maybe_broadcast(large)
+    on = F.col("component") == F.col("_c")
+    small = nodes.join(marked, on, "left_anti") if some else nodes
+    small = small.repartition("component").sortWithinPartitions("component", "id")
     schema = T.StructType(
         [
             T.StructField("id", edges.schema["id"].dataType),
@@ -191,9 +200,9 @@ def hierarchies(
             T.StructField("component", edges.schema["id"].dataType),
         ]
     )
-    out = small.select("component", "id", "parent").mapInPandas(_walk_batches(id_type), schema)
-    if keys:
-        rest = nodes.filter(big)
+    out = small.select("component", "id", "parent").mapInPandas(_walk_batches(id_type, with_paths), schema)
+    if some:
+        rest = nodes.join(marked, on, "left_semi")
         rest = _long_paths(rest) if with_paths else rest.withColumn("path", F.lit(None).cast(schema["path"].dataType))
         out = out.unionByName(rest.select("id", F.col("component").alias("root_id"), "depth", "path", "in_circle", "component"))
     named = df.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_i")).agg(F.max(parent_col).alias("_asked"))
