@@ -176,3 +176,58 @@ def test_whole_tables_equal_sql_at_scale(spark, name):
     assert compare(spark, sf, name, QUERIES[name], ORACLE[name]) is None
     whole = {tuple(r) for r in QUERIES[name](spark, sf).collect()}
     assert whole != {tuple(r) for r in QUERIES[name.rsplit("_", 1)[0]](spark, sf).collect()}
+
+
+def test_a_failed_write_leaves_the_table(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    rows = lambda *x: spark.createDataFrame(list(x), "id int, v string")
+    held = lambda: sorted(map(tuple, store.read(spark, root).collect()))
+    put = store._put
+
+    def broken(*args):
+        raise OSError("lost")
+
+    # the first write fails before its pointer stands: there is no table yet, and a retry makes one
+    monkeypatch.setattr(store, "_put", broken)
+    with pytest.raises(OSError):
+        store.write(rows((1, "a"), (2, "b")), root)
+    monkeypatch.setattr(store, "_put", put)
+    assert store.current(spark, root) is None
+    store.merge(spark, root, rows((1, "a"), (2, "b")), ["id"])
+    monkeypatch.setattr(store, "_put", broken)
+    with pytest.raises(OSError):
+        store.merge(spark, root, rows((2, "c")), ["id"])
+    assert held() == [(1, "a"), (2, "b")]
+    monkeypatch.setattr(store, "_put", put)
+    monkeypatch.setattr(store, "_prune", broken)
+    with pytest.raises(OSError):
+        store.merge(spark, root, rows((2, "c")), ["id"])
+    assert held() == [(1, "a"), (2, "c")]
+    monkeypatch.undo()
+    for k in range(4):
+        store.merge(spark, root, rows((3, f"x{k}")), ["id"])
+    assert held() == [(1, "a"), (2, "c"), (3, "x3")]
+    assert len(list((tmp_path / "t").glob("v-*"))) <= 4 and len(list((tmp_path / "t").glob("_CURRENT.*"))) == 2
+    # of two writers that start from one version the later one fails
+    store._put(spark, f"{root}/_CURRENT.90", "v")
+    with pytest.raises(RuntimeError):
+        store._put(spark, f"{root}/_CURRENT.90", "w")
+
+
+def test_a_table_without_its_pointers_is_no_new_table(spark, tmp_path):
+    root = str(tmp_path / "t")
+    store.write(spark.range(3), root)
+    for f in (tmp_path / "t").glob("_CURRENT.*"):
+        f.unlink()
+    with pytest.raises(RuntimeError):
+        store.merge(spark, root, spark.range(1), ["id"])
+
+
+def test_vectors_of_another_length_are_refused(spark, tmp_path):
+    root = str(tmp_path / "v")
+    rows = lambda *x: spark.createDataFrame(list(x), "node_id string, embedding array<float>, seq int")
+    store.merge_vectors(spark, root, rows(("a", [1.0, 2.0], 1), ("a", [3.0, 4.0], 2), ("b", [0.0, 1.0], 1)), 2, ["seq"])
+    for bad in (("c", [1.0], 1), ("c", None, 1)):
+        with pytest.raises(ValueError):
+            store.merge_vectors(spark, root, rows(bad), 2, ["seq"])
+    assert sorted((r["node_id"], r["embedding"]) for r in store.read(spark, root).collect()) == [("a", [3.0, 4.0]), ("b", [0.0, 1.0])]

@@ -49,6 +49,16 @@ def test_a_key_with_a_third_of_the_references_is_split_off(spark):
     assert {r["id"] for r in got.collect()} == want
 
 
+def test_keys_heavy_on_both_sides_are_split_by_time(spark):
+    r = random.Random(11)
+    lives = [("hot", day(a), day(a + 2)) for a in range(0, 3000, 3)] + [("k", day(0), None)]
+    refs = [(i, "hot" if i % 3 else r.choice("kz"), day(r.randint(0, 3100))) for i in range(3000)]
+    want = {i for i, k, at in refs if not any(lk == k and b <= at and (e is None or at < e) for lk, b, e in lives)}
+    args = (spark.createDataFrame(refs, "id int, key string, at timestamp"), spark.createDataFrame(lives, "key string, first timestamp, last timestamp"), ["key"], "at", "first", "last")
+    assert {x["id"] for x in orphan_refs(*args, broadcast_rows=10).collect()} == want
+    assert {x["id"] for x in orphan_refs(*args).collect()} == want
+
+
 def test_orphans_of_empty_tables(spark):
     refs = spark.createDataFrame([(1, "a", day(0))], "id int, key string, at timestamp")
     lives = spark.createDataFrame([], "key string, first timestamp, last timestamp")
@@ -119,6 +129,27 @@ def test_walk_colours_back_edges():
     assert rows[4][1:] == (2, 2, [4, 1, 2], False) and rows[3][4] and rows[2][4] and not rows[1][4]
 
 
+def test_a_long_chain_is_walked_without_copied_paths():
+    import tracemalloc
+
+    n = 100_000
+    ids = list(range(n))
+    tracemalloc.start()
+    got = [(x, root, depth) for x, root, depth, path, _ in walk(ids, [i + 1 if i < n - 1 else None for i in ids], False) if x % 1000 == 0 and path is None]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(x, n - 1, n - 1 - x) for x in range(0, n, 1000)][::-1] and peak < 100e6
+
+
+@pytest.mark.parametrize("most", [100_000, 50])
+def test_without_paths_every_size_is_alike(spark, most):
+    n = 200
+    df = spark.createDataFrame([(i, i + 1 if i % 100 < 99 else None) for i in range(n)] + [(500, 501), (501, 500)], "id long, up long")
+    tree = hierarchies(df, "id", "up", max_component_rows=most, with_paths=False).collect()
+    assert all(r["path"] is None for r in tree)
+    assert {(r["id"], r["root_id"], r["depth"], r["outcome"]) for r in tree} == {(i, i // 100 * 100 + 99, 99 - i % 100, "linked" if i % 100 < 99 else "root") for i in range(n)} | {(500, 500, 0, "cycle"), (501, 500, 0, "cycle")}
+
+
 def brute_changes(rows):
     seq = {}
     for s, at, *_ in rows:
