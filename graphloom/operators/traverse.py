@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.lookup import find_by_name
 from graphloom.session import checkpoint, maybe_broadcast
 
 MAX_DEPTH = 6
@@ -36,6 +37,29 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 3, reverse: bool = F
     return seen
 
 
+def start_candidates(nodes: DataFrame, name: str, path: str | None = None, limit: int = 5) -> DataFrame:
+    """``id, name, file_path, tier``: functions and types a start's name may mean
+    (O-22, O-23, O-32).  More than one row is an ambiguous start, which
+    ``flow_from`` answers with these candidates (O-55c)."""
+    return find_by_name(nodes.filter(F.col("label").isin("Function", "Type")), name, path, limit).select("id", "name", "file_path", "tier")
+
+
+def flow_from(edges: DataFrame, nodes: DataFrame, name: str, path: str | None = None, depth: int = 3, reverse: bool = False, limit: int = 50) -> DataFrame:
+    """``kind, id, name, label, hop`` of the data flow of a start given by name.
+
+    ``kind`` is ``flow``, or ``candidate`` (``hop`` null) where the name means
+    several nodes, which are listed instead of a traversal (O-55c); a name that
+    means none gives no rows.  The candidates are at most ``limit`` rows.
+    """
+    found = start_candidates(nodes, name, path, limit)
+    starts = [r["id"] for r in found.select("id").distinct().collect()]
+    if len(starts) != 1:
+        known = nodes.filter(F.col("id").isin(starts)) if starts else nodes.limit(0)
+        return known.select(F.lit("candidate").alias("kind"), "id", "name", "label", F.lit(None).cast("int").alias("hop")).distinct()
+    one = nodes.sparkSession.createDataFrame([(starts[0],)], "start string")
+    return data_flow(edges, nodes, one, depth, reverse, limit=limit).select(F.lit("flow").alias("kind"), "id", "name", "label", "hop")
+
+
 def data_flow(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int = 3, reverse: bool = False, labels: tuple[str, ...] = ("Function", "Type"), limit: int = 50) -> DataFrame:
     """``start, id, name, label, hop``, nearest first, ``limit`` per start: only
     nodes of ``labels`` come out, any node may lie between (O-55)."""
@@ -105,9 +129,20 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, same_file: bool | None
         best = keys.groupBy("_key").agg(F.min(F.struct("_inexact", "file_path", "name")).alias("_m"))
         met = calls.join(best, F.col("callee") == F.col("_key"))
         return met.select("caller_path", "caller", "callee", F.col("_m.file_path").alias("target_path"), F.col("_m.name").alias("target")).distinct()
-    met = calls.join(keys, F.col("callee") == F.col("_key")).filter((F.col("file_path") == F.col("caller_path")) == F.lit(same_file))
-    one = met.groupBy("caller_path", "caller", "callee").agg(F.min(F.struct("_inexact", "file_path", "name")).alias("_m"))
-    return one.select("caller_path", "caller", "callee", F.col("_m.file_path").alias("target_path"), F.col("_m.name").alias("target"))
+    # one target per name and file, so that a common name can't multiply either
+    per_file = keys.groupBy("_key", "file_path").agg(F.min(F.struct("_inexact", "name")).alias("_t"))
+    target = F.struct("_t._inexact", "file_path", "_t.name")
+    cols = ["caller_path", "caller", "callee"]
+    if same_file:
+        met = calls.join(per_file, (F.col("callee") == F.col("_key")) & (F.col("caller_path") == F.col("file_path"))).select(*cols, target.alias("_m"))
+    else:
+        # the best of all files, and the best of the others for callers in that file
+        first = per_file.groupBy("_key").agg(F.min(target).alias("_first"))
+        rest = per_file.join(first, "_key").filter(F.col("file_path") != F.col("_first.file_path")).groupBy("_key").agg(F.min(target).alias("_second"))
+        both = first.join(rest, "_key", "left")
+        other = F.when(F.col("_first.file_path") != F.col("caller_path"), F.col("_first")).otherwise(F.col("_second"))
+        met = calls.join(both, F.col("callee") == F.col("_key")).select(*cols, other.alias("_m")).filter("_m is not null")
+    return met.select(*cols, F.col("_m.file_path").alias("target_path"), F.col("_m.name").alias("target")).distinct()
 
 
 def resolve_types(uses: DataFrame, types: DataFrame, every: bool = False) -> DataFrame:
@@ -129,11 +164,15 @@ def match_paths(entities: DataFrame, changed: DataFrame, path: str = "file_path"
 def scope_targets(constraints: DataFrame, services: DataFrame, modules: DataFrame, functions: DataFrame) -> DataFrame:
     """``constraint_id, target``: what each constraint applies to, by the type of
     its scope: a service's name, a module's path prefix, a function's
-    ``path::name`` (O-31, O-44).  Prefixes meet on exploded path prefixes."""
+    ``path::name`` (O-31, O-44).  Prefixes meet by equality on the beginnings of
+    each path that are as long as some scope."""
     c = constraints.select(F.col("id").alias("constraint_id"), "scope", "scope_type")
     s = c.filter("scope_type = 'service'").join(services.select(F.col("name").alias("_n"), F.col("id").alias("target")), F.col("scope") == F.col("_n"))
     pre = modules.select(F.col("id").alias("target"), F.col("file_path").alias("_p")).filter("_p is not null and _p <> ''")
-    pre = pre.select("target", F.explode(F.transform(F.sequence(F.lit(1), F.length("_p")), lambda i: F.left(F.col("_p"), i))).alias("_n"))
+    # one row: as many lengths as there are different ones
+    lengths = F.broadcast(c.filter("scope_type = 'module' and scope <> ''").agg(F.collect_set(F.length("scope")).alias("_lens")))
+    fits = F.filter("_lens", lambda n: n <= F.length("_p"))
+    pre = pre.crossJoin(lengths).select("target", F.explode(F.transform(fits, lambda n: F.left(F.col("_p"), n))).alias("_n"))
     m = c.filter("scope_type = 'module'").join(pre, F.col("scope") == F.col("_n"))
     f = c.filter("scope_type = 'function'").join(functions.select(F.col("id").alias("target")), F.col("scope") == F.col("target"))
     cols = ["constraint_id", "target"]

@@ -2,8 +2,9 @@
 
 Python is read by its own parser.  TypeScript and Rust are read by a scanner that
 knows strings, comments and nesting but no full grammar: it finds functions,
-methods, types, constants and imports with their lines, arguments and calls, not
-inferred types or macros.
+methods, types, constants and imports with their lines, arguments, calls,
+decorators, routes, type references and constructor parameters, not inferred
+types or macros.
 """
 
 from __future__ import annotations
@@ -19,11 +20,26 @@ from pyspark.sql import functions as F
 
 from graphloom.sources.trees import language
 
-ENTITY = "file_path string, kind string, name string, line_number int, end_line int, args array<struct<name: string, type: string, has_default: boolean, default_text: string>>, return_type string, doc string, is_exported boolean, is_async boolean, bases array<string>, callees array<string>, body_text string, content_hash string, spec string, imported array<string>, error string"
-COLUMNS = [c.split(" ")[0] for c in ENTITY.replace(": ", ":").split(", ") if not c.split(" ")[0].count(":")]
-
-# Calls that say nothing about a code base.
-STOP_CALLS = {"console.log", "console.warn", "console.error", "console.debug", "JSON.stringify", "JSON.parse", "Object.keys", "Object.values", "Object.entries", "Array.isArray", "Array.from", "parseInt", "parseFloat", "Date.now", "Promise.all", "Promise.resolve", "setTimeout", "print", "len", "str", "int", "range", "isinstance", "super", "format", "println", "vec", "Some", "Ok", "Err"}
+ENTITY = "file_path string, kind string, name string, line_number int, end_line int, args array<struct<name: string, type: string, has_default: boolean, default_text: string>>, return_type string, doc string, is_exported boolean, is_async boolean, bases array<string>, callees array<string>, body_text string, content_hash string, spec string, imported array<string>, error string, decorators array<struct<name: string, args: array<string>>>, http_method string, route_path string, type_refs array<string>, extends array<string>, implements array<string>, params array<struct<name: string, type: string, inject_token: string>>"
+COLUMNS = re.findall(r"(\w+) (?:string|int|boolean|array)", ENTITY)
+
+# Calls that say nothing about a code base, names of types that
+# are no entities of it, and decorators that make a method a route.
+STOP_CALLS = set(
+    "console.log console.warn console.error console.debug Math.max Math.min Math.abs Math.round Math.floor Math.ceil Math.random Math.log Math.sqrt Math.pow "
+    "JSON.stringify JSON.parse Object.keys Object.values Object.entries Object.assign Array.isArray Array.from String Number Boolean parseInt parseFloat "
+    "Date.now Promise.all Promise.resolve Promise.reject setTimeout setInterval clearTimeout clearInterval".split()
+)
+STOP_CALLS_PY = set(
+    "print len range isinstance issubclass super str int float bool list dict set tuple enumerate zip map filter sorted getattr setattr hasattr open type repr format vars iter next min max sum abs round any all".split()
+)
+BUILTIN_TYPES = set(
+    "Array Map Set Record Promise Partial Required Readonly Pick Omit Exclude Extract NonNullable ReturnType InstanceType Parameters ConstructorParameters Awaited ReadonlyArray ReadonlyMap "
+    "ReadonlySet WeakMap WeakSet Buffer Date RegExp Error String Number Boolean Object Symbol Function Uint8Array Int8Array Float32Array Float64Array ArrayBuffer SharedArrayBuffer JSX React Element".split()
+)
+TYPING_NAMES = set("List Dict Set Tuple Optional Union Any Callable Iterable Iterator Sequence Mapping Type Literal Annotated ClassVar Final Self None True False".split())
+HTTP_VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
+ROUTE_DECORATORS = {v.capitalize(): v.upper() for v in (*HTTP_VERBS, "all")}
 
 
 def digest(text: str) -> str:
@@ -31,10 +47,36 @@ def digest(text: str) -> str:
 
 
 def _row(path: str, kind: str, name: str, line: int, end: int, body: str = "", **more) -> dict:
-    base = {"file_path": path, "kind": kind, "name": name, "line_number": line, "end_line": end, "args": [], "return_type": None, "doc": None, "is_exported": False, "is_async": False, "bases": [], "callees": [], "body_text": body, "content_hash": digest(body), "spec": None, "imported": [], "error": None}
+    base = {"file_path": path, "kind": kind, "name": name, "line_number": line, "end_line": end, "args": [], "return_type": None, "doc": None, "is_exported": False, "is_async": False, "bases": [], "callees": [], "body_text": body, "content_hash": digest(body), "spec": None, "imported": [], "error": None, "decorators": [], "http_method": None, "route_path": None, "type_refs": [], "extends": [], "implements": [], "params": []}
     return base | more
 
 
+def _dotted(n: ast.AST) -> str | None:
+    """``a.b.c`` of a chain of names, None for anything else."""
+    parts = []
+    while isinstance(n, ast.Attribute):
+        parts.append(n.attr)
+        n = n.value
+    return ".".join([n.id, *reversed(parts)]) if isinstance(n, ast.Name) else None
+
+
+def _python_route(n) -> dict:
+    """Method and path of the first decorator that makes a function a route:
+    ``@x.get("/p")`` or ``@x.route("/p", methods=["POST"])``."""
+    for d in n.decorator_list:
+        name = d.func.attr if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) else d.func.id if isinstance(d, ast.Call) and isinstance(d.func, ast.Name) else ""
+        path = d.args[0].value if name and d.args and isinstance(d.args[0], ast.Constant) and isinstance(d.args[0].value, str) else None
+        if path is None:
+            continue
+        if name.lower() in HTTP_VERBS:
+            return {"http_method": name.upper(), "route_path": path}
+        if name.lower() == "route":
+            given = [k.value.elts for k in d.keywords if k.arg == "methods" and isinstance(k.value, (ast.List, ast.Tuple))]
+            first = next((e.value for elts in given for e in elts[:1] if isinstance(e, ast.Constant) and isinstance(e.value, str)), "GET")
+            return {"http_method": first.upper(), "route_path": path}
+    return {}
+
+
 def parse_python(path: str, text: str) -> list[dict]:
     """Entities of a Python file (O-05); raises SyntaxError on a broken one."""
     tree = ast.parse(text)
@@ -44,13 +86,17 @@ def parse_python(path: str, text: str) -> list[dict]:
         return ast.get_source_segment(text, n) or ""
 
     def calls(n: ast.AST) -> list[str]:
-        out = []
-        for x in ast.walk(n):
-            if isinstance(x, ast.Call):
-                c = re.sub(r"^(?:self|cls)\.", "", source(x.func))
-                if c and len(c) <= 80 and "(" not in c and "[" not in c and c not in STOP_CALLS:
-                    out.append(c)
-        return list(dict.fromkeys(out))
+        names = (_dotted(x.func) for part in n.body for x in ast.walk(part) if isinstance(x, ast.Call))
+        bare = (re.sub(r"^(?:self|cls)\.", "", c) for c in names if c)
+        return list(dict.fromkeys(c for c in bare if len(c) <= 80 and c not in STOP_CALLS_PY))
+
+    def decorators(n) -> list[dict]:
+        parts = [(d.func, d.args) if isinstance(d, ast.Call) else (d, []) for d in n.decorator_list]
+        return [{"name": _dotted(f) or source(f), "args": [a.value if isinstance(a, ast.Constant) and isinstance(a.value, str) else source(a) for a in args]} for f, args in parts]
+
+    def types(*notes: ast.AST | None) -> list[str]:
+        named = (x.id if isinstance(x, ast.Name) else x.attr for n in notes if n is not None for x in ast.walk(n) if isinstance(x, (ast.Name, ast.Attribute)))
+        return sorted({t for t in named if t[:1].isupper() and t not in TYPING_NAMES})
 
     def function(n, owner: str) -> None:
         a = n.args
@@ -58,13 +104,16 @@ def parse_python(path: str, text: str) -> list[dict]:
         late: list = [None] * (len(every) - len(a.defaults)) + list(a.defaults)
         pairs = [*zip(every, late, strict=True), *zip(a.kwonlyargs, a.kw_defaults, strict=True)]
         args = [{"name": x.arg, "type": source(x.annotation) if x.annotation else "", "has_default": d is not None, "default_text": source(d) if d is not None else None} for x, d in pairs if x.arg not in ("self", "cls")]
-        rows.append(_row(path, "function", f"{owner}{n.name}", n.lineno, n.end_lineno, source(n), args=args, return_type=source(n.returns) if n.returns else "", doc=ast.get_docstring(n), is_exported=not n.name.startswith("_"), is_async=isinstance(n, ast.AsyncFunctionDef), callees=calls(n)))
+        rows.append(_row(path, "function", f"{owner}{n.name}", n.lineno, n.end_lineno, source(n), args=args, return_type=source(n.returns) if n.returns else "", doc=ast.get_docstring(n), is_exported=not n.name.startswith("_"), is_async=isinstance(n, ast.AsyncFunctionDef), callees=calls(n), decorators=decorators(n), type_refs=types(*(x.annotation for x, _ in pairs if x.arg not in ("self", "cls")), n.returns), **_python_route(n)))
 
     for n in tree.body:
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
             function(n, "")
         elif isinstance(n, ast.ClassDef):
-            rows.append(_row(path, "class", n.name, n.lineno, n.end_lineno, source(n), doc=ast.get_docstring(n), is_exported=not n.name.startswith("_"), bases=[source(b) for b in n.bases]))
+            bases = [_dotted(b) or source(b) for b in n.bases]
+            init = next((m.args for m in n.body if isinstance(m, ast.FunctionDef) and m.name == "__init__"), None)
+            params = [{"name": x.arg, "type": source(x.annotation) if x.annotation else "", "inject_token": None} for x in ([*init.posonlyargs, *init.args, *init.kwonlyargs] if init else ()) if x.arg not in ("self", "cls")]
+            rows.append(_row(path, "class", n.name, n.lineno, n.end_lineno, source(n), doc=ast.get_docstring(n), is_exported=not n.name.startswith("_"), bases=bases, extends=bases[:1], implements=bases[1:], decorators=decorators(n), params=params))
             for m in n.body:
                 if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)):
                     function(m, f"{n.name}.")
@@ -140,22 +189,82 @@ def _doc(text: str, at: int, rust: bool) -> str | None:
     return None
 
 
-def _callees(code: str) -> list[str]:
+def _callees(code: str, stop: set[str] = STOP_CALLS) -> list[str]:
     found = (re.sub(r"^(?:this|self)\.", "", c) for c in _CALL.findall(code))
-    return list(dict.fromkeys(c for c in found if c not in STOP_CALLS and c.split(".")[-1].split("::")[-1] not in _WORDS and len(c) <= 80))
+    return list(dict.fromkeys(c for c in found if c not in stop and c.split(".")[-1].split("::")[-1] not in _WORDS and len(c) <= 80))
+
+
+_DECORATOR = re.compile(r"(?<![\w$@])@(?P<n>[A-Za-z_$][\w$.]*)")
+
+
+def _decorators(text: str, code: str) -> tuple[str, list[tuple[int, int, dict]]]:
+    """The code with its decorators blanked out, and each with where it begins
+    and where what it decorates begins."""
+    found, chars = [], list(code)
+    for m in _DECORATOR.finditer(code):
+        end, args = m.end(), []
+        if code[end : end + 1] == "(":
+            depth, begin = 0, end + 1
+            for i in range(end, len(code)):
+                depth += (code[i] in "([{") - (code[i] in ")]}")
+                if depth == 0 or depth == 1 and code[i] == ",":
+                    part = text[begin:i].strip()
+                    if part:
+                        args.append(re.sub(r"^['\"`](.*)['\"`]$", r"\1", part, flags=re.S))
+                    begin = i + 1
+                if depth == 0:
+                    end = i + 1
+                    break
+        for i in range(m.start(), end):
+            chars[i] = "\n" if chars[i] == "\n" else " "
+        found.append((m.start(), end, {"name": m["n"], "args": args}))
+    plain = "".join(chars)
+    return plain, [(a, z + len(plain[z:]) - len(plain[z:].lstrip()), d) for a, z, d in found]
+
+
+def _type_refs(args: list[dict], returns: str) -> list[str]:
+    """Names with a capital in the types of a signature that are no built-in ones
+    (O-109), in order."""
+    found = re.findall(r"\b[A-Z][A-Za-z0-9]+\b", " ".join([*(a["type"] for a in args), returns]))
+    return list(dict.fromkeys(t for t in found if t not in BUILTIN_TYPES))
+
+
+def _route(decorators: list[dict], prefix: str) -> dict:
+    """Method and path of a controller's method (O-107)."""
+    for d in decorators:
+        if d["name"] in ROUTE_DECORATORS:
+            parts = [p for p in (prefix, d["args"][0] if d["args"] else "") if p]
+            return {"http_method": ROUTE_DECORATORS[d["name"]], "route_path": "/" + re.sub(r"/+", "/", "/".join(parts)).strip("/")}
+    return {}
+
+
+def _parameters(code: str, begin: int, end: int, decorators: list[tuple[int, int, dict]]) -> list[dict]:
+    """Constructor parameters with the token of an ``@Inject`` before them."""
+    out, at, depth = [], begin, 0
+    for i in range(begin, end + 1):
+        if i == end or code[i] == "," and depth == 0:
+            inject = next((d["args"] for a, _, d in decorators if at <= a < i and d["name"] == "Inject"), [])
+            out += [{"name": re.sub(r"^(?:(?:public|private|protected|readonly|override)\s+)+", "", x["name"]), "type": x["type"], "inject_token": inject[0] if inject else None} for x in _args(code[at:i])]
+            at = i + 1
+        elif i < end:
+            depth += (code[i] in "([{<") - (code[i] in ")]}>")
+    return out
 
 
 def parse_typescript(path: str, text: str) -> list[dict]:
     """Entities of a TypeScript file (O-04)."""
-    code = blanked(text, _SKIP)
+    code, marked = _decorators(text, blanked(text, _SKIP))
+    on = lambda at: [d for _, z, d in marked if z == at]
     line = lambda i: text.count("\n", 0, i) + 1
     rows: list[dict] = []
     inside: list[tuple[int, int]] = []
     for m in _TS_TYPE.finditer(code):
         end = _close(code, m.end() - 1) if m["n"] else (code.find(";", m.end()) + 1 or len(code))
         split = lambda s: [re.sub(r"<.*", "", x).strip() for x in (s or "").split(",") if x.strip()]
-        rows.append(_row(path, m["k"] or "type", m["n"] or m["n2"], line(m.start()), line(end), text[m.start() : end], is_exported=bool(m["exp"] or m["exp2"]), doc=_doc(text, m.start(), False), bases=split(m["e"]) + split(m["i"])))
+        rows.append(_row(path, m["k"] or "type", m["n"] or m["n2"], line(m.start()), line(end), text[m.start() : end], is_exported=bool(m["exp"] or m["exp2"]), doc=_doc(text, m.start(), False), bases=split(m["e"]) + split(m["i"]), extends=split(m["e"]), implements=split(m["i"]), decorators=on(m.start())))
         if m["k"] == "class":
+            of_class = rows[-1]
+            prefix = next((d["args"][0] for d in of_class["decorators"] if d["name"] == "Controller" and d["args"]), "")
             inside.append((m.start(), end))
             body = code[m.end() : end]
             for x in _TS_METHOD.finditer(body):
@@ -163,13 +272,18 @@ def parse_typescript(path: str, text: str) -> list[dict]:
                     continue
                 a = m.end() + x.start("n")
                 z = _close(code, m.end() + x.end() - 1)
-                rows.append(_row(path, "function", f"{m['n']}.{x['n']}", line(a), line(z), text[a:z], args=_args(x["a"]), return_type=(x["r"] or "").strip(), is_exported=bool(m["exp"]), is_async=bool(x["asy"]), doc=_doc(text, m.end() + x.start("n"), False), callees=_callees(code[m.end() + x.end() : z])))
+                if x["n"] == "constructor":
+                    of_class["params"] = _parameters(code, m.end() + x.start("a"), m.end() + x.end("a"), marked)
+                head = m.end() + x.start() + len(x[0]) - len(x[0].lstrip())
+                args, returns, decorated = _args(x["a"]), (x["r"] or "").strip(), on(head)
+                rows.append(_row(path, "function", f"{m['n']}.{x['n']}", line(a), line(z), text[a:z], args=args, return_type=returns, is_exported=bool(m["exp"]), is_async=bool(x["asy"]), doc=_doc(text, m.end() + x.start("n"), False), callees=_callees(code[m.end() + x.end() : z]), decorators=decorated, type_refs=_type_refs(args, returns), **_route(decorated, prefix)))
     for m in _TS_FN.finditer(code):
         if any(a < m.start() < z for a, z in inside):
             continue
         z = _close(code, m.end() - 1)
         k = "1" if m["n1"] else "2"
-        rows.append(_row(path, "function", m["n" + k], line(m.start()), line(z), text[m.start() : z], args=_args(m["a" + k]), return_type=(m["r" + k] or "").strip(), is_exported=bool(m["exp"] or m["exp2"]), is_async=bool(m["asy"] or m["asy2"]), doc=_doc(text, m.start(), False), callees=_callees(code[m.end() : z])))
+        args, returns = _args(m["a" + k]), (m["r" + k] or "").strip()
+        rows.append(_row(path, "function", m["n" + k], line(m.start()), line(z), text[m.start() : z], args=args, return_type=returns, type_refs=_type_refs(args, returns), is_exported=bool(m["exp"] or m["exp2"]), is_async=bool(m["asy"] or m["asy2"]), doc=_doc(text, m.start(), False), callees=_callees(code[m.end() : z])))
     for m in _TS_CONST.finditer(code):
         z = code.find(";", m.end()) + 1 or len(code)
         rows.append(_row(path, "const", m["n"], line(m.start()), line(z), text[m.start() : z], is_exported=bool(m["exp"])))
@@ -203,12 +317,13 @@ def parse_rust(path: str, text: str) -> list[dict]:
     for m in _RS_TYPE.finditer(code):
         brace, semi = code.find("{", m.end()), code.find(";", m.end())
         z = semi + 1 if semi >= 0 and (brace < 0 or semi < brace) else _close(code, brace) if brace >= 0 else len(code)
-        rows.append(_row(path, m["k"], prefix(m.start()) + m["n"], line(m.start()), line(z), text[m.start() : z], is_exported=bool(m["exp"]), doc=_doc(text, m.start(), True), bases=traits.get(m["n"], [])))
+        rows.append(_row(path, m["k"], prefix(m.start()) + m["n"], line(m.start()), line(z), text[m.start() : z], is_exported=bool(m["exp"]), doc=_doc(text, m.start(), True), bases=traits.get(m["n"], []), implements=traits.get(m["n"], [])))
     for m in _RS_FN.finditer(code):
         z = _close(code, m.end() - 1)
         owner = next((n for a, e, n, _ in reversed(impls) if a < m.start() < e), None)
         name = f"{owner}.{m['n']}" if owner else m["n"]
-        rows.append(_row(path, "function", prefix(m.start()) + name, line(m.start()), line(z), text[m.start() : z], args=_args(m["a"]), return_type=(m["r"] or "").strip(), is_exported=bool(m["exp"]), is_async=bool(m["asy"]), doc=_doc(text, m.start(), True), callees=_callees(code[m.end() : z])))
+        args, returns = _args(m["a"]), (m["r"] or "").strip()
+        rows.append(_row(path, "function", prefix(m.start()) + name, line(m.start()), line(z), text[m.start() : z], args=args, return_type=returns, is_exported=bool(m["exp"]), is_async=bool(m["asy"]), doc=_doc(text, m.start(), True), callees=_callees(code[m.end() : z], set()), type_refs=_type_refs(args, returns)))
     for m in _RS_CONST.finditer(code):
         z = code.find(";", m.end()) + 1 or len(code)
         rows.append(_row(path, "const", prefix(m.start()) + m["n"], line(m.start()), line(z), text[m.start() : z], is_exported=bool(m["exp"])))

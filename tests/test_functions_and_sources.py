@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as tx
 from graphloom.functions.vectors import cosine_distance
 from graphloom.operators import cdc, decisions, lookup, memory, novelty, traverse
-from graphloom.sources import feeds, parsers, store, trees
+from graphloom.sources import build, feeds, parsers, store, trees
 from graphloom.streaming import sync
 
 
@@ -231,3 +231,80 @@ def test_vectors_of_another_length_are_refused(spark, tmp_path):
         with pytest.raises(ValueError):
             store.merge_vectors(spark, root, rows(bad), 2, ["seq"])
     assert sorted((r["node_id"], r["embedding"]) for r in store.read(spark, root).collect()) == [("a", [3.0, 4.0]), ("b", [0.0, 1.0])]
+
+
+SOURCES = {
+    "/r/apps/web/src/user.controller.ts": """import { UserService } from './user.service';
+import { audit } from '../../api/src/log';
+@Controller('users')
+export class UserController extends BaseController implements Auditable {
+  constructor(private readonly svc: UserService, @Inject(Clock) at: unknown) { super(); }
+  @Get(':id')
+  async find(id: string, how: Query): Promise<User> { console.log(id); Math.max(1, 2); audit(id); return this.check(how); }
+  @Post() make() { clearTimeout(1); this.find('x'); }
+  check(how: Query) { return how; }
+}
+export class BaseController { }
+export interface Auditable { }
+export type Query = string;
+""",
+    "/r/apps/web/src/user.service.ts": "export class UserService { load(id: string): User { return audit(id); } }\nexport class User { }\nexport class Clock { }\n",
+    "/r/apps/api/src/log.ts": "export function audit(id: string) { return format(id); }\nfunction format(x: string) { return x; }\n",
+    "/r/apps/api/src/main.py": "from .log import audit\n@app.post('/run')\ndef run(job: Job) -> Done:\n    return audit(len(job))\nclass Job:\n    pass\nclass Done(Job):\n    pass\n",
+    "/r/apps/api/src/bad.py": "def (:\n",
+}
+
+
+def test_parsed_fields(spark):
+    files = spark.createDataFrame(list(SOURCES.items()), "file_path string, text string")
+    rows = {(r["kind"], r["name"]): r for r in parsers.parse_sources(files).collect()}
+    find = rows[("function", "UserController.find")]
+    assert (find["http_method"], find["route_path"], find["type_refs"], find["callees"]) == ("GET", "/users/:id", ["Query", "User"], ["audit", "check"])
+    assert rows[("function", "UserController.make")]["route_path"] == "/users" and rows[("function", "UserController.make")]["callees"] == ["find"]
+    cls = rows[("class", "UserController")]
+    assert (cls["extends"], cls["implements"], [d["name"] for d in cls["decorators"]]) == (["BaseController"], ["Auditable"], ["Controller"])
+    assert [(p["name"], p["type"], p["inject_token"]) for p in cls["params"]] == [("svc", "UserService", None), ("at", "unknown", "Clock")]
+    run = rows[("function", "run")]
+    assert (run["http_method"], run["route_path"], run["type_refs"], run["callees"]) == ("POST", "/run", ["Done", "Job"], ["audit"])
+
+
+def test_graph_of_parsed_sources(spark):
+    files = spark.createDataFrame(list(SOURCES.items()), "file_path string, text string")
+    packages = trees.detect_packages(files, "/r")
+    g = build.build_graph(parsers.parse_sources(files), "/r", packages)
+    short = lambda x: x.replace("/r/apps/", "").replace("/src/", "/")
+    edges = {}
+    for r in g.edges.collect():
+        edges.setdefault(r["type"], set()).add((short(r["src"]), short(r["dst"])))
+    web, srv, api, py = "web/user.controller.ts", "web/user.service.ts", "api/log.ts", "api/main.py"
+    assert edges["CALLS"] == {(f"{web}::UserController.find", f"{api}::audit"), (f"{web}::UserController.find", f"{web}::UserController.check"), (f"{web}::UserController.make", f"{web}::UserController.find"), (f"{api}::audit", f"{api}::format"), (f"{py}::run", f"{api}::audit")}
+    assert edges["USES_TYPE"] == {(f"{web}::UserController.find", f"{web}::Query"), (f"{web}::UserController.find", f"{srv}::User"), (f"{web}::UserController.check", f"{web}::Query"), (f"{srv}::UserService.load", f"{srv}::User"), (f"{py}::run", f"{py}::Job"), (f"{py}::run", f"{py}::Done"), (f"{web}::UserController.constructor", f"{srv}::UserService")}
+    assert edges["EXTENDS"] == {(f"{web}::UserController", f"{web}::BaseController"), (f"{py}::Done", f"{py}::Job")}
+    assert edges["IMPLEMENTS"] == {(f"{web}::UserController", f"{web}::Auditable")}
+    assert edges["INJECTS"] == {(f"{web}::UserController", f"{srv}::UserService"), (f"{web}::UserController", f"{srv}::Clock")}
+    assert {(a.replace("/r/apps/", ""), b.replace("/r/apps/", "")) for a, b in edges["IMPORTS"]} == {("web/src", "api/src")}
+    assert edges["BELONGS_TO"] == {("web/src", "service:web"), ("api/src", "service:api")}
+    counts = {r["label"]: r["count"] for r in g.nodes.groupBy("label").count().collect()}
+    assert counts == {"File": 5, "Module": 2, "Service": 2, "Function": 8, "Type": 9, "CodeBlock": 17}
+    # structural questions run on it: an ambiguous name gives candidates, a plain one is walked
+    flow = {(r["kind"], short(r["id"]), r["hop"]) for r in traverse.flow_from(g.edges.select("src", "dst"), g.nodes, "UserController.make", depth=2).collect()}
+    assert ("flow", f"{web}::UserController.find", 1) in flow and ("flow", f"{api}::audit", 2) in flow
+    assert build.build_graph(parsers.parse_sources(files.limit(0)), "/r").edges.count() == 0
+
+
+def test_ambiguous_starts_give_candidates(spark):
+    nodes = spark.createDataFrame([("a::run", "Function", "a", "run"), ("b::run", "Function", "b", "run"), ("c::K.go", "Function", "c", "K.go")], "id string, label string, file_path string, name string")
+    edges = spark.createDataFrame([("c::K.go", "a::run"), ("a::run", "b::run")], "src string, dst string")
+    ask = lambda *a: {(r["kind"], r["id"], r["hop"]) for r in traverse.flow_from(edges, nodes, *a).collect()}
+    assert ask("run") == {("candidate", "a::run", None), ("candidate", "b::run", None)}
+    assert ask("run", "a") == {("flow", "b::run", 1)} and ask("none") == set()
+    assert ask("go") == {("flow", "a::run", 1), ("flow", "b::run", 2)}
+
+
+def test_calls_within_and_beyond_a_file(spark):
+    f = spark.createDataFrame([("a", "run"), ("a", "K.run"), ("b", "Z.run"), ("c", "Y.run")], "file_path string, name string")
+    calls = spark.createDataFrame([(p, "x", "run") for p in "abcd"], "caller_path string, caller string, callee string")
+    got = lambda same: {(r["caller_path"], r["target_path"], r["target"]) for r in traverse.resolve_calls(calls, f, same).collect()}
+    assert got(True) == {("a", "a", "run"), ("b", "b", "Z.run"), ("c", "c", "Y.run")}
+    assert got(False) == {("a", "b", "Z.run"), ("b", "a", "run"), ("c", "a", "run"), ("d", "a", "run")}
+    assert got(None) == {(p, "a", "run") for p in "abcd"}
