@@ -83,8 +83,26 @@ def apply_changes(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_
     by_diff = nodes.join(ops.filter("op = 'delete'"), on, "left_semi").select("id")
     nodes2, edges2 = delete_nodes(nodes, edges, by_file.unionByName(by_diff))
     touched = new_nodes.join(ops.filter("op <> 'delete'"), on, "left_semi")
+    # edge types are the names of the model, a handful
     types = [r[0] for r in new_edges.select("type").distinct().collect()]
-    return upsert(nodes2, touched, ["id"]), replace_edges(edges2, new_edges, touched.select("id"), types)
+    mine = new_edges.join(touched.select(F.col("id").alias("_t")).distinct(), F.col("src") == F.col("_t"), "left_semi")
+    return upsert(nodes2, touched, ["id"]), replace_edges(edges2, mine, touched.select("id"), types)
+
+
+def maintain_vectors(vectors: DataFrame, changes: DataFrame, entities: DataFrame, embed) -> DataFrame:
+    """``vectors`` after a synchronisation (O-94): those of deleted entities go,
+    those of created and changed ones are embedded anew, all others stay.
+
+    ``vectors``: ``node_id`` and more; ``changes``: the result of ``diff`` on
+    ``file_path, name``; ``entities``: ``file_path, name`` and what ``embed``, a
+    function from DataFrame to DataFrame, turns into the columns of ``vectors``.
+    Only changed entities reach it.
+    """
+    ops = changes.select(F.concat_ws("::", "file_path", "name").alias("_id"), "op")
+    gone = ops.select("_id").distinct()
+    left = vectors.join(gone, F.col("node_id") == F.col("_id"), "left_anti")
+    due = entities.join(ops.filter("op <> 'delete'"), F.concat_ws("::", "file_path", "name") == F.col("_id"), "left_semi")
+    return left.unionByName(embed(due).select(*vectors.columns))
 
 
 def link_changes(entities: DataFrame, changed: DataFrame) -> DataFrame:

@@ -52,6 +52,14 @@ def content_search(blocks: DataFrame, key: list[str], text: str, phrase: str, li
     return hit.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= lines).select(*key, (F.col("_at") + 1).alias("line_no"), "line")
 
 
+def content_search_tiered(blocks: DataFrame, functions: DataFrame, key: list[str], text: str, body: str, phrase: str, lines: int = 5) -> DataFrame:
+    """``content_search`` on code blocks, or, where no block holds the phrase, on
+    the bodies stored with the functions themselves (O-26); ``tier`` says which."""
+    first = content_search(blocks, key, text, phrase, lines).withColumn("tier", F.lit(0))
+    second = content_search(functions, key, body, phrase, lines).withColumn("tier", F.lit(1))
+    return best_tier(first.unionByName(second), "tier")
+
+
 def log_lines(files: DataFrame) -> DataFrame:
     """``path, line_no, line`` of whole-file texts (``path, value``), blank lines
     left out (O-13)."""

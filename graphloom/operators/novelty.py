@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.vectors import cosine_distance
-from graphloom.session import maybe_broadcast
+from graphloom.session import checkpoint, maybe_broadcast
 
 FALLBACK_THRESHOLD = 0.1
 
@@ -56,6 +62,13 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool = True,
     vector is at distance 1 from all; null vectors take no part; a group without
     peers gives no rows.
     """
+    near = _block_neighbours(queries, pool, k, skip_self, block)
+    w = Window.partitionBy("id").orderBy("distance", "neighbour")
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _block_neighbours(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool, block: int = 4096) -> DataFrame:
+    """The ``k`` nearest of every question in each block of its group."""
     q = queries.select("id", "grp", "vec").filter("vec is not null and id is not null")
     p = pool.select("id", "grp", "vec").filter("vec is not null and id is not null")
     nb = _blocks(p.groupBy("grp").count(), "_nb", block)
@@ -66,9 +79,7 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, skip_self: bool = True,
     cand = p.join(sizes, on).select("grp", F.pmod(mixed, F.col("_nb")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("q"), F.lit(False).alias("role"), "id", "vec")
     asks = q.join(sizes, on).select("grp", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("b"), F.pmod(mixed, F.col("_nq")).cast("int").alias("q"), F.lit(True).alias("role"), "id", "vec")
     kind = q.schema["id"].dataType.simpleString()
-    near = cand.unionByName(asks).groupBy("grp", "b", "q").applyInArrow(_scan(k, skip_self), f"id {kind}, neighbour {kind}, distance double")
-    w = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return cand.unionByName(asks).groupBy("grp", "b", "q").applyInArrow(_scan(k, skip_self), f"id {kind}, neighbour {kind}, distance double")
 
 
 def knn_distance(near: DataFrame) -> DataFrame:
@@ -76,11 +87,11 @@ def knn_distance(near: DataFrame) -> DataFrame:
     return near.groupBy("id").agg(F.avg("distance").alias("knn_distance"))
 
 
-def leave_one_out(pool: DataFrame, k: int = 5) -> DataFrame:
+def leave_one_out(pool: DataFrame, k: int = 5, keep_unjudged: bool = False) -> DataFrame:
     """``id, grp, knn_distance`` of every pool entry against its peers; 0 without
-    peers (O-68)."""
+    peers, or null with ``keep_unjudged`` (O-68)."""
     d = knn_distance(nearest(pool, pool, k)).withColumnRenamed("id", "_i")
-    return pool.select("id", "grp").join(d, F.col("id") == F.col("_i"), "left").select("id", "grp", F.coalesce("knn_distance", F.lit(0.0)).alias("knn_distance"))
+    return pool.select("id", "grp").join(d, F.col("id") == F.col("_i"), "left").select("id", "grp", F.col("knn_distance") if keep_unjudged else F.coalesce("knn_distance", F.lit(0.0)).alias("knn_distance"))
 
 
 def calibrate(pool: DataFrame, k: int = 5, percentile: float = 0.95) -> DataFrame:
@@ -102,6 +113,138 @@ def judge(entries: DataFrame, pool: DataFrame, thresholds: DataFrame, k: int = 5
     return out.select("id", "grp", "distance", threshold.alias("threshold"), F.col("_t").isNotNull().alias("calibrated"), verdict.alias("verdict"))
 
 
+def judge_pool(pool: DataFrame, k: int = 5, percentile: float = 0.95) -> DataFrame:
+    """``judge`` of a pool against itself, calibrated by itself: one search serves
+    both, as the leave-one-out distances are the ones to be judged."""
+    near = checkpoint(leave_one_out(pool, k, keep_unjudged=True))
+    p = min(max(percentile, 0.0), 1.0)
+    t = near.groupBy("grp").agg(F.percentile(F.coalesce("knn_distance", F.lit(0.0)), F.lit(p)).alias("threshold"))
+    t = maybe_broadcast(t.select(F.col("grp").alias("_g"), "threshold"))
+    out = near.join(t, F.col("grp").eqNullSafe(F.col("_g")))
+    d = F.col("knn_distance")
+    verdict = F.when(d.isNull(), "unjudged").when(F.round(d, 9) > F.round("threshold", 9), "outlier").otherwise("conforming")
+    return out.select("id", "grp", d.alias("distance"), "threshold", F.lit(True).alias("calibrated"), verdict.alias("verdict"))
+
+
+def _signatures(dim: int, tables: int, bits: int, seed: int):
+    planes = np.random.RandomState(seed).normal(size=(dim, tables * bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vec = batch.column(batch.schema.get_field_index("vec"))
+            m = vec.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+            side = (m @ planes > 0).reshape(len(m), tables, bits)
+            codes = (side * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(codes), pa.list_(pa.int64()))], names=[*batch.schema.names, "codes"])
+
+    return run
+
+
+def nearest_approximate(queries: DataFrame, pool: DataFrame, k: int, dim: int, tables: int = 12, bucket_rows: int = 1024, skip_self: bool = True, seed: int = 5) -> DataFrame:
+    """``nearest`` by random hyperplanes (O-71): a pair is compared if it lies on
+    the same side of all planes of one of ``tables`` sets.
+
+    A group of ``n`` rows gets ``log2(n / bucket_rows)`` planes a set, so buckets
+    keep their size while the group grows and the work is in proportion to its
+    rows; groups of up to ``bucket_rows`` are searched exactly.  Very near
+    neighbours are found almost surely, distant ones less so: a query may get
+    fewer than ``k``.  Vectors of another length take no part.
+    """
+    ok = (F.size("vec") == dim) & F.col("id").isNotNull()
+    q, p = (d.select("id", "grp", "vec").filter(ok) for d in (queries, pool))
+    n = p.groupBy(F.col("grp").alias("_g")).agg(F.count("*").alias("_n"))
+    # at most 24 planes a set: beyond, buckets are cut into blocks
+    n = maybe_broadcast(n.select("_g", F.least(F.greatest(F.ceil(F.log2(F.col("_n") / bucket_rows)), F.lit(0)), F.lit(24)).cast("int").alias("_bits")))
+    kind = q.schema["id"].dataType.simpleString()
+    grp = q.schema["grp"].dataType.simpleString()
+
+    def bucketed(d: DataFrame) -> DataFrame:
+        coded = d.mapInArrow(_signatures(dim, tables, 24, seed), f"id {kind}, grp {grp}, vec array<{d.schema['vec'].dataType.elementType.simpleString()}>, codes array<bigint>")
+        sized = coded.join(n, F.col("grp").eqNullSafe(F.col("_g")))
+        mask = F.expr("shiftleft(1L, _bits) - 1L")
+        # without planes one set holds everything
+        sets = F.when(F.col("_bits") == 0, F.slice("codes", 1, 1)).otherwise(F.col("codes"))
+        named = F.transform(sets, lambda c, i: F.struct(F.col("grp").alias("grp"), i.alias("set"), c.bitwiseAND(mask).alias("code")))
+        return sized.select("id", F.explode(named).alias("_b"), "vec").select("id", F.to_json("_b").alias("grp"), "vec")
+
+    near = _block_neighbours(bucketed(q), bucketed(p), k, skip_self).distinct()
+    w = Window.partitionBy("id").orderBy("distance", "neighbour")
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def embed(texts: DataFrame, text: str, embedder: Callable[[list[str]], np.ndarray], dim: int, batch: int = 64) -> DataFrame:
+    """``texts`` with ``embedding``, made by a function from up to ``batch`` texts to
+    as many vectors of ``dim`` numbers (O-77).
+
+    It runs on the executors and is the place for a model; results are scaled to
+    length one, a vector of zeros stays, null texts get null, and a result of
+    another shape is an error.
+    """
+    cols = texts.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            said = pdf[text].notna().to_numpy()
+            values = pdf[text][said].tolist()
+            out: list = [None] * len(pdf)
+            made: list = []
+            for lo in range(0, len(values), batch):
+                m = np.asarray(embedder(values[lo : lo + batch]), float)
+                if m.shape != (len(values[lo : lo + batch]), dim):
+                    raise ValueError(f"the embedder gave {m.shape}")
+                size = np.linalg.norm(m, axis=1, keepdims=True)
+                made += np.divide(m, size, out=np.zeros_like(m), where=size > 0).astype(np.float32).tolist()
+            for i, v in zip(np.flatnonzero(said), made, strict=True):
+                out[i] = v
+            yield pdf.assign(embedding=out)[[*cols, "embedding"]]
+
+    schema = T.StructType([*texts.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    return texts.mapInPandas(run, schema)
+
+
+def hashed_words(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
+    """An embedder without a model: words counted in ``dim`` places by hash, with
+    a sign.  The same on every machine."""
+
+    def run(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim))
+        for i, t in enumerate(texts):
+            for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|\d+", t):
+                h = zlib.crc32(w.lower().encode())
+                out[i, h % dim] += 1.0 if h & (1 << 30) else -1.0
+        return out
+
+    return run
+
+
+def ngram_entropy(snippets: DataFrame, pool: DataFrame) -> DataFrame:
+    """``id, n_grams, entropy``: mean bits per token pair of each snippet under the
+    pair counts of the pool, each count plus one (O-78).
+
+    Both: ``id, tokens``.  A pair's probability is its count over that of its
+    first token, smoothed by the number of distinct tokens.  Snippets under two
+    tokens give no rows.
+    """
+    pair = lambda d: d.filter(F.size("tokens") > 1).select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("tokens") - 2), lambda i: F.struct(F.get("tokens", i).alias("a"), F.get("tokens", i + 1).alias("b")))).alias("_p")).select("id", "_p.a", "_p.b")
+    seen = pair(pool).groupBy("a", "b").agg(F.count("*").alias("n_pair"))
+    first = seen.groupBy("a").agg(F.sum("n_pair").alias("n_first"))
+    kinds = F.broadcast(pool.select(F.explode("tokens").alias("t")).agg(F.countDistinct("t").alias("n_kinds")))
+    asked = pair(snippets).groupBy("id", "a", "b").agg(F.count("*").alias("n"))
+    met = asked.join(seen, ["a", "b"], "left").join(first, "a", "left").crossJoin(kinds)
+    bits = -F.log2((F.coalesce("n_pair", F.lit(0)) + 1) / (F.coalesce("n_first", F.lit(0)) + F.col("n_kinds")))
+    return met.groupBy("id").agg(F.sum("n").alias("n_grams"), (F.sum(F.col("n") * bits) / F.sum("n")).alias("entropy"))
+
+
+def ladder_rates(scored: DataFrame) -> DataFrame:
+    """``n_ladders, monotone_rate, step_rate``: of edits of growing size (``id,
+    level, distance``), the share of entries whose distance never falls from level
+    to level, and the share of steps on which it doesn't (O-78)."""
+    w = Window.partitionBy("id").orderBy("level")
+    step = scored.withColumn("_up", F.col("distance") >= F.lag("distance").over(w)).filter("_up is not null")
+    per = step.groupBy("id").agg(F.min(F.col("_up").cast("int")).alias("_all"), F.sum(F.col("_up").cast("int")).alias("_ok"), F.count("*").alias("_n"))
+    return per.agg(F.count("*").alias("n_ladders"), F.avg("_all").alias("monotone_rate"), (F.sum("_ok") / F.sum("_n")).alias("step_rate"))
+
+
 def semantic_search(pool: DataFrame, vector: list[float], k: int = 10, grp: str | int | None = None) -> DataFrame:
     """The ``k`` (at most 50) entries most like one vector (O-70)."""
     p = pool if grp is None else pool.filter(F.col("grp") == grp)
@@ -132,11 +275,15 @@ def local_outlier_factors(pool: DataFrame, k: int = 20) -> DataFrame:
 
 def auroc(scored: DataFrame, score: str, positive: str) -> DataFrame:
     """One row, ``auroc``: the share of pairs ranked rightly, ties counting half
-    (O-78).  Scores are counted before they are ranked, so the single sorted pass
-    runs over distinct scores."""
+    (O-78).  Scores are counted before they are ranked, and ranked in ranges."""
     c = scored.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("n"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    # scores are sorted over all tasks; only one sum per part goes through a single one
+    parts = c.repartitionByRange("s").withColumn("_part", F.spark_partition_id())
+    parts = checkpoint(parts)
+    sums = parts.groupBy("_part").agg(F.sum("n").alias("_n"))
+    before = sums.select(F.col("_part").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    c = parts.withColumn("_in", F.coalesce(F.sum("n").over(w), F.lit(0))).join(F.broadcast(before), F.col("_part") == F.col("_q")).withColumn("below", F.col("_in") + F.col("_before"))
     t = c.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return t.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).alias("auroc"))
 

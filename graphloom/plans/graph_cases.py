@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as tx
 from graphloom.functions.paths import ref_path
 from graphloom.model import PropertyGraph
-from graphloom.operators import cdc, context, integrity, lookup, traverse
+from graphloom.operators import cdc, context, integrity, lookup, novelty, traverse
+from graphloom.plans.integrity_cases import _PATH
 from graphloom.session import checkpoint, latest, table
 
 
@@ -36,6 +37,19 @@ def star_graph(spark: SparkSession, sf: str) -> PropertyGraph:
     return PropertyGraph(nodes, edges)
 
 
+def planted_graph(spark: SparkSession, sf: str) -> PropertyGraph:
+    """The star graph with every kind of fault planted: doubled functions and
+    types, functions without a name or a module, constants nothing calls, modules
+    without a service and edges to a node that isn't there."""
+    g = star_graph(spark, sf)
+    more = lambda label, by, name=None: g.labelled(label).withColumn("_k", F.substring_index("id", ":", -1).cast("long")).filter(F.col("_k") % by[0] == 0).select(F.concat(F.lit(f"{label}:"), (F.col("_k") + by[1]).cast("string")).alias("id"), "label", "file_path", (F.col("name") if name is None else name).alias("name"))
+    nodes = g.nodes
+    for extra in (more("Function", (100, 1_000_000)), more("Function", (250, 2_000_000), F.lit(None).cast("string")), more("Constant", (50, 10_000_000)), more("Type", (5, 1_000_000)), more("Module", (5, 100))):
+        nodes = nodes.unionByName(extra)
+    lost = g.labelled("Function").filter(F.substring_index("id", ":", -1).cast("long") % 200 == 0).select(F.col("id").alias("src"), F.lit("Constant:0").alias("dst"), F.lit("CALLS").alias("type"))
+    return PropertyGraph(nodes, g.edges.unionByName(lost))
+
+
 def module_context_modules(spark, sf) -> DataFrame:
     return context.modules_matching(star_graph(spark, sf), "Nation_1", 500)
 
@@ -95,8 +109,8 @@ def _flow(spark, sf, reverse):
     g = star_graph(spark, sf)
     start = "Type:1" if reverse else "Function:1"
     starts = spark.createDataFrame([(start,)], "start string")
-    # derived edges are written once; a stored edge table is scanned as it is
-    return traverse.data_flow(checkpoint(g.edges.select("src", "dst")), g.nodes, starts, 3, reverse, ("Function", "Type"), 50)
+    # the frontier goes down to the tables the edges are derived from: nothing is derived but what it meets
+    return traverse.data_flow(g.edges.select("src", "dst"), g.nodes, starts, 3, reverse, ("Function", "Type"), 50)
 
 
 def data_flow_down(spark, sf) -> DataFrame:
@@ -107,16 +121,9 @@ def data_flow_up(spark, sf) -> DataFrame:
     return _flow(spark, sf, True)
 
 
-def data_flow_cyclic(spark, sf) -> DataFrame:
-    """A graph by arithmetic in which every start lies on a circle."""
-    p = table(spark, sf, "part").filter("p_partkey <= 200")
-    e = p.select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % 200 + 1).alias("dst")).unionByName(p.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") % 5 + 1).alias("dst")))
-    return traverse.reach(e, spark.createDataFrame([(1,), (2,), (50,)], "start long"), 6)
-
-
 def data_flow_cyclic_all(spark, sf) -> DataFrame:
-    """The same over all of ``part``, with as many nodes as it has rows, from
-    parts 1, 2 and 50."""
+    """A graph by arithmetic over all of ``part``, with as many nodes as it has
+    rows, in which every start lies on a circle, from parts 1, 2 and 50."""
     p = table(spark, sf, "part").select("p_partkey")
     n = p.count()
     e = p.select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % n + 1).alias("dst")).unionByName(p.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") % 5 + 1).alias("dst")))
@@ -153,7 +160,7 @@ def degree_scores(spark, sf) -> DataFrame:
 
 
 def unreferenced_nodes(spark, sf) -> DataFrame:
-    g = star_graph(spark, sf)
+    g = planted_graph(spark, sf)
     return traverse.unreferenced(g.labelled("Constant").select("id"), g.edges)
 
 
@@ -175,12 +182,14 @@ def integrity_chain(spark, sf) -> DataFrame:
 
 
 def integrity_orphans(spark, sf) -> DataFrame:
-    g = star_graph(spark, sf)
+    g = planted_graph(spark, sf)
     return integrity.orphans(g.labelled("Constant"), g.edges, "CALLS").select("key")
 
 
 def integrity_suite(spark, sf) -> DataFrame:
-    return integrity.check_graph(star_graph(spark, sf), ["name", "file_path"])
+    """All six checks over one derivation of the planted graph."""
+    g = planted_graph(spark, sf)
+    return integrity.check_graph(PropertyGraph(checkpoint(g.nodes), checkpoint(g.edges)), ["name", "file_path"])
 
 
 def cdc_diff(spark, sf) -> DataFrame:
@@ -212,6 +221,79 @@ def cascade_delete(spark, sf) -> DataFrame:
     return n.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").alias("kind"), "n").unionByName(e.groupBy("type").agg(F.count("*").alias("n")).select(F.col("type").alias("kind"), "n"))
 
 
+def _customers(spark, sf) -> DataFrame:
+    c = table(spark, sf, "customer")
+    return c.select(F.concat(F.lit("Function:"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("nation/"), F.col("c_nationkey").cast("string")).alias("file_path"), F.col("c_name").alias("name"), F.col("c_acctbal").cast("string").alias("content_hash"), "c_custkey")
+
+
+def cdc_apply_graph(spark, sf) -> DataFrame:
+    """Customers and their calls after a batch: one nation's file deleted, of the
+    rest a tenth removed, a tenth changed, a hundredth new, the calls of those that
+    changed rebuilt."""
+    c = _customers(spark, sf)
+    k = F.col("c_custkey")
+    rest = c.filter("file_path <> 'nation/1'")
+    fresh = rest.filter(k % 100 == 0).select((F.concat(F.lit("Function:"), (k + 1_000_000).cast("string"))).alias("id"), "file_path", F.concat("name", F.lit("+")).alias("name"), "content_hash")
+    new = rest.filter(k % 10 != 1).select("id", "file_path", "name", F.when(k % 10 == 0, F.concat("content_hash", F.lit("*"))).otherwise(F.col("content_hash")).alias("content_hash")).unionByName(fresh)
+    old = c.select("id", "file_path", "name", "content_hash")
+    changes = cdc.diff(old, new, ["file_path", "name"], "content_hash", new.select("file_path"))
+    calls = table(spark, sf, "orders").select(F.concat(F.lit("Function:"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("Constant:"), (F.col("o_orderkey") % 97).cast("string")).alias("dst"), F.lit("CALLS").alias("type")).distinct()
+    rebuilt = new.select(F.col("id").alias("src"), F.lit("Constant:new").alias("dst"), F.lit("CALLS").alias("type"))
+    gone = spark.createDataFrame([("nation/1",)], "file_path string")
+    n, e = cdc.apply_changes(old, calls, new, rebuilt, gone, changes)
+    whole = n.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("content_hash").alias("b"))
+    return whole.unionByName(e.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+def edge_rebuild(spark, sf) -> DataFrame:
+    """Edges of the star graph, the uses of every seventh part put in place of all
+    it had."""
+    g = star_graph(spark, sf)
+    src = g.labelled("Constant").filter(F.substring_index("id", ":", -1).cast("long") % 7 == 0).select("id")
+    rebuilt = src.select(F.col("id").alias("src"), F.lit("Type:1").alias("dst"), F.lit("USES_TYPE").alias("type"))
+    out = cdc.replace_edges(g.edges, rebuilt, src, ["USES_TYPE"])
+    return out.groupBy("type", "dst").agg(F.count("*").alias("n"))
+
+
+def flow_candidates(spark, sf) -> DataFrame:
+    """A name that several functions bear: candidates instead of a traversal."""
+    n = _graph_nodes(spark, sf).filter("label in ('Function', 'Type')")
+    name = n.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").agg(F.min("name")).first()[0]
+    none = spark.createDataFrame([], "src string, dst string")
+    return traverse.flow_from(none, n, name or "").select("kind", "id", "label")
+
+
+def type_links(spark, sf) -> DataFrame:
+    """Types named by arguments, each led to the type node of that name."""
+    f = latest(table(spark, sf, "function_nodes"), ["file_path", "name"], ["updated_at", "content_hash"], ["file_path", "name", "updated_at", "content_hash", "args"])
+    uses = f.select(F.col("file_path").alias("user_path"), F.col("name").alias("user"), F.explode("args").alias("a")).select("user_path", "user", F.explode(F.regexp_extract_all("a.type", F.lit(r"\b([A-Z][A-Za-z0-9]+)\b"), F.lit(1))).alias("type_name")).distinct()
+    planted = f.select(F.col("file_path").alias("user_path"), F.col("name").alias("user"), F.regexp_extract("name", r"^([^.]*)\.", 1).alias("type_name")).filter("type_name <> ''")
+    types = table(spark, sf, "graph_nodes").filter("label = 'Type'").select("file_path", "name").distinct()
+    return traverse.resolve_types(uses.unionByName(planted), types)
+
+
+def scope_links(spark, sf) -> DataFrame:
+    """What constraints on services, module prefixes and functions apply to."""
+    g = star_graph(spark, sf)
+    r = table(spark, sf, "region").select(F.concat(F.lit("s"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("scope"), F.lit("service").alias("scope_type"))
+    n = table(spark, sf, "nation").select(F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("scope"), F.lit("module").alias("scope_type"))
+    c = table(spark, sf, "customer").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("Function:"), F.col("c_custkey").cast("string")).alias("scope"), F.lit("function").alias("scope_type"))
+    return traverse.scope_targets(r.unionByName(n).unionByName(c), g.labelled("Service"), g.labelled("Module"), g.labelled("Function"))
+
+
+def vector_maintenance(spark, sf) -> DataFrame:
+    """Stored vectors after the changes between the first and the last delivery:
+    which nodes have one, and whether it was made anew."""
+    s = table(spark, sf, "graph_node_snapshots")
+    ends = s.agg(F.min("snapshot_id").alias("a"), F.max("snapshot_id").alias("b")).first()
+    one = lambda i: s.filter(F.col("snapshot_id") == i).groupBy("file_path", "name").agg(F.max("content_hash").alias("content_hash"))
+    old, new = one(ends["a"]), one(ends["b"])
+    held = old.select(tx.node_id(F.col("file_path"), F.col("name")).alias("node_id"), F.lit(False).alias("fresh"), F.array(F.lit(0.0)).cast("array<float>").alias("embedding"))
+    made = lambda d: novelty.embed(d.select(tx.node_id(F.col("file_path"), F.col("name")).alias("node_id"), "name"), "name", novelty.hashed_words(16), 16).withColumn("fresh", F.lit(True))
+    out = cdc.maintain_vectors(held, cdc.diff(old, new, ["file_path", "name"], "content_hash"), new, made)
+    return out.select("node_id", "fresh", F.size("embedding").alias("dim"))
+
+
 def change_links(spark, sf) -> DataFrame:
     """Nodes of the files the references of a decision lie in."""
     d = latest(table(spark, sf, "agent_decisions"), ["id"], ["loaded_at", "created_at"], ["id", "loaded_at", "created_at", "graph_refs"])
@@ -225,7 +307,7 @@ def graph_counts(spark, sf) -> DataFrame:
     return g.nodes.groupBy(F.concat(F.lit("node:"), F.col("label")).alias("kind")).agg(F.count("*").alias("n")).unionByName(g.edges.groupBy(F.concat(F.lit("edge:"), F.col("type")).alias("kind")).agg(F.count("*").alias("n")))
 
 
-_Q = (module_context_modules, module_context_members, function_lookup, function_detail, name_near_miss, content_search, log_context, recent_changes, constraints_for_scope, data_flow_down, data_flow_up, data_flow_cyclic, data_flow_cyclic_all, neighbourhood_expand, ref_validation, call_resolution, degree_scores, unreferenced_nodes, integrity_duplicates, integrity_required, integrity_chain, integrity_orphans, integrity_suite, cdc_diff, cdc_edge_diff, cdc_apply, cascade_delete, change_links, graph_counts)
+_Q = (module_context_modules, module_context_members, function_lookup, function_detail, name_near_miss, content_search, log_context, recent_changes, constraints_for_scope, data_flow_down, data_flow_up, data_flow_cyclic_all, flow_candidates, type_links, scope_links, neighbourhood_expand, ref_validation, call_resolution, degree_scores, unreferenced_nodes, integrity_duplicates, integrity_required, integrity_chain, integrity_orphans, integrity_suite, cdc_diff, cdc_edge_diff, cdc_apply, cdc_apply_graph, edge_rebuild, vector_maintenance, cascade_delete, change_links, graph_counts)
 QUERIES = {f.__name__: f for f in _Q}
 
 _STAR = """
@@ -241,6 +323,16 @@ edges AS (
   UNION ALL SELECT 'Module:' || s_nationkey, 'Type:' || s_suppkey, 'CONTAINS' FROM supplier
   UNION ALL SELECT * FROM (SELECT DISTINCT 'Constant:' || l_partkey, 'Type:' || l_suppkey, 'USES_TYPE' FROM lineitem)
   UNION ALL SELECT * FROM (SELECT DISTINCT 'Function:' || o_custkey, 'Constant:' || l_partkey, 'CALLS' FROM lineitem JOIN orders ON l_orderkey = o_orderkey))"""
+_PLANTED = _STAR.replace("nodes AS (", "nodes0 AS (").replace("edges AS (", "edges0 AS (") + """,
+k AS (SELECT *, split_part(id, ':', 2)::BIGINT AS k FROM nodes0),
+nodes AS (
+  SELECT * FROM nodes0
+  UNION ALL SELECT 'Function:' || (k + 1000000), label, file_path, name FROM k WHERE label = 'Function' AND k % 100 = 0
+  UNION ALL SELECT 'Function:' || (k + 2000000), label, file_path, NULL FROM k WHERE label = 'Function' AND k % 250 = 0
+  UNION ALL SELECT 'Constant:' || (k + 10000000), label, file_path, name FROM k WHERE label = 'Constant' AND k % 50 = 0
+  UNION ALL SELECT 'Type:' || (k + 1000000), label, file_path, name FROM k WHERE label = 'Type' AND k % 5 = 0
+  UNION ALL SELECT 'Module:' || (k + 100), label, file_path, name FROM k WHERE label = 'Module' AND k % 5 = 0),
+edges AS (SELECT * FROM edges0 UNION ALL SELECT id, 'Constant:0', 'CALLS' FROM k WHERE label = 'Function' AND k % 200 = 0)"""
 _NODES = "gn AS (SELECT DISTINCT label, file_path, name, file_path || '::' || name AS id FROM graph_nodes)"
 
 
@@ -279,9 +371,6 @@ o AS (SELECT *, row_number() OVER (PARTITION BY description ORDER BY p_brand, id
 SELECT id, description, severity FROM o WHERE rn = 1 ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, description LIMIT 30""",
     "data_flow_down": _walk("Function:1", False),
     "data_flow_up": _walk("Type:1", True),
-    "data_flow_cyclic": """WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % 200 + 1 AS dst FROM part WHERE p_partkey <= 200 UNION SELECT p_partkey, p_partkey % 5 + 1 FROM part WHERE p_partkey <= 200),
-w(start, node, hop) AS (SELECT s, s, 0 FROM (VALUES (1::BIGINT), (2), (50)) t(s) UNION SELECT w.start, e.dst, w.hop + 1 FROM w JOIN e ON e.src = w.node WHERE w.hop < 6)
-SELECT start, node, min(hop) AS hop FROM w WHERE hop > 0 GROUP BY ALL""",
     "data_flow_cyclic_all": """WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % n + 1 AS dst FROM part, n UNION SELECT p_partkey, p_partkey % 5 + 1 FROM part),
 w(start, node, hop) AS (SELECT s, s, 0 FROM (VALUES (1::BIGINT), (2), (50)) t(s) UNION SELECT w.start, e.dst, w.hop + 1 FROM w JOIN e ON e.src = w.node WHERE w.hop < 6)
 SELECT start, node, min(hop) AS hop FROM w WHERE hop > 0 GROUP BY ALL""",
@@ -297,13 +386,14 @@ r AS (SELECT key, file_path, name, row_number() OVER (PARTITION BY key ORDER BY
 SELECT caller_path, caller, callee, file_path AS target_path, name AS target FROM b JOIN r ON r.key = b.callee AND rn = 1""",
     "degree_scores": f"""WITH {_STAR}, d AS (SELECT src AS id, 0 AS i, 1 AS o FROM edges WHERE type IN ('BELONGS_TO', 'CONTAINS') UNION ALL SELECT dst, 1, 0 FROM edges WHERE type IN ('BELONGS_TO', 'CONTAINS'))
 SELECT id, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out, (sum(i) * sum(o) + sum(i) + sum(o))::BIGINT AS hub_score FROM d GROUP BY id""",
-    "unreferenced_nodes": f"WITH {_STAR} SELECT id FROM nodes WHERE label = 'Constant' AND id NOT IN (SELECT dst FROM edges WHERE src <> dst)",
+    "unreferenced_nodes": f"WITH {_PLANTED} SELECT id FROM nodes WHERE label = 'Constant' AND id NOT IN (SELECT dst FROM edges WHERE src <> dst)",
     "integrity_duplicates": "SELECT file_path || '::' || name AS key, count(*) AS cnt FROM graph_nodes GROUP BY file_path, name HAVING count(*) > 1",
     "integrity_required": "SELECT coalesce(file_path, '?') || '::' || coalesce(name, '?') AS key, count(*) AS cnt FROM function_nodes WHERE name IS NULL OR file_path IS NULL OR return_type IS NULL GROUP BY 1",
     "integrity_chain": f"WITH {_STAR} SELECT id FROM nodes WHERE label = 'Module' AND id NOT IN (SELECT src FROM edges WHERE type = 'BELONGS_TO' AND dst <> 'Service:0')",
-    "integrity_orphans": f"WITH {_STAR} SELECT id AS key FROM nodes WHERE label = 'Constant' AND id NOT IN (SELECT dst FROM edges WHERE type = 'CALLS')",
-    "integrity_suite": f"""WITH {_STAR}, f AS (
-  SELECT 'duplicate-functions' AS "check", 'warning' AS severity, file_path || '::' || name AS key, count(*) AS cnt FROM nodes WHERE label = 'Function' GROUP BY file_path, name HAVING count(*) > 1
+    "integrity_orphans": f"WITH {_PLANTED} SELECT id AS key FROM nodes WHERE label = 'Constant' AND id NOT IN (SELECT dst FROM edges WHERE type = 'CALLS')",
+    "integrity_suite": f"""WITH {_PLANTED}, f AS (
+  SELECT 'duplicate-functions' AS "check", 'warning' AS severity, concat_ws('::', file_path, name) AS key, count(*) AS cnt FROM nodes WHERE label = 'Function' GROUP BY file_path, name HAVING count(*) > 1
+  UNION ALL SELECT 'required-fields', 'error', coalesce(file_path, '?') || '::' || coalesce(name, '?'), 1 FROM nodes WHERE label = 'Function' AND (name IS NULL OR file_path IS NULL)
   UNION ALL SELECT 'duplicate-types', 'warning', file_path || '::' || name, count(*) FROM nodes WHERE label = 'Type' GROUP BY file_path, name HAVING count(*) > 1
   UNION ALL SELECT 'orphan', 'warning', id, 1 FROM nodes WHERE label = 'Function' AND id NOT IN (SELECT dst FROM edges WHERE type = 'CONTAINS')
   UNION ALL SELECT 'dangling-edge', 'error', src || '->' || dst, 1 FROM (SELECT DISTINCT * FROM edges WHERE src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes))
@@ -323,4 +413,30 @@ UNION ALL SELECT new.c_custkey, coalesce(old.domain, 'unclassified'), round(new.
     "cascade_delete": f"""WITH {_STAR}, g AS (SELECT id FROM nodes WHERE label = 'Function' AND file_path = 'nation/1')
 SELECT label AS kind, count(*) AS n FROM nodes WHERE id NOT IN (FROM g) GROUP BY 1 UNION ALL SELECT type, count(*) FROM edges WHERE src NOT IN (FROM g) AND dst NOT IN (FROM g) GROUP BY 1""",
     "graph_counts": f"WITH {_STAR} SELECT 'node:' || label AS kind, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT 'edge:' || type, count(*) FROM edges GROUP BY 1",
+    "cdc_apply_graph": """WITH c AS (SELECT 'Function:' || c_custkey AS id, 'nation/' || c_nationkey AS file_path, c_name AS name, c_acctbal::VARCHAR AS h, c_custkey AS k FROM customer),
+touched AS (SELECT id, h || '*' AS h FROM c WHERE file_path <> 'nation/1' AND k % 10 = 0 UNION ALL SELECT 'Function:' || (k + 1000000), h FROM c WHERE file_path <> 'nation/1' AND k % 100 = 0),
+gone AS (SELECT id FROM c WHERE file_path = 'nation/1' OR k % 10 = 1),
+n AS (SELECT id, h FROM c WHERE id NOT IN (FROM gone) AND id NOT IN (SELECT id FROM touched) UNION ALL SELECT * FROM touched),
+e0 AS (SELECT DISTINCT 'Function:' || o_custkey AS src, 'Constant:' || (o_orderkey % 97) AS dst FROM orders)
+SELECT 'node' AS kind, id AS a, h AS b FROM n UNION ALL SELECT 'edge', src, dst FROM e0 WHERE src NOT IN (FROM gone) AND src NOT IN (SELECT id FROM touched) UNION ALL SELECT 'edge', id, 'Constant:new' FROM touched""",
+    "edge_rebuild": f"""WITH {_STAR}, s AS (SELECT id FROM nodes WHERE label = 'Constant' AND split_part(id, ':', 2)::BIGINT % 7 = 0)
+SELECT type, dst, count(*) AS n FROM (SELECT type, dst FROM edges WHERE NOT (type = 'USES_TYPE' AND src IN (FROM s)) UNION ALL SELECT 'USES_TYPE', 'Type:1' FROM s) GROUP BY ALL""",
+    "flow_candidates": f"""WITH {_NODES}, f AS (SELECT * FROM gn WHERE label IN ('Function', 'Type')), q AS (SELECT min(name) AS q FROM (SELECT name FROM f GROUP BY name HAVING count(*) > 1))
+SELECT DISTINCT 'candidate' AS kind, id, label FROM f, q WHERE name = q ORDER BY id LIMIT 50""",
+    "type_links": r"""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path, name ORDER BY updated_at DESC, content_hash DESC) AS rn FROM function_nodes) WHERE rn = 1),
+a AS (SELECT file_path, name, unnest(args) AS a FROM f),
+u AS (SELECT file_path, name, unnest(regexp_extract_all(a.type, '\b([A-Z][A-Za-z0-9]+)\b', 1)) AS t FROM a UNION SELECT file_path, name, split_part(name, '.', 1) FROM f WHERE contains(name, '.') AND name[1] <> '.'),
+t AS (SELECT name AS t, min(file_path) AS p FROM graph_nodes WHERE label = 'Type' GROUP BY 1)
+SELECT DISTINCT file_path AS user_path, name AS "user", u.t AS type_name, p AS target_path FROM u JOIN t ON t.t = u.t""",
+    "scope_links": """SELECT 's' || r_regionkey AS constraint_id, 'Service:' || r_regionkey AS target FROM region
+UNION SELECT 'm' || a.n_nationkey, 'Module:' || b.n_nationkey FROM nation a JOIN nation b ON starts_with('nation/' || b.n_nationkey, 'nation/' || a.n_nationkey)
+UNION SELECT 'f' || c_custkey, 'Function:' || c_custkey FROM customer""",
+    "vector_maintenance": """WITH e AS (SELECT min(snapshot_id) AS a, max(snapshot_id) AS b FROM graph_node_snapshots),
+o AS (SELECT file_path, name, max(content_hash) AS h FROM graph_node_snapshots, e WHERE snapshot_id = a GROUP BY ALL), n AS (SELECT file_path, name, max(content_hash) AS h FROM graph_node_snapshots, e WHERE snapshot_id = b GROUP BY ALL),
+j AS (SELECT n.file_path || '::' || n.name AS node_id, o.file_path IS NULL OR o.h IS NULL OR n.h IS NULL OR o.h <> n.h AS fresh FROM n LEFT JOIN o ON o.file_path = n.file_path AND o.name = n.name)
+SELECT node_id, fresh, CASE WHEN fresh THEN 16 ELSE 1 END::INTEGER AS dim FROM j""",
+    "change_links": f"""WITH {_NODES}, d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, created_at DESC) AS rn FROM agent_decisions) WHERE rn = 1),
+r AS (SELECT id AS hash, unnest(graph_refs) AS ref FROM d),
+c AS (SELECT DISTINCT hash, {_PATH.format("split_part(ref, '::', 1)")} AS file_path FROM r WHERE ref IS NOT NULL)
+SELECT hash, count(DISTINCT gn.id) AS n_entities FROM gn JOIN c ON c.file_path = gn.file_path GROUP BY hash""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
-from graphloom.operators import decisions, memory
+from graphloom.operators import decisions, lookup, memory
 from graphloom.session import latest, table
 
 OVERRIDES = {"array_syntax": "generic"}
@@ -74,6 +74,15 @@ def supersede_chain(spark, sf) -> DataFrame:
     return memory.supersede(d, r)
 
 
+def decision_record(spark, sf) -> DataFrame:
+    """Decisions after a new one took the place of every tenth, its text masked."""
+    d = _decisions(spark, sf).select("id", F.col("decision").alias("text"), "status", "superseded_by")
+    secret = F.concat("text", F.lit(" with AKIA" + "QWERTYUIOP123456"))
+    new = d.filter("id % 10 = 0").select((F.col("id") + 1_000_000).alias("id"), secret.alias("text"), F.col("id").alias("supersedes"))
+    out = memory.record(d, new.unionByName(spark.createDataFrame([(9_000_000, "plain", -5)], "id long, text string, supersedes long")))
+    return out.select("id", "text", "status", "superseded_by")
+
+
 def session_timeline(spark, sf) -> DataFrame:
     e = _events(spark, sf).select("id", "session_id", "created_at", F.col("query").alias("text"))
     d = _decisions(spark, sf).select("id", "session_id", "created_at", F.col("decision").alias("text"))
@@ -84,8 +93,8 @@ def caveat_resolution(spark, sf) -> DataFrame:
     """How many resolutions events hold after the first caveat of each hundredth
     event was resolved."""
     e = _events(spark, sf)
-    for i in (100, 200, 300):
-        e = memory.resolve_caveat(e, i, 0, NOW, "done")
+    due = e.filter("id % 100 = 0").select(F.col("id").alias("event_id"), F.lit(0).alias("caveat_index"), F.lit(NOW).cast("timestamp").alias("resolved_at"), F.lit("done").alias("note"))
+    e = memory.resolve_caveats(e, due)
     return e.select("id", F.size(F.coalesce("resolutions", F.array().cast(e.schema["resolutions"].dataType))).alias("n_resolutions"))
 
 
@@ -96,25 +105,64 @@ def trigram_recall(spark, sf) -> DataFrame:
     return e.select("id", sim.alias("similarity")).filter("similarity >= 0.3")
 
 
-def _recalled(spark, sf, text) -> DataFrame:
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.alias("text"), F.col("doc_kind").alias("kind"), "created_at")
+def _recalled(spark, sf, **more) -> DataFrame:
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("doc_kind").alias("kind"), "created_at")
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vec"))
     n = v.count()
-    items = d.join(v, F.pmod("id", F.lit(n)) == F.col("_v")).select("kind", "id", "text", "vec", F.array(F.concat(F.lit("ref-"), (F.col("id") % 7).cast("string"))).alias("graph_refs"), "created_at", F.when(F.col("id") % 11 == 0, "superseded").otherwise("active").alias("status"))
+    items = d.join(v, F.pmod("id", F.lit(n)) == F.col("_v")).select("kind", "id", "text", "vec", F.array(F.concat(F.lit("ref-"), (F.col("id") % 7).cast("string"))).alias("graph_refs"), "created_at", F.when(F.col("id") % 11 == 0, "superseded").otherwise("active").alias("status"), F.concat(F.lit("s-"), (F.col("id") % 2).cast("string")).alias("session_id"))
     q = v.filter("_v = 3").first()["vec"]
-    out = memory.recall(items, list(q), "the broken manifest in billing", NOW, ["ref-3"], 5)
+    out = memory.recall(items, list(q), "the broken manifest in billing", NOW, ["ref-3"], 5, **more)
     return out.select("kind", "id", F.round("similarity", 6).alias("similarity"), F.round("lexical", 6).alias("lexical"), F.round("score", 6).alias("score"))
 
 
-def hybrid_recall(spark, sf) -> DataFrame:
-    """Documents and embeddings as memory items, recalled by both measures; as in
-    its SQL, on the first 200 characters of each text."""
-    return _recalled(spark, sf, F.substring("text", 1, 200))
+def hybrid_recall_text(spark, sf) -> DataFrame:
+    """Documents and embeddings as memory items, recalled by both measures."""
+    return _recalled(spark, sf)
 
 
-def hybrid_recall_text(spark, sf) -> DataFrame:
-    """The same on whole texts."""
-    return _recalled(spark, sf, F.col("text"))
+def recall_near(spark, sf) -> DataFrame:
+    """The same for two kinds and one session, with the references widened by the
+    edges of a small graph, of the near ones only."""
+    edges = spark.createDataFrame([("ref-3", "ref-4"), ("ref-5", "ref-3"), ("ref-5", "ref-6")], "src string, dst string")
+    return _recalled(spark, sf, kinds=["changelog", "learning", "changelog"], session_id="s-1", edges=edges, only_near=True)
+
+
+def content_fallback(spark, sf) -> DataFrame:
+    """A phrase that no code block holds, found in the functions' own texts."""
+    b = table(spark, sf, "code_blocks").select("file_path", F.col("function_name").alias("name"), "body_text").distinct()
+    f = latest(table(spark, sf, "function_nodes"), ["file_path", "name"], ["updated_at", "content_hash"], ["file_path", "name", "updated_at", "content_hash", "js_doc"]).withColumn("own", F.concat(F.lit("line one\n<<"), "name", F.lit(">>\n")))
+    return lookup.content_search_tiered(b, f, ["file_path", "name"], "body_text", "own", "<<PRUNE").select("file_path", "name", "line_no", "tier")
+
+
+def block_categories(spark, sf) -> DataFrame:
+    """Code blocks by their embedding category."""
+    b = table(spark, sf, "code_blocks").select("block_id", "block_kind").distinct()
+    return b.groupBy(decisions.category(F.col("block_kind")).alias("category")).agg(F.count("*").alias("n_blocks"))
+
+
+def meta_fields(spark, sf) -> DataFrame:
+    """A field of the notes' JSON, empty where it is broken or missing."""
+    e = latest(table(spark, sf, "agent_events"), ["id"], ["loaded_at", "created_at"], ["id", "loaded_at", "created_at", "meta"])
+    m = tx.json_or(F.col("meta"), "struct<tool: string, turns: int>", F.struct(F.lit("").alias("tool"), F.lit(0).alias("turns")))
+    return e.select("id", m.alias("m")).groupBy(F.coalesce("m.tool", F.lit("")).alias("tool")).agg(F.count("*").alias("n"), F.sum(F.coalesce("m.turns", F.lit(0)).cast("long")).alias("turns"))
+
+
+def text_tools(spark, sf) -> DataFrame:
+    """Snippet, first line, and a node id taken apart, of every node and text."""
+    d = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), F.md5(tx.snippet(F.regexp_replace("text", r"\s+", " "))).alias("a"), F.md5(tx.first_line(F.col("text"))).alias("b"))
+    n = table(spark, sf, "graph_nodes").select("file_path", "name").distinct().withColumn("id", tx.node_id(F.col("file_path"), F.col("name")))
+    return d.unionByName(n.select(F.concat(F.lit("n"), "id").alias("key"), tx.id_path(F.col("id")).alias("a"), tx.id_name(F.col("id")).alias("b")))
+
+
+def file_drift(spark, sf) -> DataFrame:
+    """State of every node of the first delivery by the last one."""
+    s = table(spark, sf, "graph_node_snapshots")
+    ends = s.agg(F.min("snapshot_id").alias("a"), F.max("snapshot_id").alias("b")).first()
+    one = lambda i: s.filter(F.col("snapshot_id") == i).groupBy("file_path", "name").agg(F.max("content_hash").alias("h"))
+    n = one(ends["b"]).select(F.col("file_path").alias("_f"), F.col("name").alias("_n"), F.col("h").alias("_h"), F.lit(True).alias("_here"))
+    j = one(ends["a"]).join(n, (F.col("file_path") == F.col("_f")) & (F.col("name") == F.col("_n")), "left")
+    state = tx.drift_status(F.col("h"), F.col("_h"), F.coalesce("_here", F.lit(False)))
+    return j.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
 def exact_duplicates(spark, sf) -> DataFrame:
@@ -155,7 +203,7 @@ def route_table(spark, sf) -> DataFrame:
     return f.select("file_path", "name", "http_method", tx.join_route(F.lit("/api/"), F.col("route_path")).alias("route"))
 
 
-_Q = (decision_distribution, decision_target, decision_flags, decision_verdicts, migration_progress, off_target_backlog, minority_outliers, session_merge, supersede_chain, session_timeline, caveat_resolution, trigram_recall, hybrid_recall, hybrid_recall_text, exact_duplicates, normalize_body, function_signatures, redact_shapes, path_parts, domain_counts, route_table)
+_Q = (decision_distribution, decision_target, decision_flags, decision_verdicts, migration_progress, off_target_backlog, minority_outliers, session_merge, supersede_chain, decision_record, session_timeline, caveat_resolution, trigram_recall, hybrid_recall_text, recall_near, content_fallback, block_categories, meta_fields, text_tools, file_drift, exact_duplicates, normalize_body, function_signatures, redact_shapes, path_parts, domain_counts, route_table)
 QUERIES = {f.__name__: f for f in _Q}
 
 _EV = "ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, created_at DESC, summary DESC) AS rn FROM agent_events) WHERE rn = 1)"
@@ -206,13 +254,28 @@ r AS (SELECT session_id, string_agg(r, '|' ORDER BY id, i) AS refs FROM r1 GROUP
 SELECT g.session_id, g.id, g.n_events, g.summary_md5, coalesce(c.caveats, '') AS caveats, coalesce(r.refs, '') AS graph_refs FROM g LEFT JOIN c USING (session_id) LEFT JOIN r USING (session_id)""",
     "supersede_chain": f"""WITH {_DE}, r AS (SELECT id AS new_id, id - 1 AS old_id FROM de WHERE id % 10 = 0)
 SELECT d.id, CASE WHEN r.new_id IS NOT NULL THEN 'superseded' ELSE d.status END AS status, coalesce(r.new_id, d.superseded_by) AS superseded_by FROM de d LEFT JOIN r ON r.old_id = d.id""",
+    "decision_record": f"""WITH {_DE}, r AS (SELECT id FROM de WHERE id % 10 = 0)
+SELECT d.id, d.decision AS text, CASE WHEN r.id IS NOT NULL THEN 'superseded' ELSE d.status END AS status, coalesce(r.id + 1000000, d.superseded_by) AS superseded_by FROM de d LEFT JOIN r ON r.id = d.id
+UNION ALL SELECT id + 1000000, decision || ' with AKIA****', 'active', NULL FROM de WHERE id % 10 = 0 UNION ALL SELECT 9000000, 'plain', 'active', NULL""",
+    "content_fallback": """WITH f AS (SELECT DISTINCT file_path, name FROM function_nodes) SELECT file_path, name, 2 AS line_no, 1 AS tier FROM f WHERE regexp_matches(name, '(?i)^prune')
+AND NOT EXISTS (SELECT 1 FROM code_blocks WHERE contains(lower(body_text), '<<prune'))""",
+    "block_categories": "SELECT CASE block_kind WHEN 'function' THEN 'function:body' WHEN 'class' THEN 'type:body' WHEN 'constant' THEN 'module:const' END AS category, count(*) AS n_blocks FROM (SELECT DISTINCT block_id, block_kind FROM code_blocks) GROUP BY 1",
+    "meta_fields": """WITH e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, created_at DESC) AS rn FROM agent_events) WHERE rn = 1),
+m AS (SELECT CASE WHEN json_valid(meta) THEN coalesce(json_extract_string(meta, '$.tool'), '') ELSE '' END AS tool, CASE WHEN json_valid(meta) THEN coalesce(try_cast(json_extract_string(meta, '$.turns') AS INT), 0) ELSE 0 END AS turns FROM e)
+SELECT tool, count(*) AS n, sum(turns)::BIGINT AS turns FROM m GROUP BY tool""",
+    "text_tools": r"""WITH t AS (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS s, text FROM documents), n AS (SELECT DISTINCT file_path || '::' || name AS id FROM graph_nodes)
+SELECT 'd' || doc_id AS key, md5(CASE WHEN length(s) > 120 THEN substr(s, 1, 120) || '…' ELSE s END) AS a, md5(split_part(text, chr(10), 1)) AS b FROM t
+UNION ALL SELECT 'n' || id, regexp_replace(id, '::[^:]*(:[^:]+)*$', ''), regexp_extract(id, '::((?:[^:]|:[^:])*)$', 1) FROM n""",
+    "file_drift": """WITH e AS (SELECT min(snapshot_id) AS a, max(snapshot_id) AS b FROM graph_node_snapshots),
+o AS (SELECT file_path, name, max(content_hash) AS h FROM graph_node_snapshots, e WHERE snapshot_id = a GROUP BY ALL), n AS (SELECT file_path, name, max(content_hash) AS h FROM graph_node_snapshots, e WHERE snapshot_id = b GROUP BY ALL)
+SELECT CASE WHEN n.file_path IS NULL THEN 'missing' WHEN o.h IS NULL THEN 'unknown' WHEN o.h = n.h THEN 'unchanged' ELSE 'modified' END AS state, count(*) AS n FROM o LEFT JOIN n ON n.file_path = o.file_path AND n.name = o.name GROUP BY 1""",
     "session_timeline": f"WITH {_EV}, {_DE} SELECT session_id, count(*) AS n, min(created_at) AS first_at, max(created_at) AS last_at FROM (SELECT session_id, created_at FROM ev UNION ALL SELECT session_id, created_at FROM de) WHERE session_id IS NOT NULL GROUP BY session_id",
-    "caveat_resolution": f"""WITH {_EV} SELECT id, (len(list_filter(coalesce(resolutions, []), lambda r: NOT (id IN (100, 200, 300) AND len(coalesce(caveats, [])) > 0 AND r.caveat_index = 0))) + (id IN (100, 200, 300) AND len(coalesce(caveats, [])) > 0)::INT)::INTEGER AS n_resolutions FROM ev""",
+    "caveat_resolution": f"""WITH {_EV} SELECT id, (len(list_filter(coalesce(resolutions, []), lambda r: NOT (id % 100 = 0 AND len(coalesce(caveats, [])) > 0 AND r.caveat_index = 0))) + (id % 100 = 0 AND len(coalesce(caveats, [])) > 0)::INT)::INTEGER AS n_resolutions FROM ev""",
     "trigram_recall": f"""WITH {_EV}, src AS (SELECT id AS k, query AS s FROM ev WHERE query IS NOT NULL UNION ALL SELECT -1, 'How do we rotate the broken manifest in billing?'), {_TRI}
 SELECT * FROM (SELECT e.k AS id, round(coalesce(x.b, 0) / (e.n + q.n - coalesce(x.b, 0)), 6) AS similarity FROM sizes e, (SELECT n FROM sizes WHERE k = -1) q
   LEFT JOIN (SELECT a.k, count(*) AS b FROM grams a JOIN grams p ON p.g = a.g AND p.k = -1 GROUP BY a.k) x ON x.k = e.k WHERE e.k <> -1) WHERE similarity >= 0.3""",
-    "hybrid_recall": f"""WITH n AS (SELECT count(*) AS n FROM embeddings),
-i AS (SELECT d.doc_kind AS kind, d.doc_id AS id, substr(d.text, 1, 200) AS text, e.embedding::DOUBLE[] AS v, d.doc_id % 7 = 3 AS near, d.created_at FROM documents d, n, embeddings e WHERE d.doc_id % n.n = e.vec_id AND d.doc_id % 11 <> 0),
+    "hybrid_recall_text": f"""WITH n AS (SELECT count(*) AS n FROM embeddings),
+i AS (SELECT d.doc_kind AS kind, d.doc_id AS id, d.text, e.embedding::DOUBLE[] AS v, d.doc_id % 7 = 3 AS near, d.created_at FROM documents d, n, embeddings e WHERE d.doc_id % n.n = e.vec_id AND d.doc_id % 11 <> 0),
 s AS (SELECT i.*, round(list_cosine_similarity(i.v, q.e), 9) AS similarity FROM i, (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 3) q),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY similarity DESC, id) AS rn FROM s) WHERE rn <= 5),
 src AS (SELECT id AS k, text AS s FROM top UNION ALL SELECT -1, 'the broken manifest in billing'), {_TRI},
@@ -236,4 +299,4 @@ SELECT id, md5(m) AS masked_md5, kinds FROM r WHERE kinds <> ''""",
     "domain_counts": "SELECT coalesce(domain, 'unclassified') AS domain, count(DISTINCT (file_path, name)) AS n_functions FROM function_nodes GROUP BY 1",
     "route_table": "SELECT DISTINCT file_path, name, http_method, regexp_replace(regexp_replace('/' || '/api/' || coalesce('/' || route_path, ''), '/{2,}', '/', 'g'), '(.)/$', '\\1') AS route FROM function_nodes WHERE http_method IS NOT NULL",
 }
-ORACLE["hybrid_recall_text"] = ORACLE["hybrid_recall"].replace("substr(d.text, 1, 200) AS text", "d.text")
+ORACLE["recall_near"] = ORACLE["hybrid_recall_text"].replace("d.doc_id % 7 = 3 AS near", "d.doc_id % 7 IN (3, 4, 5) AS near").replace("AND d.doc_id % 11 <> 0", "AND d.doc_id % 11 <> 0 AND d.doc_id % 2 = 1 AND d.doc_kind IN ('changelog', 'learning')") + " WHERE near"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import dirname
 from graphloom.operators import traverse
-from graphloom.sources import parsers, trees
+from graphloom.sources import build, parsers, trees
 from graphloom.session import table
 
 
@@ -26,6 +26,23 @@ def parse_errors(spark: SparkSession, sf: str) -> DataFrame:
     return parsers.parse_sources(_blocks(spark, sf)).filter("kind = 'error'").select("file_path", "error")
 
 
+def _parsed_graph(spark: SparkSession, sf: str):
+    b = table(spark, sf, "code_blocks").filter("block_kind in ('function', 'class')").select("file_path", F.col("body_text").alias("text")).distinct()
+    return build.build_graph(parsers.parse_sources(b), "/srv/checkout")
+
+
+def parsed_graph_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes and edges of the graph that all code blocks parse to."""
+    g = _parsed_graph(spark, sf)
+    n = g.nodes.groupBy(F.concat(F.lit("node:"), F.col("label")).alias("kind")).agg(F.count("*").alias("n"))
+    return n.unionByName(g.edges.groupBy(F.concat(F.lit("edge:"), F.col("type")).alias("kind")).agg(F.count("*").alias("n")))
+
+
+def parsed_hubs(spark: SparkSession, sf: str) -> DataFrame:
+    """Degrees of the parsed modules, files and entities."""
+    return traverse.degrees(_parsed_graph(spark, sf).typed("CONTAINS", "DEFINES", "CALLS").select("src", "dst"))
+
+
 def import_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """Relative imports between the directories of the graph's files."""
     files = table(spark, sf, "graph_nodes").select("file_path").distinct()
@@ -53,7 +70,7 @@ def suffix_paths(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.match_paths(n, changed)
 
 
-QUERIES = {f.__name__: f for f in (parsed_entities, parse_errors, import_resolution, detected_packages, source_files, suffix_paths)}
+QUERIES = {f.__name__: f for f in (parsed_entities, parse_errors, parsed_graph_counts, parsed_hubs, import_resolution, detected_packages, source_files, suffix_paths)}
 ORACLE = {
     "source_files": r"""SELECT CASE WHEN regexp_matches(file_path, '\.tsx?$') THEN 'ts' WHEN ends_with(file_path, '.py') THEN 'py' ELSE 'rs' END AS lang, count(DISTINCT file_path) AS n_files FROM graph_nodes
 WHERE regexp_matches(file_path, '\.(ts|tsx|py|rs)$') AND NOT regexp_matches(file_path, 'node_modules|/dist/|\.d\.ts$|\.spec\.tsx?$|\.test\.tsx?$|__pycache__|/(venv|\.venv|\.tox)/|(^|/)test_[^/]+\.py$|_test\.py$|(^|/)conftest\.py$|(^|/)(tests|benches)/.*\.rs$|(^|/)target/.*\.rs$') GROUP BY 1""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import cosine_distance
-from graphloom.operators import novelty
+from graphloom.operators import memory, novelty
 from graphloom.session import latest, table
 
 PERCENTILE = 0.95
@@ -18,8 +18,7 @@ def _pool(spark: SparkSession, sf: str) -> DataFrame:
 
 def judge_outliers(spark: SparkSession, sf: str) -> DataFrame:
     """Leave-one-out calibration per label, then a verdict on every entry."""
-    pool = _pool(spark, sf)
-    out = novelty.judge(pool, pool, novelty.calibrate(pool, 5, PERCENTILE))
+    out = novelty.judge_pool(_pool(spark, sf), 5, PERCENTILE)
     return out.select("id", "grp", F.round("distance", 6).alias("distance"), F.round("threshold", 6).alias("threshold"), "verdict")
 
 
@@ -46,8 +45,37 @@ def knn_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near_duplicate_top1(spark: SparkSession, sf: str) -> DataFrame:
+    """Every entry that replaces none against the active ones, with near copies of
+    every twentieth planted, of which every second is superseded."""
+    pool = _pool(spark, sf)
+    near = F.transform("vec", lambda x, i: (x + 0.01 * (i % 3)).cast("float"))
+    old = pool.filter("id % 20 = 0").select((F.col("id") + 1_000_000).alias("id"), "grp", near.alias("vec"), F.when(F.col("id") % 40 == 0, "superseded").otherwise("active").alias("status"))
+    new = pool.withColumn("supersedes", F.when(F.col("id") % 60 == 0, 1).cast("long"))
+    return memory.duplicates_of_new(old, new).select("id", "duplicate_of", F.round("similarity", 6).alias("similarity"))
+
+
+def edit_ladder(spark: SparkSession, sf: str) -> DataFrame:
+    """How steadily the distance grows as more of a vector is edited."""
+    v = _pool(spark, sf)
+    level = F.explode(F.sequence(F.lit(1), F.lit(4)))
+    e = v.select("id", "vec", level.alias("level"))
+    edited = F.transform("vec", lambda x, i: F.when(i < F.col("level") * 8, x.cast("double") + 0.1).otherwise(x.cast("double")))
+    scored = e.select("id", "level", F.round(cosine_distance(F.col("vec"), edited), 9).alias("distance"))
+    r = novelty.ladder_rates(scored)
+    return r.select("n_ladders", F.round("monotone_rate", 6).alias("monotone_rate"), F.round("step_rate", 6).alias("step_rate"))
+
+
+def snippet_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """Bits per token pair of every code block under the pair counts of all."""
+    b = table(spark, sf, "code_blocks").groupBy(F.col("block_id").alias("id")).agg(F.max("body_text").alias("t"))
+    tokens = b.select("id", F.regexp_extract_all("t", F.lit("([A-Za-z_]+|[0-9]+)"), F.lit(1)).alias("tokens"))
+    return novelty.ngram_entropy(tokens, tokens).select("id", "n_grams", F.round("entropy", 6).alias("entropy"))
+
+
+def approximate_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest of every hundredth entry by random hyperplanes."""
     pool = _pool(spark, sf)
-    return novelty.near_duplicates(pool.filter("id % 100 = 0"), pool, 0.5).select("id", "duplicate_of", F.round("similarity", 6).alias("similarity"))
+    return novelty.nearest_approximate(pool.filter("id % 100 = 0"), pool, 5, 64, bucket_rows=64).select("id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
 
 
 def lof_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,7 +112,7 @@ def stored_distance(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("node_id", F.round(cosine_distance(F.col("embedding"), F.col("_e")), 6).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (judge_outliers, calibrate_thresholds, summary_nearest_rank, semantic_search, knn_nearest, near_duplicate_top1, lof_scores, evaluate_auroc, evaluate_flag_rates, vector_upsert, stored_distance)}
+QUERIES = {f.__name__: f for f in (judge_outliers, calibrate_thresholds, summary_nearest_rank, semantic_search, knn_nearest, near_duplicate_top1, edit_ladder, snippet_entropy, approximate_nearest, lof_scores, evaluate_auroc, evaluate_flag_rates, vector_upsert, stored_distance)}
 
 _KNN = """
 v AS (SELECT vec_id AS id, label AS grp, embedding::DOUBLE[] AS e FROM embeddings),
@@ -105,7 +133,21 @@ FROM lineitem GROUP BY l_returnflag""",
     "semantic_search": """WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)
 SELECT vec_id AS id, label AS grp, round(1 - round(1 - list_cosine_similarity(embedding::DOUBLE[], q.e), 9), 6) AS similarity FROM embeddings, q ORDER BY 1 - round(1 - list_cosine_similarity(embedding::DOUBLE[], q.e), 9) DESC, id LIMIT 10""",
     "knn_nearest": f"WITH {_KNN} SELECT id, rank::INTEGER AS rank, neighbour, round(distance, 6) AS distance FROM r WHERE rank <= 5 AND id % 100 = 0",
-    "near_duplicate_top1": f"WITH {_KNN} SELECT id, neighbour AS duplicate_of, round(1 - distance, 6) AS similarity FROM r WHERE rank = 1 AND id % 100 = 0 AND round(1 - distance, 9) >= 0.5",
+    "near_duplicate_top1": """WITH v AS (SELECT vec_id AS id, label AS grp, embedding::DOUBLE[] AS e FROM embeddings),
+o AS (SELECT id + 1000000 AS id, grp, list_transform(e, lambda x, i: (x + 0.01 * ((i - 1) % 3))::FLOAT)::DOUBLE[] AS e FROM v WHERE id % 20 = 0 AND id % 40 <> 0),
+d AS (SELECT v.id, o.id AS n, round(1 - list_cosine_similarity(v.e, o.e), 9) AS distance FROM v JOIN o USING (grp) WHERE v.id % 60 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, n) AS rank FROM d)
+SELECT id, n AS duplicate_of, round(1 - distance, 6) AS similarity FROM r WHERE rank = 1 AND round(1 - distance, 9) >= 0.85""",
+    "edit_ladder": """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, unnest(range(1, 5)) AS level FROM embeddings),
+s AS (SELECT id, level, round(1 - list_cosine_similarity(e, list_transform(e, lambda x, i: CASE WHEN i <= level * 8 THEN x + 0.1 ELSE x END)), 9) AS d FROM v),
+u AS (SELECT id, (d >= lag(d) OVER (PARTITION BY id ORDER BY level))::INT AS up FROM s),
+p AS (SELECT id, min(up) AS a, sum(up) AS ok, count(*) AS n FROM u WHERE up IS NOT NULL GROUP BY id)
+SELECT count(*) AS n_ladders, round(avg(a), 6) AS monotone_rate, round(sum(ok) / sum(n), 6) AS step_rate FROM p""",
+    "snippet_entropy": """WITH t AS (SELECT block_id AS id, regexp_extract_all(max(body_text), '([A-Za-z_]+|[0-9]+)', 1) AS t FROM code_blocks GROUP BY 1),
+p AS (SELECT id, t[i] AS a, t[i + 1] AS b FROM (SELECT id, t, unnest(range(1, len(t))) AS i FROM t)),
+s AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL), f AS (SELECT a, sum(n) AS n FROM s GROUP BY a), k AS (SELECT count(DISTINCT w) AS k FROM (SELECT unnest(t) AS w FROM t)),
+q AS (SELECT id, a, b, count(*) AS n FROM p GROUP BY ALL)
+SELECT id, sum(q.n)::BIGINT AS n_grams, round((sum(q.n * -log2((s.n + 1) / (f.n + k))) / sum(q.n))::DOUBLE, 6) AS entropy FROM q JOIN s USING (a, b) JOIN f USING (a), k GROUP BY id""",
     "lof_scores": f"""WITH {_KNN}, n AS (SELECT id, neighbour, distance FROM r WHERE rank <= 20),
 kd AS (SELECT id, max(distance) AS kd FROM n GROUP BY id),
 lrd AS (SELECT n.id, 1.0 / greatest(avg(greatest(n.distance, kd.kd)), 1e-12) AS lrd FROM n JOIN kd ON kd.id = n.neighbour GROUP BY n.id)

@@ -15,6 +15,30 @@ def diff_names(lines: DataFrame) -> DataFrame:
     return lines.select(F.trim("value").alias("file_path")).filter("file_path <> ''").distinct()
 
 
+def changed_files(changed: DataFrame, deleted: DataFrame, tree: DataFrame, reachable: bool = True) -> DataFrame:
+    """``file_path, state`` of what changed since the cursor (O-09).
+
+    ``changed`` and ``deleted`` are lines (``value``) of name-only diffs, the second
+    of deletions only; a deleted path is no changed one.  If the cursor's commit
+    can't be reached any more, every file of ``tree`` (``file_path``) counts as
+    changed and nothing as deleted.
+    """
+    if not reachable:
+        return tree.select("file_path").filter("file_path is not null").distinct().withColumn("state", F.lit("changed"))
+    gone = diff_names(deleted)
+    kept = diff_names(changed).join(gone, "file_path", "left_anti")
+    return kept.withColumn("state", F.lit("changed")).unionByName(gone.withColumn("state", F.lit("deleted")))
+
+
+def commit_files(commits: DataFrame, listed: DataFrame, shown: DataFrame) -> DataFrame:
+    """``hash, file_path`` of each commit (O-11): the files listed with the log
+    (``hash, value``) or, for a commit without any there, those shown for it."""
+    files = lambda d: d.select("hash", F.trim("value").alias("file_path")).filter("file_path <> ''").distinct()
+    first = files(listed)
+    bare = commits.select("hash").distinct().join(first.select("hash").distinct(), "hash", "left_anti")
+    return first.join(commits.select("hash").distinct(), "hash", "left_semi").unionByName(files(shown).join(bare, "hash", "left_semi"))
+
+
 def status_entries(lines: DataFrame) -> DataFrame:
     """``state, file_path`` of porcelain status lines (O-10): of a rename the new
     path, quotes taken off."""

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.cdc import upsert
@@ -151,6 +151,15 @@ def reset(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     return held
 
 
+def render(df: DataFrame, title: str, order: list[str]) -> DataFrame:
+    """``line_no, line``: rows of a bounded read as text, a heading and one line
+    per row, nulls left out (O-20).  The rows are those of a top-k read: their
+    order goes through one task."""
+    part = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.col(c).cast("string")))
+    lines = df.select(F.row_number().over(Window.orderBy(*order)).alias("line_no"), F.concat(F.lit("- "), F.concat_ws(", ", *[part(c) for c in df.columns])).alias("line"))
+    return df.sparkSession.createDataFrame([(0, f"# {title}")], "line_no int, line string").unionByName(lines)
+
+
 def envelope(df: DataFrame, kind: str) -> DataFrame:
     """Rows as JSON texts with the version of their schema (O-20)."""
     return df.select(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.lit(kind).alias("kind"), F.struct(*df.columns).alias("item"))).alias("json"))

@@ -308,3 +308,63 @@ def test_calls_within_and_beyond_a_file(spark):
     assert got(True) == {("a", "a", "run"), ("b", "b", "Z.run"), ("c", "c", "Y.run")}
     assert got(False) == {("a", "b", "Z.run"), ("b", "a", "run"), ("c", "a", "run"), ("d", "a", "run")}
     assert got(None) == {(p, "a", "run") for p in "abcd"}
+
+
+def test_changes_since_the_cursor(spark):
+    text = lambda *v: spark.createDataFrame([(x,) for x in v], "value string")
+    tree = spark.createDataFrame([("a",), ("b",), (None,)], "file_path string")
+    got = lambda *x: {tuple(r) for r in feeds.changed_files(*x).collect()}
+    assert got(text("a ", "gone", ""), text("gone"), tree) == {("a", "changed"), ("gone", "deleted")}
+    assert got(text("a"), text("gone"), tree, False) == {("a", "changed"), ("b", "changed")}
+    pairs = lambda *v: spark.createDataFrame(list(v), "hash string, value string")
+    files = feeds.commit_files(spark.createDataFrame([("1",), ("2",), ("3",)], "hash string"), pairs(("1", "a"), ("1", "a"), ("2", " "), ("9", "z")), pairs(("1", "no"), ("2", "b"), ("2", "c")))
+    assert {tuple(r) for r in files.collect()} == {("1", "a"), ("2", "b"), ("2", "c")}
+
+
+def test_rendered_lines(spark):
+    df = spark.createDataFrame([(2, None), (1, "x")], "id int, v string")
+    assert [r["line"] for r in store.render(df, "Things", ["id"]).orderBy("line_no").collect()] == ["# Things", "- id: 1, v: x", "- id: 2"]
+    assert store.render(df.limit(0), "None", ["id"]).count() == 1
+
+
+def test_embedder_hook_and_vector_maintenance(spark):
+    texts = spark.createDataFrame([("f", f"name{i}", None if i == 3 else f"readFile number{i}") for i in range(7)], "file_path string, name string, text string")
+    got = {r["name"]: r["embedding"] for r in novelty.embed(texts, "text", novelty.hashed_words(8), 8, batch=2).collect()}
+    assert got["name3"] is None and all(abs(sum(x * x for x in v) - 1) < 1e-5 for k, v in got.items() if k != "name3")
+    with pytest.raises(Exception, match="embedder"):
+        novelty.embed(texts, "text", lambda t: [[1.0]] * len(t), 8).collect()
+    vectors = spark.createDataFrame([("f::name0", [1.0]), ("f::name1", [1.0]), ("f::old", [1.0])], "node_id string, embedding array<float>")
+    changes = spark.createDataFrame([("f", "name1", "update"), ("f", "name2", "create"), ("f", "old", "delete")], "file_path string, name string, op string")
+    asked = []
+    made = lambda d: asked.append(d.count()) or novelty.embed(d.withColumn("node_id", F.concat_ws("::", "file_path", "name")), "text", novelty.hashed_words(8), 8)
+    out = {r["node_id"]: len(r["embedding"]) for r in cdc.maintain_vectors(vectors, changes, texts, made).collect()}
+    assert out == {"f::name0": 1, "f::name1": 8, "f::name2": 8} and asked == [2]
+
+
+@pytest.mark.parametrize("n", [2000, 8000])
+def test_approximate_search_recalls_near_ones(spark, n):
+    import numpy as np
+
+    rng = np.random.RandomState(n)
+    centre = rng.normal(size=(n // 20, 16))
+    x = centre[rng.randint(len(centre), size=n)] + rng.normal(size=(n, 16)) * 0.15
+    pool = spark.createDataFrame([(i, "g", [float(v) for v in x[i]]) for i in range(n)] + [(n, "g", [1.0])], "id long, grp string, vec array<double>")
+    asked = pool.filter("id % 100 = 0 and size(vec) = 16")
+    near = lambda d: {(r["id"], r["neighbour"]) for r in d.filter("distance < 0.1").collect()}
+    want, got = near(novelty.nearest(asked, pool.filter("size(vec) = 16"), 5)), near(novelty.nearest_approximate(asked, pool, 5, 16, bucket_rows=128))
+    assert len(want & got) >= 0.9 * len(want) > 0
+
+
+def test_entries_are_recorded(spark):
+    rows = spark.createDataFrame([(1, "a", "active", None), (2, "b", None, None)], "id long, text string, status string, superseded_by long")
+    new = spark.createDataFrame([(3, "k ghp_abcdefghij1234567890", 1), (4, "plain", None), (5, "late", 99)], "id long, text string, supersedes long")
+    assert {tuple(r) for r in memory.record(rows, new).collect()} == {(1, "a", "superseded", 3), (2, "b", None, None), (3, "k ghp_****", "active", None), (4, "plain", "active", None), (5, "late", "active", None)}
+
+
+def test_many_caveats_are_resolved_at_once(spark):
+    kind = "id long, caveats array<string>, resolutions array<struct<caveat_index:int,resolved_at:timestamp,note:string>>"
+    at = dt.datetime(2026, 1, 1)
+    e = spark.createDataFrame([(1, ["a", "b"], [(1, at, "old")]), (2, None, None), (3, ["c"], [(0, at, "old")])], kind)
+    due = spark.createDataFrame([(1, 1, at, "x"), (1, 1, at + dt.timedelta(1), "new"), (1, 0, at, "zero"), (1, 7, at, "far"), (2, 0, at, "none"), (3, -1, at, "low")], "event_id long, caveat_index int, resolved_at timestamp, note string")
+    got = {r["id"]: [(x["caveat_index"], x["note"]) for x in r["resolutions"] or []] for r in memory.resolve_caveats(e, due).collect()}
+    assert got == {1: [(0, "zero"), (1, "new")], 2: [], 3: [(0, "old")]}
