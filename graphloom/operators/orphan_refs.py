@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import BROADCAST_ROWS
+from graphloom.session import BROADCAST_ROWS, checkpoint
 
 #: A key with more than one in so many rows of a side is heavy: so many keys a side at most.
 HEAVY_ONE_IN = 1000
@@ -79,7 +79,9 @@ def orphan_refs(
     """
     cols = refs.columns
     lives = lives.select(*key, F.col(begin).alias("_begin"), F.col(end).alias("_end")).dropna(subset=[*key, "_begin"])
-    refs = refs.withColumn("_at", F.col(at))
+    # both sides are read several times: for the counts, for the heavy and for the other keys
+    lives = checkpoint(lives)
+    refs = checkpoint(refs.withColumn("_at", F.col(at)))
     per_period = refs.dropna(subset=key).groupBy(*key, F.date_trunc("month", "_at").alias("_period")).agg(F.count("*").alias("_n"))
 
     def above(counts: DataFrame) -> DataFrame:
