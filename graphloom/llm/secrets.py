@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 from urllib.parse import unquote
@@ -45,6 +46,8 @@ TOKENS = re.compile(
     r"|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"
     r")"
 )
+# What the tokens above begin with or hold, in lower case.
+TOKEN_SIGNS = ("sk-", "k_live_", "k_test_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "akia", "asia", "abia", "acca", "gocspx-", "aiza", "ya29.", "xox", "xapp-", "npm_", "pypi-", "hf_", "dop_v1_", "sg.", "age-secret-key-1", "live", "prod", "secret", "eyj")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:[^-]|-(?!----))*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?=[\"'`]|\Z))")
 PPK = re.compile(r"PuTTY-User-Key-File-\d: [\w-]+\s+Encryption: [\w-]+[\s\S]*?Private-Lines: \d+\s+(?:[A-Za-z0-9+/=]+\s*)+(?:Private-(?:MAC|Hash): [0-9a-f]+)?")
 URL_LOGIN = re.compile(r"\b[A-Za-z][A-Za-z0-9+.\-]{1,20}://(?P<user>[^\s:/@\"'`<>]*):(?P<value>[^\s/@\"'`]+)@(?=[\w\[$({.-])")
@@ -442,7 +445,29 @@ def _stems(words: set[str]) -> tuple[str, ...]:
 CUE_WORDS = _stems({*PASSWORDS, *PASS_ENDINGS, *SECRETS, "key", "token", "secret", "credential"} - {"pat"}) + ("://", "begin", "basic", "digest", "-u", "\\x", "\\u", "&#", "sk-", "xox", "eyj", "sig=")
 _CUE_LOGIN = re.compile(r"log(?:ged|ging)?[ _-]?[io]n|sign(?:ed|ing)?[ _-]?in")
 _CUE_PAT = re.compile(r"[Pp][Aa][Tt](?![a-z])")
-_CUE_RUN = re.compile(r"[A-Za-z0-9+/_\-]{20}|(?:%[0-9A-Fa-f]{2}){3}|(?:\\[0-7]{3}){3}|(?:[0-9a-fA-F]{2}[:\s]){11}[0-9a-fA-F]{2}|\bSG\.[A-Za-z0-9_\-]{16}")
+#: Codes that are rare enough to be looked for only where their sign stands.
+_CUE_CODES = (("%", re.compile(r"(?:%[0-9A-Fa-f]{2}){3}")), ("\\", re.compile(r"(?:\\[0-7]{3}){3}")), ("SG.", re.compile(r"\bSG\.[A-Za-z0-9_\-]{16}")))
+#: Characters of encoded runs as ``x``, and hex digits as ``h`` with their separators as ``:``; all others as blanks.
+_RUN_SIGNS = bytes(120 if chr(i) in "+/_-" or i < 128 and chr(i).isalnum() else 32 for i in range(256))
+_HEX_SIGNS = bytes(104 if chr(i) in "0123456789abcdefABCDEF" else 58 if chr(i) in ": \t\n\r\v\f" else 32 for i in range(256))
+_LONG_RUN, _LONG_HEX = b"x" * 20, b"hh:" * 11 + b"hh"
+
+
+def _cue_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Where runs stand that may be encoded: 20 characters of base64, or hex pairs,
+    percent and octal codes in a row.  The text is mapped to signs of the same
+    length, in which a plain search for a run is fast."""
+    flat = text.encode("latin-1", "replace")
+    for table, run in ((_RUN_SIGNS, _LONG_RUN), (_HEX_SIGNS, _LONG_HEX)):
+        signs = flat.translate(table)
+        at = signs.find(run)
+        while at >= 0:
+            yield at, at + len(run)
+            at = signs.find(run, at + len(run))
+    for sign, rx in _CUE_CODES:
+        if sign in text:
+            for m in rx.finditer(text):
+                yield m.span()
 
 
 def has_cue(text: str) -> bool:
@@ -455,7 +480,7 @@ def has_cue(text: str) -> bool:
         return True
     if ("connect" in low or "account" in low or "user" in low) and LOGIN_PROSE.search(text):
         return True
-    return len(text) >= 9 and _CUE_RUN.search(text) is not None
+    return next(_cue_runs(text), None) is not None
 
 
 #: How a line ends whose value may stand on the next, and how such a next line begins.
@@ -463,6 +488,37 @@ _OPEN = re.compile(r"(?:[=:(,\[{+\\|>&.]|\b(?:return|is|was|are))[ \t\r]*\Z")
 _GOES_ON = re.compile(r"[ \t]*(?:[=:(,+.]|[\"'`])")
 
 
+def _cue_lines(text: str) -> set[int] | None:
+    """Numbers of the lines with a cue, found by looking through the text as a
+    whole; None where letters change their number in lower case."""
+    low = text.lower()
+    if len(low) != len(text):
+        return None
+    starts = [0]
+    at = text.find("\n")
+    while at >= 0:
+        starts.append(at + 1)
+        at = text.find("\n", at + 1)
+    found: set[int] = set()
+    for w in CUE_WORDS:
+        at = low.find(w)
+        while at >= 0:
+            n = bisect_right(starts, at)
+            found.add(n - 1)
+            # one hit a line is enough
+            at = low.find(w, starts[n]) if n < len(starts) else -1
+    rest = []
+    if "log" in low or "sign" in low:
+        rest.append((_CUE_LOGIN, low))
+    if "pat" in low:
+        rest.append((_CUE_PAT, text))
+    if "connect" in low or "account" in low or "user" in low:
+        rest.append((LOGIN_PROSE, text))
+    for a, b in (*(m.span() for rx, where in rest for m in rx.finditer(where)), *_cue_runs(text)):
+        found.update(range(bisect_right(starts, a) - 1, bisect_right(starts, b - 1)))
+    return found
+
+
 def _lines(text: str, lang: str = "text") -> list[tuple[int, int]]:
     """Stretches worth a closer look: lines with a cue, neighbours as one.
 
@@ -475,9 +531,12 @@ def _lines(text: str, lang: str = "text") -> list[tuple[int, int]]:
     s, more = 0, False
     whole = _blocks(text)
     at = 0
-    for line in text.split("\n"):
+    cues = _cue_lines(text)
+    if cues is not None and not cues:
+        return out
+    for n, line in enumerate(text.split("\n")):
         e = s + len(line)
-        cue = has_cue(line)
+        cue = has_cue(line) if cues is None else n in cues
         if not cue and more and not line.strip():
             s = e + 1
             continue
@@ -562,7 +621,7 @@ def _search(text: str, s: int, e: int, lang: str, deep: Deep, add) -> None:
     part = text[s:e]
     low = part.lower()
     has = lambda *words: any(w in low for w in words)
-    for m in TOKENS.finditer(part):
+    for m in TOKENS.finditer(part) if has(*TOKEN_SIGNS) else ():
         if not is_placeholder(m[0]) and _varied(m[0]):
             add(s + m.start(), s + m.end(), "token")
     for rx, kind, sign in ((URL_LOGIN, "url-password", "://"), (CONNECTION, "connection-string", ";"), (QUERY, "query-parameter", "=")):
