@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import basename, dirname, extension, node_id
 from graphloom.model import PropertyGraph
 from graphloom.operators.traverse import resolve_calls, resolve_types
-from graphloom.session import latest
+from graphloom.session import checkpoint, latest
 from graphloom.sources.trees import resolve_imports
 
 TYPES = ("class", "interface", "type", "enum", "struct", "trait", "union")
@@ -70,7 +70,9 @@ def build_graph(entities: DataFrame, root: str, packages: DataFrame | None = Non
     couldn't be parsed are File nodes without entities.  Names that lead to no
     known node make no edge; an empty table gives an empty graph.
     """
-    nodes = entity_nodes(entities)
+    # parsing is the costly part: every branch below reads what was parsed once
+    entities = checkpoint(entities)
+    nodes = checkpoint(entity_nodes(entities))
     functions, types = nodes.filter("label = 'Function'"), nodes.filter("label = 'Type'")
     imports = entities.filter("kind = 'import'").select("file_path", "spec", "imported")
     files = entities.select("file_path").filter("file_path is not null").distinct()
