@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
 from graphloom.functions.vectors import cosine_distance
+from graphloom.model import PropertyGraph
 from graphloom.operators import cdc, decisions, lookup, memory, novelty, traverse
+from graphloom.session import checkpoint
 from graphloom.sources import build, feeds, parsers, store, trees
 from graphloom.streaming import sync
 
@@ -270,6 +272,7 @@ def test_graph_of_parsed_sources(spark):
     files = spark.createDataFrame(list(SOURCES.items()), "file_path string, text string")
     packages = trees.detect_packages(files, "/r")
     g = build.build_graph(parsers.parse_sources(files), "/r", packages)
+    g = PropertyGraph(checkpoint(g.nodes), checkpoint(g.edges))
     short = lambda x: x.replace("/r/apps/", "").replace("/src/", "/")
     edges = {}
     for r in g.edges.collect():
