@@ -121,6 +121,7 @@ def mixture(
     total_tokens: float | None = None,
     seed: int = 17,
     bucket: int = 50_000,
+    most_cells: int = 1_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """``(chosen, shares)``.
 
@@ -136,6 +137,8 @@ def mixture(
     the shares add up and the smallest cap holds; null or negative shares count
     as 0, caps under 1 as 1.  Null languages and topics are values of their own.
     Records without tokens are never used; empty tables give an empty mixture.
+    The rates are fitted on the driver, per combination of the three labels; more
+    than ``most_cells`` of them are refused.
     """
     spark = docs.sparkSession
     t = targets.groupBy("source").agg(F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.greatest(F.min(F.coalesce("max_repeats", F.lit(1))), F.lit(1)).cast("int").alias("max_repeats")).filter("source is not null")
@@ -143,7 +146,9 @@ def mixture(
     use = checkpoint(named.join(maybe_broadcast(t.filter("target_share > 0").select("source", "max_repeats")), "source").filter("n_tokens > 0"))
     counts = use.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
     # a cell is a combination of three labels, not of records
-    cells = counts.toPandas()
+    cells = counts.limit(most_cells + 1).toPandas()
+    if len(cells) > most_cells:
+        raise ValueError(f"more than {most_cells} combinations of source, language and topic")
     goals = t.toPandas().set_index("source")
     cells["share"] = cells["source"].map(goals["target_share"]).astype(float)
     cells["repeats"] = cells["source"].map(goals["max_repeats"]).astype(float)

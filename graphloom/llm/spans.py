@@ -255,7 +255,9 @@ _WINDOWS = "doc_id long, h1 long, h2 long, s int, kind int"
 def _with_places(documents: DataFrame, places: DataFrame) -> DataFrame:
     """Documents with the places asked for; the text moves only if the list of
     places is too long to be broadcast."""
-    few = places.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
+    size = places.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("n_places")).first()
+    # at most 8 MB of places and their ids
+    few = size["n"] <= BROADCAST_ROWS // 4 and size["n_places"] <= 5 * BROADCAST_ROWS
     p = F.broadcast(places) if few else places
     return documents.join(p.withColumnRenamed("doc_id", "_p"), F.col("doc_id") == F.col("_p")).select("doc_id", "text", "places")
 
