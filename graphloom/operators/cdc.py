@@ -109,3 +109,20 @@ def link_changes(entities: DataFrame, changed: DataFrame) -> DataFrame:
     """``entity, hash``: entities of the files a change touched (O-90)."""
     c = changed.select(F.col("file_path").alias("_f"), "hash").distinct()
     return entities.join(c, F.col("file_path") == F.col("_f")).select(F.col("id").alias("entity"), "hash").distinct()
+
+
+def count_links(entities: DataFrame, changed: DataFrame) -> DataFrame:
+    """``hash, n_entities``: the number of entities that ``link_changes`` pairs with
+    each change, without a row for each pair (O-90): a file with many entities that
+    many changes touch would have their product.
+
+    Entities are counted by the set of files their id lies in, which is one file
+    but for ids of a name or path with ``::``; an id in several files of a change
+    counts once.  Null ids count nothing, but a change of which only such were
+    found keeps its row.
+    """
+    where = entities.filter("file_path is not null").groupBy("id", F.when(F.col("id").isNull(), F.col("file_path")).alias("_p")).agg(F.sort_array(F.collect_set("file_path")).alias("_files"))
+    sets = where.groupBy("_files").agg(F.count("id").alias("_n"))
+    per_file = sets.select("_files", "_n", F.explode("_files").alias("_f"))
+    touched = changed.join(per_file, F.col("file_path") == F.col("_f")).select("hash", "_files", "_n").distinct()
+    return touched.groupBy("hash").agg(F.sum("_n").alias("n_entities"))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -369,3 +370,40 @@ def test_many_caveats_are_resolved_at_once(spark):
     due = spark.createDataFrame([(1, 1, at, "x"), (1, 1, at + dt.timedelta(1), "new"), (1, 0, at, "zero"), (1, 7, at, "far"), (2, 0, at, "none"), (3, -1, at, "low")], "event_id long, caveat_index int, resolved_at timestamp, note string")
     got = {r["id"]: [(x["caveat_index"], x["note"]) for x in r["resolutions"] or []] for r in memory.resolve_caveats(e, due).collect()}
     assert got == {1: [(0, "zero"), (1, "new")], 2: [], 3: [(0, "old")]}
+
+
+def _most_rows(plan) -> int:
+    """Rows of the largest step of an executed plan."""
+    m, below = plan.metrics().get("numOutputRows"), plan.children()
+    return max([m.get().value() if m.isDefined() else 0, *(_most_rows(below.apply(i)) for i in range(below.size()))])
+
+
+def test_changes_are_counted_without_their_pairs(spark, tmp_path):
+    from parity import compare
+
+    from graphloom.plans import ORACLE, QUERIES
+
+    hub = [("Function", "/hub.ts", f"f{i}") for i in range(400)]
+    odd = [("Type", "/hub.ts", "f1"), ("Function", "/hub.ts", None), ("Function", "/null.ts", None), ("Function", None, "f"), ("Function", "/p", ":n"), ("Function", "/p:", "n"), ("Function", "/p:", "m"), ("Function", "/a", "b::c"), ("Function", "/a::b", "c"), ("Function", "", "e")]
+    put = lambda name, rows, kind: pq.write_table(spark.createDataFrame(rows, kind).toArrow(), tmp_path / f"{name}.parquet")
+    put("graph_nodes", hub + hub[:9] + odd, "label string, file_path string, name string")
+    at = dt.datetime(2026, 1, 1)
+    refs = [(i, at, at, ["/hub.ts::f1", "/hub.ts", "/x/../hub.ts::f2"]) for i in range(300)]
+    refs += [(300, at, at, ["/null.ts::f"]), (301, at, at, ["/p::x", "/p:", "/p:::n"]), (302, at, at, ["/p:", None]), (303, at, at, ["/a::b", "/a"]), (304, at, at, ["", "/gone::f"]), (305, at, at, None), (306, at, at, ["/hub.ts"]), (306, at, at + dt.timedelta(1), ["/a"]), (None, at, at, ["/hub.ts", "/p"])]
+    put("agent_decisions", refs, "id long, created_at timestamp, loaded_at timestamp, graph_refs array<string>")
+    assert compare(spark, str(tmp_path), "change_links", QUERIES["change_links"], ORACLE["change_links"]) is None
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = QUERIES["change_links"](spark, str(tmp_path))
+        got = {r["hash"]: r["n_entities"] for r in df.collect()}
+        assert _most_rows(df._jdf.queryExecution().executedPlan()) < 2_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == {i: 400 for i in range(300)} | {300: 0, 301: 2, 302: 2, 303: 1, 304: 1, 306: 1, None: 401}
+
+
+def test_counted_links_equal_the_pairs(spark):
+    e = spark.createDataFrame([("1", "f"), ("1", "g"), ("2", "f"), ("3", "g"), ("3", "g"), ("4", "h"), ("5", None)], "id string, file_path string")
+    c = spark.createDataFrame([("x", "f"), ("x", "g"), ("x", "g"), ("y", "f"), ("z", "none"), (None, "h")], "hash string, file_path string")
+    pairs = cdc.link_changes(e, c).groupBy("hash").agg(F.count("*").alias("n_entities"))
+    assert {tuple(r) for r in cdc.count_links(e, c).collect()} == {tuple(r) for r in pairs.collect()} == {("x", 3), ("y", 2), (None, 1)}
